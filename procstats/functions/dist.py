@@ -190,9 +190,30 @@ def poisson_cdf(k, mu):
 
 
 def binom_test_two_sided(k, n, p):
-    """Twice the smaller exact tail, at most 1."""
-    low, up = binom_cdf(k, n, p), 1 - binom_cdf(np.asarray(k, float) - 1, n, p)
-    return np.minimum(1.0, 2 * np.minimum(low, up))
+    """Total probability of the outcomes at most as likely as k.
+
+    The mass function falls on both sides of its mode, so the far tail starts
+    at a point found by bisection and both tails are beta functions.
+    """
+    k, n, p = (np.array(v, float) for v in np.broadcast_arrays(k, n, p))
+    with np.errstate(all="ignore"):
+        limit = binom_pmf(k, n, p) * (1 + 1e-9)
+        top = np.floor((n + 1) * p)
+        low_side = k <= top
+        # low side observed: smallest j > mode with pmf <= limit; high side: largest j < mode
+        lo, hi = np.where(low_side, top, -1.0), np.where(low_side, n + 1, top)
+        for _ in range(64):
+            mid = np.floor((lo + hi) / 2)
+            inside = (mid >= 0) & (mid <= n)
+            small = np.where(inside, binom_pmf(np.clip(mid, 0, n), n, p) <= limit, True)
+            open_ = hi - lo > 1
+            go = small == low_side
+            hi = np.where(open_ & go, mid, hi)
+            lo = np.where(open_ & ~go, mid, lo)
+        far = np.where(low_side, hi, lo)
+        near = np.where(low_side, binom_cdf(k, n, p), 1 - binom_cdf(k - 1, n, p))
+        other = np.where(low_side, 1 - binom_cdf(far - 1, n, p), binom_cdf(far, n, p))
+    return np.where(k == top, 1.0, np.minimum(1.0, near + other))
 
 
 def clopper_low(k, n, conf):
@@ -222,7 +243,10 @@ def fisher_two_sided(a, b, c, d):
     out = []
     for a0, b0, c0, d0 in zip(*(np.atleast_1d(np.asarray(v, float)) for v in (a, b, c, d))):
         r1, c1, n = a0 + b0, a0 + c0, a0 + b0 + c0 + d0
-        k = np.arange(max(0, r1 + c1 - n), min(r1, c1) + 1)
+        centre = r1 * c1 / n if n else 0.0
+        reach = 40 * math.sqrt(max(centre * (n - r1) * (n - c1) / max(n * n, 1), 1)) + 50
+        k = np.arange(max(0, r1 + c1 - n, min(a0, math.floor(centre - reach))),
+                      min(r1, c1, max(a0, math.ceil(centre + reach))) + 1)
         lp = (
             math.lgamma(r1 + 1) + math.lgamma(n - r1 + 1) + math.lgamma(c1 + 1)
             + math.lgamma(n - c1 + 1) - math.lgamma(n + 1)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Hart's rational approximation of the normal tail (double precision).
@@ -61,6 +61,7 @@ def _poly(x: Column, high_first: list[float]) -> Column:
 
 
 def norm_cdf(z: Column) -> Column:
+    """Pass a plain column: the argument is repeated in both polynomials."""
     a = F.abs(z)
     e = F.exp(-a * a / 2)
     body = e * _poly(a, HART_NUMERATOR) / _poly(a, HART_DENOMINATOR)
@@ -73,22 +74,24 @@ def norm_sf(z: Column) -> Column:
     return norm_cdf(-z)
 
 
-def norm_ppf(p: Column) -> Column:
-    """NULL outside (0, 1)."""
-    q = p - 0.5
-    r0 = F.lit(0.180625) - q * q
-    central = q * _poly(r0, CENTRAL_NUMERATOR[::-1]) / _poly(r0, CENTRAL_DENOMINATOR[::-1])
-    s = F.sqrt(-F.ln(F.least(p, 1 - p)))
-    r1, r2 = s - 1.6, s - 5.0
-    middle = _poly(r1, MIDDLE_NUMERATOR[::-1]) / _poly(r1, MIDDLE_DENOMINATOR[::-1])
-    far = _poly(r2, TAIL_NUMERATOR[::-1]) / _poly(r2, TAIL_DENOMINATOR[::-1])
-    outer = F.when(s <= 5.0, middle).otherwise(far)
-    return (
-        F.when((p <= 0) | (p >= 1), None)
-        .when(F.abs(q) <= 0.425, central)
-        .when(q < 0, -outer)
-        .otherwise(outer)
-    )
+def with_norm_ppf(df: DataFrame, name: str, p: Column) -> DataFrame:
+    """Add the normal quantile of `p` (NULL outside (0, 1)).
+
+    The shared parts are columns of their own: nesting them would repeat them in
+    every polynomial and outgrow the generated-code limit.
+    """
+    df = df.withColumn("_pp", p)
+    pp = F.col("_pp")
+    df = df.withColumn("_pq", pp - 0.5).withColumn("_ps", F.sqrt(-F.ln(F.least(pp, 1 - pp))))
+    df = df.withColumn("_pr", F.when(F.abs("_pq") <= 0.425, F.lit(0.180625) - F.col("_pq") * F.col("_pq"))
+                       .when(F.col("_ps") <= 5.0, F.col("_ps") - 1.6).otherwise(F.col("_ps") - 5.0))
+    q, s, r = F.col("_pq"), F.col("_ps"), F.col("_pr")
+    central = q * _poly(r, CENTRAL_NUMERATOR[::-1]) / _poly(r, CENTRAL_DENOMINATOR[::-1])
+    middle = _poly(r, MIDDLE_NUMERATOR[::-1]) / _poly(r, MIDDLE_DENOMINATOR[::-1])
+    far = _poly(r, TAIL_NUMERATOR[::-1]) / _poly(r, TAIL_DENOMINATOR[::-1])
+    value = (F.when((pp <= 0) | (pp >= 1), None).when(F.abs(q) <= 0.425, central)
+             .otherwise(F.signum(q) * F.when(s <= 5.0, middle).otherwise(far)))
+    return df.withColumn(name, value).drop("_pp", "_pq", "_ps", "_pr")
 
 
 def norm_pdf(z: Column) -> Column:

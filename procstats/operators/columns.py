@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.normal import norm_cdf, norm_ppf
+from ..functions.normal import norm_cdf, with_norm_ppf
 from ..functions.numeric import finite, ratio, to_number
 from ..plans.joining import attach
 from ..plans.ordering import block_window, blocks, quantiles, ranks, sequence
@@ -61,9 +61,9 @@ def difference(df: DataFrame, column: str, k: int, order_by: Sequence[str], by:
 def normal_scores(df: DataFrame, z: str | None = None, p: str | None = None) -> DataFrame:
     """NORMSDIST of column `z` and/or NORMSINV of column `p`."""
     if z:
-        df = df.withColumn(f"normsdist_{z}", norm_cdf(finite(z)))
+        df = df.withColumn("_z", finite(z)).withColumn(f"normsdist_{z}", norm_cdf(F.col("_z"))).drop("_z")
     if p:
-        df = df.withColumn(f"normsinv_{p}", norm_ppf(finite(p)))
+        df = with_norm_ppf(df, f"normsinv_{p}", finite(p))
     return df
 
 

@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .session import BROADCAST_ROWS, persist, setting
 
@@ -39,4 +40,12 @@ def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "in
 def one_row(totals: DataFrame) -> dict[str, Column]:
     """The columns of a one-row aggregate as typed literals."""
     row = totals.first()
-    return {f.name: F.lit(None if row is None else row[f.name]).cast(f.dataType) for f in totals.schema.fields}
+    return {f.name: _literal(None if row is None else row[f.name], f.dataType) for f in totals.schema.fields}
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    if value is not None and isinstance(kind, T.ArrayType):
+        return F.array(*[_literal(v, kind.elementType) for v in value]).cast(kind)
+    if value is not None and isinstance(kind, T.StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    return F.lit(value).cast(kind)

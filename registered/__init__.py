@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["preparation"]
+MODULES = ["preparation", "descriptives"]
 
 
 def catalog() -> dict:

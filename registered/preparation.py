@@ -9,16 +9,9 @@ from procstats.operators import columns as C
 from procstats.operators import rows as R
 from procstats.sources import readers
 
-from .common import q6, q7, r, table, tidy
+from .common import q6, q7, r, registry, table
 
-QUERIES = {}
-
-
-def query(name, sql=None, **digits):
-    def add(fn):
-        QUERIES[name] = (lambda spark, folder: tidy(fn(spark, folder), **digits), sql)
-        return fn
-    return add
+QUERIES, query = registry()
 
 
 @query("locale_numeric_cast", """
