@@ -238,8 +238,8 @@ def poisson_high(k, conf):
     return chi2_ppf((1 + np.asarray(conf, float)) / 2, 2 * np.asarray(k, float) + 2) / 2
 
 
-def fisher_two_sided(a, b, c, d):
-    """Two-sided Fisher p: tables at most as likely as the observed one."""
+def _fisher(a, b, c, d, keep):
+    """Sum hypergeometric probabilities; terms beyond 40 standard deviations are below 1e-300."""
     out = []
     for a0, b0, c0, d0 in zip(*(np.atleast_1d(np.asarray(v, float)) for v in (a, b, c, d))):
         r1, c1, n = a0 + b0, a0 + c0, a0 + b0 + c0 + d0
@@ -253,11 +253,23 @@ def fisher_two_sided(a, b, c, d):
             - _lgamma(k + 1) - _lgamma(r1 - k + 1) - _lgamma(c1 - k + 1) - _lgamma(n - r1 - c1 + k + 1)
         )
         pr = np.exp(lp)
-        obs = pr[int(a0 - k[0])]
-        out.append(min(1.0, pr[pr <= obs * (1 + 1e-9)].sum()))
+        out.append(min(1.0, pr[keep(k, pr, a0)].sum()))
     return np.array(out)
 
 
+def fisher_two_sided(a, b, c, d):
+    """Tables at most as likely as the observed one."""
+    return _fisher(a, b, c, d, lambda k, pr, a0: pr <= pr[int(a0 - k[0])] * (1 + 1e-9))
+
+
+def fisher_less(a, b, c, d):
+    return _fisher(a, b, c, d, lambda k, pr, a0: k <= a0)
+
+
+def fisher_greater(a, b, c, d):
+    return _fisher(a, b, c, d, lambda k, pr, a0: k >= a0)
+
+
 def kolmogorov_sf(x):
     x = np.asarray(x, float)
     j = np.arange(1, 101)[:, None]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["preparation", "descriptives"]
+MODULES = ["preparation", "descriptives", "tests_of_hypotheses"]
 
 
 def catalog() -> dict:
