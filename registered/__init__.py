@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["preparation", "descriptives", "tests_of_hypotheses"]
+MODULES = ["preparation", "descriptives", "tests_of_hypotheses", "charts"]
 
 
 def catalog() -> dict:
