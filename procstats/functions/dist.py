@@ -16,8 +16,25 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _each(fn, *arrays):
+    """Scalar function over broadcast arrays; repeated arguments are computed once."""
+    arrays = np.broadcast_arrays(*(np.asarray(a, float) for a in arrays))
+    seen: dict = {}
+    flat = []
+    for args in zip(*(a.ravel() for a in arrays)):
+        if args not in seen:
+            seen[args] = fn(*args)
+        flat.append(seen[args])
+    return np.array(flat, float).reshape(arrays[0].shape)
+
+
+def _lgamma(x):
+    return _each(math.lgamma, x)
+
+
+def _erfc(x):
+    return _each(math.erfc, x)
 
 
 def norm_cdf(z):
@@ -300,7 +317,8 @@ def _ptukey_one(q, k, df):
     return float(min(1.0, np.sum(ws * h) / ws.sum() if len(ws) > 1 else h[0]))
 
 
-tukey_cdf = np.vectorize(_ptukey_one, otypes=[float])
+def tukey_cdf(q, k, df):
+    return _each(_ptukey_one, q, k, df)
 
 
 def tukey_sf(q, k, df):
@@ -318,7 +336,8 @@ def _qtukey_one(p, k, df):
     return 0.5 * (lo + hi)
 
 
-tukey_ppf = np.vectorize(_qtukey_one, otypes=[float])
+def tukey_ppf(p, k, df):
+    return _each(_qtukey_one, p, k, df)
 
 
 def _pdunnett_one(c, m, rho, df):
@@ -336,7 +355,7 @@ def _pdunnett_one(c, m, rho, df):
 
 
 def dunnett_sf(c, m, rho, df):
-    return 1 - np.vectorize(_pdunnett_one, otypes=[float])(c, m, rho, df)
+    return 1 - _each(_pdunnett_one, c, m, rho, df)
 
 
 def _qdunnett_one(p, m, rho, df):
@@ -350,7 +369,8 @@ def _qdunnett_one(p, m, rho, df):
     return 0.5 * (lo + hi)
 
 
-dunnett_ppf = np.vectorize(_qdunnett_one, otypes=[float])
+def dunnett_ppf(p, m, rho, df):
+    return _each(_qdunnett_one, p, m, rho, df)
 
 
 def c4(n):
