@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["preparation", "descriptives", "tests_of_hypotheses", "charts", "models", "quality", "series_and_vectors"]
+MODULES = ["preparation", "descriptives", "tests_of_hypotheses", "charts", "models", "quality", "series_and_vectors", "experiments_and_process"]
 
 
 def catalog() -> dict:

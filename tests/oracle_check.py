@@ -19,7 +19,8 @@ import __spark_entry__ as entry  # noqa: E402
 def session(cpus: str = "8") -> SparkSession:
     return (SparkSession.builder.master(f"local[{cpus}]").appName("check")
             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-            .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate())
+            .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
+            .config("spark.procstats.blockRows", os.environ.get("BLOCK_ROWS", "131072")).getOrCreate())
 
 
 def duck(folder: str):
