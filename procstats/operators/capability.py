@@ -88,7 +88,8 @@ def normal_capability(df: DataFrame, value: str, order_by: Sequence[str], by: Se
     g = _merge(g, within_sigma(df, value, order_by, by, size, label, method), by)
     s = F.when(F.col("sigma_within") > 0, F.col("sigma_within")).otherwise(F.col("sd_overall"))
     g = persist(g.withColumn("sigma_within", s))
-    g = indices(indices(g, "sigma_within", "within"), "sd_overall", "overall")
+    g = persist(indices(g, "sigma_within", "within"))
+    g = persist(indices(g, "sd_overall", "overall"))
     n = F.col("n").cast("double")
     z = float(dist.norm_ppf((1 + conf) / 2))
     g = g.withColumns({

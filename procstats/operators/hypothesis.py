@@ -330,8 +330,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, levels: Sequence[str], b
     return g
 
 
-def median_of_sums(x: DataFrame, y: DataFrame, by: Sequence[str], walsh: bool = False, candidates: int = 32,
-                   passes: int = 13) -> DataFrame:
+def median_of_sums(x: DataFrame, y: DataFrame, by: Sequence[str], walsh: bool = False, passes: int = 30) -> DataFrame:
     """Median of x_i + y_j over all pairs without forming the pairs.
 
     The number of pairs with sum <= d is a sum over x of an empirical count of
@@ -343,6 +342,8 @@ def median_of_sums(x: DataFrame, y: DataFrame, by: Sequence[str], walsh: bool =
     fx = x.where("_x is not null").groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
     fy = fx if walsh else y.where("_x is not null").groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
     fx, fy = persist(fx), persist(fy)
+    # more candidates per pass save passes on small tables, fewer save rows on large ones
+    candidates = int(min(256, max(16, 2_000_000 // max(1, fx.count() + fy.count()))))
     edge = lambda f, p: f.groupBy(*by).agg(F.sum("_c").alias(f"_n{p}"), F.min("_x").alias(f"_l{p}"), F.max("_x").alias(f"_h{p}"))
     state = _merge(edge(fx, "x"), edge(fy, "y"), by).where("_nx > 0 and _ny > 0")
     pairs = F.col("_nx") * (F.col("_nx") + 1) / 2 if walsh else F.col("_nx").cast("double") * F.col("_ny")

@@ -32,6 +32,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pea
             out = one if out is None else out.unionByName(one)
         return _with_p(out)
     if method == "spearman":
+        whole = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(finite(c)).alias(c) for c in columns]).first()
+        if all(whole[c] == whole["n"] for c in columns):
+            return _with_p(_spearman_complete(df, columns, whole["n"]))
         out = None
         for a, b in _pairs(columns):
             one = spearman(df, a, b).select(F.lit(a).alias("x"), F.lit(b).alias("y"), "n", "r")
@@ -52,6 +55,21 @@ def _with_p(t: DataFrame) -> DataFrame:
     return t.withColumn("p_value", F.when(F.abs(r) >= 1, 0.0).otherwise(p_from_t(F.col("t"), n - 2, "two")))
 
 
+def _spearman_complete(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
+    """Nothing missing: every column is ranked once for all pairs."""
+    rows = df.select(*[F.when(finite(c) == 0, F.lit(0.0)).otherwise(finite(c)).alias(f"_v{i}") for i, c in enumerate(columns)])
+    for i in range(len(columns)):
+        order = value_order(rows, f"_v{i}")
+        centred = F.col("below") + (F.col("freq") + 1) / 2 - (n + 1) / 2
+        rows = attach(rows, order.select(f"_v{i}", centred.alias(f"_r{i}")), [f"_v{i}"])
+    at = {c: F.col(f"_r{i}") for i, c in enumerate(columns)}
+    pairs = _pairs(columns)
+    sums = rows.agg(*[F.sum(at[a] * at[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)], *[F.sum(at[c] * at[c]).alias(f"s_{c}") for c in columns])
+    lines = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(n).cast("bigint").alias("n"),
+                      ratio(F.col(f"p{i}"), F.sqrt(F.col(f"s_{a}") * F.col(f"s_{b}"))).alias("r")) for i, (a, b) in enumerate(pairs)]
+    return sums.select(F.explode(F.array(*lines)).alias("_l")).select("_l.*")
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of average ranks over complete pairs, on (x, y) frequencies."""
     rows = df.select(finite(x).alias("_x"), finite(y).alias("_y")).na.drop()
