@@ -65,7 +65,7 @@ def coded_to_real(df: DataFrame, factors: Sequence[str], ranges: DataFrame, by:
 def _coded(df: DataFrame, factors: Sequence[str], ranges: DataFrame, by: Sequence[str]) -> DataFrame:
     out = attach(df, ranges, by)
     for f in factors:
-        out = out.withColumn(f, F.coalesce(ratio(finite(f) - F.col(f"{f}_mid"), F.col(f"{f}_half")), F.when(finite(f).isNotNull(), 0.0)))
+        out = out.withColumn(f, F.when(F.col(f"{f}_half") == 0, 0.0).otherwise((F.col(f).cast("double") - F.col(f"{f}_mid")) / F.col(f"{f}_half")))
     return out.drop(*[f"{f}_{s}" for f in factors for s in ("mid", "half")])
 
 

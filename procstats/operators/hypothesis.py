@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from ..plans.session import persist
 from .describe import _merge
 
 
+PAIR_TABLE_ROWS = 200_000
+
+
 def p_from_t(t: Column, df: Column, alt: str) -> Column:
     if alt == "two":
         return dist.apply(dist.t_sf2, t, df)
@@ -342,8 +347,9 @@ def median_of_sums(x: DataFrame, y: DataFrame, by: Sequence[str], walsh: bool =
     fx = x.where("_x is not null").groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
     fy = fx if walsh else y.where("_x is not null").groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
     fx, fy = persist(fx), persist(fy)
-    # more candidates per pass save passes on small tables, fewer save rows on large ones
-    candidates = int(min(256, max(16, 2_000_000 // max(1, fx.count() + fy.count()))))
+    if fy.count() <= PAIR_TABLE_ROWS:
+        return _median_of_sums_by_lookup(fx, fy, by, walsh, passes)
+    candidates = 32
     edge = lambda f, p: f.groupBy(*by).agg(F.sum("_c").alias(f"_n{p}"), F.min("_x").alias(f"_l{p}"), F.max("_x").alias(f"_h{p}"))
     state = _merge(edge(fx, "x"), edge(fy, "y"), by).where("_nx > 0 and _ny > 0")
     pairs = F.col("_nx") * (F.col("_nx") + 1) / 2 if walsh else F.col("_nx").cast("double") * F.col("_ny")
@@ -384,6 +390,75 @@ def median_of_sums(x: DataFrame, y: DataFrame, by: Sequence[str], walsh: bool =
     return state.groupBy(*by).agg((F.avg("_hi") / scale).alias("median"))
 
 
+def _median_of_sums_by_lookup(fx: DataFrame, fy: DataFrame, by: Sequence[str], walsh: bool, passes: int) -> DataFrame:
+    """`median_of_sums` when the distinct values of y fit in PAIR_TABLE_ROWS.
+
+    The bounded y table travels to the tasks; each pass looks the candidates of
+    every x up in it and returns one partial count per candidate.
+    """
+    spark = fx.sparkSession
+    tables: dict = {}
+    for row in fy.orderBy(*by, "_x").collect():
+        v, c = tables.setdefault(tuple(row[k] for k in by), ([], []))
+        v.append(row["_x"])
+        c.append(row["_c"])
+    tables = {k: (np.array(v), np.concatenate([[0.0], np.cumsum(c, dtype=float)])) for k, (v, c) in tables.items()}
+    sizes = {tuple(r[k] for k in by): (r["n"], r["lo"], r["hi"]) for r in
+             fx.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).collect()}
+    state = {}
+    for key in tables.keys() & sizes.keys():
+        (v, cum), (nx, lo, hi) = tables[key], sizes[key]
+        pairs = nx * (nx + 1) / 2 if walsh else nx * cum[-1]
+        low, high = lo + v[0], hi + v[-1]
+        pad = (high - low) * 1e-12 + abs(high) * 1e-15 + 1e-300
+        for target in {np.floor((pairs + 1) / 2), np.floor(pairs / 2) + 1}:
+            state[key, target] = (low - pad, high)
+    sent = spark.sparkContext.broadcast(tables)
+    width = max(4, min(64, 500_000 // max(1, len(state))))
+    types = dict(fx.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in by] + ["_d double", "_n double"])
+    for _ in range(passes):
+        asked: dict = {}
+        for (key, _), (lo, hi) in state.items():
+            asked.setdefault(key, set()).update(np.append(lo + (hi - lo) * np.arange(1, width) / width, hi))
+        asked = {k: np.array(sorted(v)) for k, v in asked.items()}
+
+        def look(batches, asked=asked):
+            total: dict = {}
+            for pdf in batches:
+                keys = list(map(tuple, pdf[list(by)].itertuples(index=False))) if by else [()] * len(pdf)
+                for key in set(keys):
+                    if key not in asked:
+                        continue
+                    part = pdf[[k == key for k in keys]] if by else pdf
+                    x, c, ds = part["_x"].to_numpy(), part["_c"].to_numpy(float), asked[key]
+                    v, cum = sent.value[key]
+                    n = np.array([(c * cum[np.searchsorted(v, d - x, side="right")]).sum() for d in ds])
+                    if walsh:
+                        n = (n + np.array([c[2 * x <= d].sum() for d in ds])) / 2
+                    total[key] = total.get(key, 0.0) + n
+            rows = [[*key, d, n] for key, ns in total.items() for d, n in zip(asked[key], ns)]
+            yield pd.DataFrame(rows, columns=[*by, "_d", "_n"])
+
+        counts: dict = {}
+        for row in fx.mapInPandas(look, schema).groupBy(*by, "_d").agg(F.sum("_n").alias("_n")).collect():
+            counts.setdefault(tuple(row[k] for k in by), []).append((row["_d"], row["_n"]))
+        done = True
+        for (key, target), (lo, hi) in state.items():
+            found = [(d, n) for d, n in counts[key] if lo < d <= hi]
+            hi2 = min(d for d, n in found if n >= target)
+            lo2 = max([d for d, n in found if n < target], default=lo)
+            state[key, target] = (lo2, hi2)
+            done &= hi2 - lo2 <= 1e-13 * max(abs(hi2), 1.0)
+        if done:
+            break
+    out: dict = {}
+    for (key, _), (_, hi) in state.items():
+        out.setdefault(key, []).append(hi / (2 if walsh else 1))
+    schema = ", ".join([f"`{k}` {types[k]}" for k in by] + ["median double"])
+    return spark.createDataFrame([(*key, float(np.mean(v))) for key, v in out.items()], schema)
+
+
 def wilcoxon_signed(df: DataFrame, value: str, mu0: float = 0.0, by: Sequence[str] = (), alt: str = "two",
                     estimate: bool = True) -> DataFrame:
     """Signed-rank test with tie correction and the Walsh-average estimate."""

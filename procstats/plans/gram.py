@@ -33,6 +33,7 @@ class Design:
     terms: list[tuple[str, list[int]]] = field(default_factory=list)
     levels: dict[str, list[str]] = field(default_factory=dict)
     variables: list[tuple[str, ...]] = field(default_factory=list)
+    numeric: list[str] = field(default_factory=list)
     intercept: bool = True
 
     @property
@@ -70,7 +71,8 @@ def design(df: DataFrame, terms: Sequence[str], categorical: Sequence[str] = (),
             g = level(v)
             base[v] = [(f"{v}[{name}]", F.when(g == name, 1.0).when(g == lv[-1], -1.0).otherwise(0.0)) for name in lv[:-1]]
         else:
-            x = finite(v)
+            x = F.col(v).cast("double")
+            out.numeric.append(v)
             base[v] = [(v, x - centre[v] if centre and v in centre else x)]
         return base[v]
 
@@ -94,13 +96,19 @@ def design(df: DataFrame, terms: Sequence[str], categorical: Sequence[str] = (),
 
 
 def design_rows(df: DataFrame, dm: Design, y: str | Column | None, by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
-    """Complete rows with the design columns (and `_y`)."""
-    cols = [e.cast("double").alias(c) for c, e in zip(dm.columns, dm.exprs)]
+    """Complete rows with the design columns (and `_y`).
+
+    Completeness is tested on the source variables: testing the generated
+    products would evaluate every one of them twice.
+    """
+    keep = [c for c in keep if c not in by]
     if y is not None:
-        cols.append(finite(y).alias("_y"))
-    rows = df.select(*by, *[c for c in keep if c not in by], *cols)
-    complete = [*dm.columns, *(["_y"] if y is not None else [])]
-    return rows.na.drop(subset=complete) if complete else rows
+        df = df.withColumn("_y", finite(y))
+    used = [finite(v).isNotNull() for v in dm.numeric] + ([F.col("_y").isNotNull()] if y is not None else [])
+    for cond in used:
+        df = df.where(cond)
+    cols = [e.cast("double").alias(c) for c, e in zip(dm.columns, dm.exprs)]
+    return df.select(*by, *keep, *cols, *(["_y"] if y is not None else []))
 
 
 def moments(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
