@@ -20,9 +20,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
 from .joining import attach
-from .session import BLOCK_ROWS, persist, setting
+from .session import BLOCK_ROWS, SKETCH_FROM, persist, setting
 
 DEFAULT_BLOCK_ROWS = 131_072
+DEFAULT_SKETCH_FROM = 5_000_000  # below this many rows one full ordering is cheaper than two scans
+SKETCH_ACCURACY = 2000  # rank error of a sketch quantile: at most n / 2000
+SKETCH_MARGIN = 0.002  # half width of the bracket around a quantile
+SKETCH_ROWS = 4000  # from here on the bracket is wider than the error plus the neighbouring ranks
 SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
@@ -153,12 +157,63 @@ def quantile_columns(value: str, wanted: Mapping[str, tuple[float, int]]) -> tup
 def quantiles(df: DataFrame, value: str, wanted: Mapping[str, tuple[float, int]], by: Sequence[str] = (),
               weight: str | None = None, ordered: DataFrame | None = None) -> DataFrame:
     """Exact grouped quantiles: `wanted` = {column: (p, type 6 or 7)}; also returns `n`."""
+    if ordered is None and weight is None and df.count() >= setting(df.sparkSession, SKETCH_FROM, DEFAULT_SKETCH_FROM):
+        found = _bracketed_quantiles(df, value, wanted, by)
+        if found is not None:
+            return found
     ordered = value_order(df, value, by, weight) if ordered is None else ordered
     aggs, outs = quantile_columns(value, wanted)
     picked = ordered.groupBy(*by).agg(F.max("n").alias("n"), *aggs)
     return picked.select(*by, "n", *outs)
 
 
+def _bracketed_quantiles(df: DataFrame, value: str, wanted: Mapping[str, tuple[float, int]],
+                         by: Sequence[str]) -> DataFrame | None:
+    """Exact quantiles of large groups without ordering the table.
+
+    A mergeable sketch brackets every quantile; a second pass counts the rows
+    below each bracket and keeps only the values inside it (about 0.4 % of the
+    rows), which are then ordered exactly.  None when most rows are in small
+    groups, or when a bracket missed its rank: the caller orders all values.
+    """
+    by = list(by)
+    x = df.select(*by, finite(value).alias("_x")).where("_x is not null")
+    x = x.withColumn("_x", F.when(F.col("_x") == 0, F.lit(0.0)).otherwise(F.col("_x")))
+    edges = [min(1.0, max(0.0, p + d)) for p, _ in wanted.values() for d in (-SKETCH_MARGIN, SKETCH_MARGIN)]
+    sketch = persist(x.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("_x", F.array(*[F.lit(e) for e in edges]), SKETCH_ACCURACY).alias("_q")))
+    sizes = sketch.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") >= SKETCH_ROWS, F.col("n"))).alias("large")).first()
+    if not sizes["all"] or (sizes["large"] or 0) < sizes["all"] / 2:
+        return None
+    rows = attach(x, sketch.withColumn("_q", F.when(F.col("n") >= SKETCH_ROWS, F.col("_q"))), by, ready=True)
+    v = F.col("_x")
+    marks = []
+    for k in range(len(wanted)):
+        lo, hi = F.get("_q", F.lit(2 * k)), F.get("_q", F.lit(2 * k + 1))
+        inside = (lo.isNull() | (v >= lo)) & (hi.isNull() | (v <= hi))
+        below = F.struct(F.lit(k).alias("k"), F.lit(None).cast("double").alias("v"))
+        marks.append(F.when(v < lo, below).when(inside, F.struct(F.lit(k).alias("k"), v.alias("v"))))
+    rows = rows.select(*by, F.explode(F.array_compact(F.array(*marks))).alias("_m")).select(*by, "_m.k", "_m.v")
+    # everything below a bracket falls into one NULL cell, which sorts first
+    cells = rows.groupBy(*by, "k", "v").agg(F.count(F.lit(1)).alias("freq"))
+    order = attach(prefix(cells, [*by, "k"], ["v"], {"below": "freq"}), sketch.select(*by, "n"), by)
+    aggs, outs = [], []
+    for k, (name, (p, kind)) in enumerate(wanted.items()):
+        low, high, w = quantile_bounds(p, kind, F.col("n"))
+        here = (F.col("k") == k) & F.col("v").isNotNull()
+        for side, rank in (("l", low), ("h", high)):
+            hit = here & (F.col("below") < rank) & (rank <= F.col("below") + F.col("freq"))
+            aggs.append(F.max(F.when(hit, F.col("v"))).alias(f"_{name}_{side}"))
+        outs.append((F.col(f"_{name}_l") + w * (F.col(f"_{name}_h") - F.col(f"_{name}_l"))).alias(name))
+    picked = persist(order.groupBy(*by).agg(F.max("n").alias("n"), *aggs).select(*by, "n", *outs))
+    missed = [F.col(name).isNull() for name in wanted]
+    any_missed = missed[0]
+    for m in missed[1:]:
+        any_missed = any_missed | m
+    return None if picked.where(any_missed).limit(1).count() else picked
+
+
 def ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """Distinct values with their average rank `name` and tie size `freq`."""
     order = value_order(df, value, by)

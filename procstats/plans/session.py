@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 BROADCAST_ROWS = "procstats.broadcastRows"
 BLOCK_ROWS = "procstats.blockRows"
+SKETCH_FROM = "procstats.sketchFrom"
 
 
 def setting(spark: SparkSession, key: str, default: int) -> int:

@@ -301,3 +301,19 @@ def test_hot_group(spark):
     cut = int(len(xs) * 0.05)
     assert out["hot"]["trimmed_mean"] == pytest.approx(xs[cut:len(xs) - cut].mean())
     assert out["hot"]["mad"] == pytest.approx(1.4826 * np.median(np.abs(xs - np.median(xs))))
+
+
+def test_bracketed_quantiles(spark, monkeypatch):
+    """Large groups take the bracketing path, a hot value and a small group included."""
+    rng = np.random.default_rng(20)
+    xs = np.round(np.concatenate([rng.exponential(5, 6000), np.full(3000, 2.5)]), 3)
+    df = spark.createDataFrame([("a", float(x)) for x in xs] + [("b", float(x)) for x in xs[:50]], "g string, x double").repartition(6)
+    wanted = {"q1": (0.25, 6), "m": (0.5, 7), "q9": (0.95, 7), "lo": (0.0, 6), "hi": (1.0, 7)}
+    found = ordering._bracketed_quantiles(df, "x", wanted, ["g"])
+    assert found is not None
+    plain = {r["g"]: r.asDict() for r in ordering.quantiles(df, "x", wanted, ["g"]).collect()}
+    assert {r["g"]: r.asDict() for r in found.collect()} == plain
+    assert plain["a"]["m"] == pytest.approx(np.median(xs)) and plain["a"]["n"] == 9000
+    assert ordering._bracketed_quantiles(df.where("g = 'b'"), "x", wanted, ["g"]) is None
+    monkeypatch.setattr(ordering, "DEFAULT_SKETCH_FROM", 10)
+    assert {r["g"]: r.asDict() for r in ordering.quantiles(df, "x", wanted, ["g"]).collect()} == plain
