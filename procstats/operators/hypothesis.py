@@ -414,7 +414,9 @@ def _median_of_sums_by_lookup(fx: DataFrame, fy: DataFrame, by: Sequence[str], w
         for target in {np.floor((pairs + 1) / 2), np.floor(pairs / 2) + 1}:
             state[key, target] = (low - pad, high)
     sent = spark.sparkContext.broadcast(tables)
-    width = max(4, min(64, 500_000 // max(1, len(state))))
+    # wide passes on short tables (fewer jobs), narrow ones on long tables (less work per pass)
+    width = max(64, min(1024, 20_000_000 // max(1, fx.count())))
+    width = max(4, min(width, 500_000 // max(1, len(state))))
     types = dict(fx.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in by] + ["_d double", "_n double"])
     for _ in range(passes):

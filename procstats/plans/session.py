@@ -15,18 +15,20 @@ def setting(spark: SparkSession, key: str, default: int) -> int:
     return int(spark.conf.get("spark." + key, str(default)))
 
 
-def persist(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the cluster's checkpoint folder and cut its lineage.
-
-    The folder is the session's `spark.checkpoint.dir`.  Only a local session
-    without one gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of the cluster; only a local session without one gets its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="procstats-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def persist(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the checkpoint folder and cut its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

@@ -251,3 +251,11 @@ SELECT event_type, rule, count(*) AS points, min(point) AS first_point, max(poin
 def _(s, d):
     c = S.individuals_chart(events(s, d), "value", ["event_id"], ["event_type"])
     return S.violation_summary(c.where("panel = 'individuals'"), ["event_type"])
+
+
+@query("violation_points", f"""
+WITH {IMR}, {rules_sql("q", "event_type")}
+SELECT event_type, unnest(violations) AS rule, point, point::VARCHAR AS label FROM r4""")
+def _(s, d):
+    c = S.individuals_chart(events(s, d), "value", ["event_id"], ["event_type"])
+    return S.violation_points(c.where("panel = 'individuals'"), ["event_type"])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from procstats.operators import aggregate as A
 from procstats.operators import columns as C
 from procstats.operators import rows as R
-from procstats.sources import readers
+from procstats.plans.session import checkpoint_folder
+from procstats.sources import readers, writers
 
 from .common import q6, q7, r, registry, table
 
@@ -379,3 +382,30 @@ def _(s, d):
     j = table(s, d, "lineitem").select("l_partkey", "l_extendedprice").join(
         table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_type", "p_size").alias("kind")), "l_partkey")
     return A.pareto(j, "kind", "l_extendedprice")
+
+
+def scratch(s, kind):
+    return f"{checkpoint_folder(s)}/{kind}-{uuid.uuid4().hex}"
+
+
+@query("delimited_round_trip", """
+SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderpriority, round(o_totalprice, 2) + 0.0 AS o_totalprice FROM orders""", digits=2)
+def _(s, d):
+    path = scratch(s, "csv")
+    writers.write_csv(table(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), path, ";")
+    return readers.read_delimited(s, path, ";", True)
+
+
+@query("json_round_trip", "SELECT event_id, event_type, value FROM events")
+def _(s, d):
+    path = scratch(s, "json")
+    writers.write_json(table(s, d, "events").select("event_id", "event_type", "value"), path)
+    return s.read.schema("event_id bigint, event_type string, value double").json(path)
+
+
+@query("result_export", "SELECT event_type AS kind, round(max(value), 6)::VARCHAR AS largest FROM events GROUP BY 1")
+def _(s, d):
+    path = scratch(s, "export")
+    top = A.aggregate(table(s, d, "events"), ["event_type"], [("max", "value", "hi")])
+    writers.export_result(top, path, {"event_type": "kind", "hi": "largest"})
+    return s.read.csv(path, header=True)
