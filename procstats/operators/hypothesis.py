@@ -611,22 +611,41 @@ def _full_cells(cells: DataFrame, row: str, column: str, by: Sequence[str]) -> D
 
 
 def _chi_square_from_cells(cells: DataFrame, row: str, column: str, by: Sequence[str], yates: bool = False) -> DataFrame:
-    full = _full_cells(cells, row, column, by)
-    o, e = F.col("count"), F.col("expected")
-    g = full.groupBy(*by).agg(
-        F.sum("contribution").alias("_chi"), F.sum(F.greatest(F.lit(0.0), F.abs(o - e) - 0.5) ** 2 / e).alias("_yates"),
-        F.sum(F.when(o > 0, 2 * o * F.ln(o / e)).otherwise(0.0)).alias("likelihood_ratio"), F.sum("count").alias("n"),
-        F.count_distinct(row).alias("_r"), F.count_distinct(column).alias("_c"), F.min("expected").alias("min_expected"),
-        F.avg((e < 5).cast("double")).alias("_small"))
-    two_by_two = (F.col("_r") == 2) & (F.col("_c") == 2)
-    g = g.withColumn("chisq", F.when(two_by_two, F.col("_yates")).otherwise(F.col("_chi")) if yates else F.col("_chi"))
-    g = g.withColumn("df", ((F.col("_r") - 1) * (F.col("_c") - 1)).cast("double"))
+    """Statistics from the observed cells and the margins; the empty cells of a
+    large table are never listed (their contributions sum to N minus the
+    observed expectations)."""
+    cells = persist(cells)
+    total = cells.groupBy(*by).agg(F.sum("count").cast("double").alias("_n"))
+    rows = persist(cells.groupBy(*by, row).agg(F.sum("count").cast("double").alias("_row")))
+    cols = persist(cells.groupBy(*by, column).agg(F.sum("count").cast("double").alias("_col")))
+    t = attach(attach(attach(cells, rows, [*by, row], ready=True), cols, [*by, column], ready=True), total, by)
+    o, e = F.col("count"), F.col("_row") * F.col("_col") / F.col("_n")
+    g = t.groupBy(*by).agg(
+        F.sum((o - e) ** 2 / e).alias("_seen"), F.sum(e).alias("_e"), F.max(F.abs(o - e)).alias("_dev"),
+        F.sum(F.when(o > 0, 2 * o * F.ln(o / e)).otherwise(0.0)).alias("likelihood_ratio"), F.max("_n").cast("bigint").alias("n"))
+    margin = lambda m, x, p: m.groupBy(*by).agg(F.count(F.lit(1)).alias(f"_{p}"), F.min(x).alias(f"_{p}0"), F.sum(1 / F.col(x)).alias(f"_{p}i"))
+    g = _merge(_merge(_merge(g, margin(rows, "_row", "r"), by), margin(cols, "_col", "c"), by), _small_expected(rows, cols, total, by), by)
+    chi = F.col("_seen") + F.col("n") - F.col("_e")
+    if yates:
+        corrected = F.greatest(F.lit(0.0), F.col("_dev") - 0.5) ** 2 * F.col("n") * F.col("_ri") * F.col("_ci")
+        chi = F.when((F.col("_r") == 2) & (F.col("_c") == 2), corrected).otherwise(chi)
+    g = g.withColumns({"chisq": chi, "df": ((F.col("_r") - 1) * (F.col("_c") - 1)).cast("double"),
+                       "min_expected": F.col("_r0") * F.col("_c0") / F.col("n"),
+                       "pct_small_expected": 100 * F.coalesce(F.col("_small"), F.lit(0.0)) / (F.col("_r") * F.col("_c"))})
     g = g.withColumns({
         "p_value": dist.apply(dist.chi2_sf, F.col("chisq"), F.col("df")),
         "p_likelihood_ratio": dist.apply(dist.chi2_sf, F.col("likelihood_ratio"), F.col("df")),
-        "cramer_v": F.sqrt(F.col("chisq") / (F.col("n") * F.least(F.col("_r") - 1, F.col("_c") - 1))),
-        "pct_small_expected": 100 * F.col("_small")})
-    return g.drop("_chi", "_yates", "_r", "_c", "_small")
+        "cramer_v": F.sqrt(ratio(F.col("chisq"), F.col("n") * F.least(F.col("_r") - 1, F.col("_c") - 1)))})
+    return g.drop(*[c for c in g.columns if c.startswith("_") and c not in by])
+
+
+def _small_expected(rows: DataFrame, cols: DataFrame, total: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Number of cells with expectation below 5, by one merged ordering of the margins."""
+    limits = attach(rows, total, by).select(*by, (5 * F.col("_n") / F.col("_row")).alias("_p"), F.lit(0).alias("_o"),
+                                            F.lit(1).alias("_ask"), F.lit(0).cast("bigint").alias("_have"))
+    have = cols.select(*by, F.col("_col").alias("_p"), F.lit(1).alias("_o"), F.lit(0).alias("_ask"), F.lit(1).cast("bigint").alias("_have"))
+    merged = prefix(limits.unionByName(have), by, ["_p", "_o"], {"_cum": "_have"})
+    return merged.groupBy(*by).agg(F.sum(F.col("_ask") * F.col("_cum")).cast("double").alias("_small"))
 
 
 def chi_square(df: DataFrame, row: str, column: str, by: Sequence[str] = (), yates: bool = False) -> DataFrame:

@@ -317,3 +317,17 @@ def test_bracketed_quantiles(spark, monkeypatch):
     assert ordering._bracketed_quantiles(df.where("g = 'b'"), "x", wanted, ["g"]) is None
     monkeypatch.setattr(ordering, "DEFAULT_SKETCH_FROM", 10)
     assert {r["g"]: r.asDict() for r in ordering.quantiles(df, "x", wanted, ["g"]).collect()} == plain
+
+
+def test_chi_square_with_empty_cells(spark):
+    rnd = random.Random(21)
+    rows = [(rnd.choice("abcdefgh"), rnd.choice("xyzw") if rnd.random() < 0.9 else "rare") for _ in range(60)]
+    df = spark.createDataFrame(rows, "r string, c string")
+    rl, cl = sorted({a for a, _ in rows}), sorted({b for _, b in rows})
+    o = np.array([[sum(q == (a, b) for q in rows) for b in cl] for a in rl], float)
+    e = o.sum(1, keepdims=True) * o.sum(0, keepdims=True) / o.sum()
+    r = H.chi_square(df, "r", "c").first()
+    assert r["chisq"] == pytest.approx(((o - e) ** 2 / e).sum()) and r["min_expected"] == pytest.approx(e.min())
+    assert r["pct_small_expected"] == pytest.approx(100 * (e < 5).mean()) and r["df"] == (len(rl) - 1) * (len(cl) - 1)
+    cells = H.chi_square_cells(df, "r", "c").collect()
+    assert len(cells) == o.size and sum(c["contribution"] for c in cells) == pytest.approx(r["chisq"])
