@@ -131,8 +131,8 @@ def run_rules(points: DataFrame, by: Sequence[str] = (), rules: Sequence[int] =
         complete["_c7"] = (7, k[7], trailing(F.abs(zc) < 1, k[7]) == k[7])
     if 8 in rules:
         complete["_c8"] = (8, k[8], trailing(F.abs(zc) > 1, k[8]) == k[8])
-    for c, (_, _, cond) in complete.items():
-        rows = rows.withColumn(c, F.when(cond, 1).otherwise(0))
+    if complete:  # one projection, hence one window pass for all rules
+        rows = rows.withColumns({c: F.when(cond, 1).otherwise(0) for c, (_, _, cond) in complete.items()})
     own = {"_c5u": zc > 2, "_c5d": zc < -2, "_c6u": zc > 1, "_c6d": zc < -1}
     hits: dict[int, Column] = {}
     for c, (rule, size, _) in complete.items():
