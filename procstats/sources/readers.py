@@ -42,10 +42,12 @@ def _is_number(text: str | None) -> bool:
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None,
-                   infer: bool = True) -> DataFrame:
+                   infer: bool = True, multi_line: bool = True) -> DataFrame:
     """CSV/TSV/TXT with quotes, doubled quotes, newlines inside quotes and a BOM.
 
     The separator and the header are guessed from the first lines when not given.
+    With `multi_line` off, quoted newlines are not read, but one large file is
+    split over many tasks.
     """
     if delimiter is None or header is None:
         first = [r[0].lstrip("﻿") for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
@@ -53,7 +55,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
         if header is None and first:
             cells = [c.strip().strip('"') for c in first[0].split(delimiter)]
             header = sum(map(_is_number, cells)) < len(cells) / 2
-    df = spark.read.csv(path, sep=delimiter, header=bool(header), quote='"', escape='"', multiLine=True,
+    df = spark.read.csv(path, sep=delimiter, header=bool(header), quote='"', escape='"', multiLine=multi_line,
                         ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, encoding="UTF-8")
     names: list[str] = []
     for i, c in enumerate(df.columns):
