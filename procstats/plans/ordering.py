@@ -31,10 +31,13 @@ SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above these bi
 
 
 def _ranges(df: DataFrame, by: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
-    """Rows in range partitions; `_at` = partition and position in it."""
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Rows in range partitions; `_at` = partition and position in it.
+
+    The number of ranges is the session's shuffle partitions; adaptive execution
+    may merge neighbouring ranges of a small table, which keeps their order.
+    """
     keys = [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order_by]
-    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return persist(ranged.withColumn("_at", F.monotonically_increasing_id()))
 
 

@@ -14,7 +14,9 @@ def spark():
     """Small blocks, so that every ordered operator crosses block borders."""
     s = (SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4")
          .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
-         .config("spark.procstats.blockRows", "32").getOrCreate())
+         .config("spark.procstats.blockRows", "32")
+         # keep several ranges even for tiny tables
+         .config("spark.sql.adaptive.coalescePartitions.enabled", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
 
