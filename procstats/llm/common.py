@@ -6,11 +6,9 @@ import sys
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.session import checkpoint_folder
 
@@ -27,13 +25,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def rows_of(df: DataFrame) -> DataFrame:
-    """(doc_id, h, text) of a table of documents: the id and a hash of the text name a row.
+def row_key() -> tuple[Column, Column]:
+    """(doc_id, h): the id and a hash of the text name a row; NULL ids become the largest long, so that they sort last."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
+
 
-    NULL ids become the largest long, so that they sort last; NULL texts are empty.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+def rows_of(df: DataFrame) -> DataFrame:
+    """(doc_id, h, text) of a table of documents; NULL texts are empty."""
+    doc_id, h = row_key()
+    return df.select(doc_id.alias("doc_id"), h.alias("h"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def given_id(name: str = "doc_id"):
@@ -45,10 +45,6 @@ def same_columns(out: DataFrame, like: DataFrame) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in like.columns])
 
 
-def batch(schema: T.StructType | pa.Schema, *arrays) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=schema)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bit mixer of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(30))

@@ -20,12 +20,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WORD, Rolling, first_of_each, given_id, mix, rows_of, union_of
+from .common import WORD, Rolling, first_of_each, given_id, mix, row_key, rows_of, union_of
 
 PERIOD = 21
 #: A perfect difference set modulo 21: every residue is a difference of two members.
 COVER = (0, 1, 4, 14, 16)
 CHUNK = 200_000
+BUCKETS_PER_TASK = 4
 
 
 class _Words(dict):
@@ -53,25 +54,105 @@ def _chunks(texts, words, known):
         yield first, np.concatenate(parts), np.array(ends)
 
 
-def _emit(doc_id, h, who, pos, *keys):
-    """Rows of one batch: the first of equal keys carries their number; later ones are known to
-    repeat, so they get a key of their own (and number 2), which spreads them over all tasks."""
+PACKED = "bucket int, docs binary, who binary, pos binary, key binary, key2 binary, n binary"
+NAMES = ["bucket", "docs", "who", "pos", "key", "key2", "n"]
+KINDS = [pa.int32(), *[pa.binary()] * 6]
+
+
+def _pack(bucket, docs, who, pos, key, key2, n) -> pa.RecordBatch:
+    """One row a bucket: its positions as packed columns, `who` being an index into the row's own (doc_id, h) list.
+
+    A position takes about half of what a row of its own would take in a shuffle.
+    """
+    order = np.argsort(bucket, kind="stable")
+    found, starts = np.unique(bucket[order], return_index=True)
+    rows = []
+    for b, idx in zip(found.tolist(), np.split(order, starts[1:])):
+        used, local = np.unique(who[idx], return_inverse=True)
+        rows.append((b, docs[used].tobytes(), local.astype(np.uint32).tobytes(), pos[idx].astype(np.uint32).tobytes(),
+                     *[b"" if x is None else x[idx].tobytes() for x in (key, key2, n)]))
+    cols = list(zip(*rows)) if rows else [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, KINDS)], names=NAMES)
+
+
+def _emit(docs, who, pos, key, key2, buckets: int) -> pa.RecordBatch:
+    """Positions of one batch, dealt by key.  The first of equal keys carries their number; later ones are known
+    to repeat, so they get a key of their own and number 2, which spreads a frequent key over all tasks."""
+    keys = [key] if key2 is None else [key, key2]
     first, count = first_of_each(*keys)
-    keys = [k.copy() for k in keys]
     rest = ~first
-    keys[0][rest] = mix(keys[0][rest] ^ mix(h[who[rest]].view(np.uint64) + pos[rest].astype(np.uint64) * np.uint64(2654435761)))
+    key = key.copy()
+    key[rest] = mix(key[rest] ^ mix(docs[who[rest], 1].view(np.uint64) + pos[rest].astype(np.uint64) * np.uint64(2654435761)))
     count[rest] = 2
-    return [*[k.view(np.int64) for k in keys], doc_id[who], h[who], pos.astype(np.int64), count]
+    return _pack((key % np.uint64(buckets)).astype(np.int32), docs, who, pos, key, key2, np.minimum(count, 2).astype(np.uint8))
+
 
+def _unpack(held):
+    """(docs, who, pos, key, key2, n) of the rows of one bucket laid together."""
+    docs = [np.frombuffer(r[1], np.int64).reshape(-1, 2) for r in held]
+    shift = np.cumsum([0] + [len(d) for d in docs])
+    who = np.concatenate([np.frombuffer(r[2], np.uint32).astype(np.int64) + s for r, s in zip(held, shift)])
+    cols = [np.concatenate([np.frombuffer(r[k], t) for r in held]) for k, t in ((3, np.uint32), (4, np.uint64), (5, np.uint32), (6, np.uint8))]
+    return np.concatenate(docs), who, *cols
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(doc_id, h, positions) of the rows whose key is met at least twice."""
-    total = rows.withColumn("total", F.expr(f"sum(n) OVER (PARTITION BY {', '.join(keys)})"))
-    return total.where("total >= 2").groupBy("doc_id", "h").agg(F.collect_set("pos").alias("positions"))
 
+def _by_bucket(batches):
+    held = []
+    for b in batches:
+        for row in zip(*[c.to_pylist() for c in b.columns]):
+            if held and held[0][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-def anchors(docs: DataFrame, length: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """(key, doc_id, h, pos, n): the hashed anchors at the cover positions of every document."""
+
+def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, h, runs) of the positions whose key is met at least twice: runs of neighbours as from, to, from, to ...
+
+    Keys of a bucket meet in one task, then the positions of a document do.
+    """
+    def count(batches):
+        for held in _by_bucket(batches):
+            docs, who, pos, key, key2, n = _unpack(held)
+            order = np.lexsort((key2, key)) if len(key2) else np.argsort(key, kind="stable")
+            new = np.ones(len(key), bool)
+            new[1:] = key[order][1:] != key[order][:-1]
+            if len(key2):
+                new[1:] |= key2[order][1:] != key2[order][:-1]
+            group = np.cumsum(new) - 1
+            twice = np.zeros(len(key), bool)
+            twice[order] = np.bincount(group, n[order])[group] > 1
+            who, pos = who[twice], pos[twice]
+            target = (mix(docs[:, 0].view(np.uint64) ^ mix(docs[:, 1].view(np.uint64))) % np.uint64(buckets)).astype(np.int32)
+            yield _pack(target[who], docs, who, pos, None, None, None)
+
+    def gather(batches):
+        for held in _by_bucket(batches):
+            docs, who, pos, *_ = _unpack(held)
+            docs, same = np.unique(docs, axis=0, return_inverse=True)
+            who = same.ravel()[who]
+            order = np.lexsort((pos, who))
+            who, pos = who[order], pos[order].astype(np.int64)
+            fresh = np.ones(len(who), bool)
+            fresh[1:] = (who[1:] != who[:-1]) | (pos[1:] > pos[:-1] + 1)
+            start = np.flatnonzero(fresh)
+            stop = np.append(start[1:], len(who)) - 1
+            runs = np.stack([pos[start], pos[stop] + 1], 1).ravel()
+            owner, begin = np.unique(who[start], return_index=True)
+            offsets = np.append(2 * begin, len(runs)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(docs[owner, 0]), pa.array(docs[owner, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(runs))],
+                                             names=["doc_id", "h", "runs"])
+
+    # buckets are some numbers per task, so tasks get equal shares
+    parts = max(1, buckets // BUCKETS_PER_TASK)
+    once = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, PACKED)
+    return once.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, h long, runs array<long>")
+
+
+def anchors(docs: DataFrame, length: int, period: int, cover: tuple[int, ...], buckets: int) -> DataFrame:
+    """The hashed anchors at the cover positions of every document, packed."""
     size = length - period + 1
 
     def run(batches):
@@ -79,7 +160,7 @@ def anchors(docs: DataFrame, length: int, period: int, cover: tuple[int, ...]) -
         is_cover = np.zeros(period, bool)
         is_cover[list(cover)] = True
         for b in batches:
-            doc_id, h = np.asarray(b.column(0)), np.asarray(b.column(1))
+            names = np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))], 1)
             who, pos, key = [], [], []
             for first, hashes, starts in _chunks((t.as_py() for t in b.column(2)), words, known):
                 lengths = np.diff(starts)
@@ -93,54 +174,55 @@ def anchors(docs: DataFrame, length: int, period: int, cover: tuple[int, ...]) -
                 who.append(owner + first)
                 pos.append(at)
             if key:
-                out = _emit(doc_id, h, np.concatenate(who), np.concatenate(pos), np.concatenate(key))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["key", "doc_id", "h", "pos", "n"])
+                yield _emit(names, np.concatenate(who), np.concatenate(pos), np.concatenate(key), None, buckets)
 
-    return docs.mapInArrow(run, "key long, doc_id long, h long, pos long, n long")
+    return docs.mapInArrow(run, PACKED)
 
 
-def windows(found: DataFrame, length: int, period: int) -> DataFrame:
-    """(key, key2, doc_id, h, pos, n): the windows that a repeated anchor witnesses, hashed in full to 128 bits."""
+def windows(found: DataFrame, length: int, period: int, buckets: int) -> DataFrame:
+    """The windows that a repeated anchor witnesses, hashed in full to 96 bits, packed."""
     def run(batches):
         words, known = re.compile(WORD), _Words()
         for b in batches:
-            doc_id, h = np.asarray(b.column(0)), np.asarray(b.column(1))
-            spots = [np.asarray(x.values) for x in b.column(3)]
+            names = np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))], 1)
+            spots = [np.asarray(x.values).reshape(-1, 2) for x in b.column(3)]
             who, pos, k1, k2 = [], [], [], []
             for first, hashes, starts in _chunks((t.as_py() for t in b.column(2)), words, known):
                 begins = []
                 for i in range(len(starts) - 1):
                     p = spots[first + i]
                     n = starts[i + 1] - starts[i] - length + 1
-                    at = np.flatnonzero(union_of(np.stack([np.maximum(p - period + 1, 0), p + 1], 1), int(starts[i + 1] - starts[i]))[:max(n, 0)])
+                    at = np.flatnonzero(union_of(np.stack([np.maximum(p[:, 0] - period + 1, 0), p[:, 1]], 1), int(starts[i + 1] - starts[i]))[:max(n, 0)])
                     begins.append(at)
                     who.append(np.full(len(at), first + i))
                     pos.append(at)
                 begin = np.concatenate([s + a for s, a in zip(starts, begins)])
                 k1.append(Rolling(hashes).span(begin, begin + length))
-                k2.append(Rolling(mix(hashes), 1).span(begin, begin + length))
+                k2.append((Rolling(mix(hashes), 1).span(begin, begin + length) >> np.uint64(32)).astype(np.uint32))
             if k1:
-                out = _emit(doc_id, h, *[np.concatenate(x) for x in (who, pos, k1, k2)])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["key", "key2", "doc_id", "h", "pos", "n"])
+                yield _emit(names, *[np.concatenate(x) for x in (who, pos, k1, k2)], buckets)
 
-    return found.mapInArrow(run, "key long, key2 long, doc_id long, h long, pos long, n long")
+    return found.mapInArrow(run, PACKED)
 
 
 def repeats(docs: DataFrame, length: int = 35, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """docs (doc_id, h, text) with positions, the starts of windows of `length` words that also start elsewhere (NULL: none)."""
+    """docs (doc_id, h, text, ...) with runs, the starts of windows of `length` words that also start elsewhere (NULL: none)."""
     if period > length or {(a - b) % period for a in cover for b in cover} != set(range(period)):
         raise ValueError("not a difference cover of a period within the window")
-    spots = _repeated(anchors(docs, length, period, cover), ["key"])
-    found = docs.join(spots.hint("shuffle_hash"), ["doc_id", "h"]).select("doc_id", "h", "text", "positions")
-    starts = _repeated(windows(found, length, period), ["key", "key2"])
-    return docs.join(starts.hint("shuffle_hash"), ["doc_id", "h"], "left").select("doc_id", "h", "text", "positions")
+    kept = docs.columns
+    buckets = BUCKETS_PER_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spots = _repeated(anchors(docs.select("doc_id", "h", "text"), length, period, cover, buckets), buckets)
+    # all columns in both joins, so that both read one exchange of the texts
+    found = docs.join(spots.hint("shuffle_hash"), ["doc_id", "h"]).select("doc_id", "h", "text", "runs", *kept[3:])
+    starts = _repeated(windows(found, length, period, buckets), buckets)
+    return docs.join(starts.hint("shuffle_hash"), ["doc_id", "h"], "left").select("doc_id", "h", "text", "runs", *kept[3:])
 
 
 def _removed(starts, n: int, length: int) -> np.ndarray:
     if starts is None:
         return np.zeros(n, bool)
-    p = np.asarray(starts.values)
-    return union_of(np.stack([p, p + length], 1), n)
+    p = np.asarray(starts.values).reshape(-1, 2)
+    return union_of(np.stack([p[:, 0], p[:, 1] + length - 1], 1), n)
 
 
 def report(df: DataFrame, length: int = 35) -> DataFrame:
@@ -170,32 +252,36 @@ def report(df: DataFrame, length: int = 35) -> DataFrame:
 def strip(df: DataFrame, length: int = 35) -> DataFrame:
     """`df` with the repeated words cut out of its texts; what stands between kept words stays as it was.
 
-    All columns stay (n_chars, if there is one, follows the text); a NULL text stays NULL.  Rows never go, so a
-    text may become empty.
+    All columns stay (n_chars, if there is one, follows a text that changed); a NULL text stays NULL.  Rows
+    never go, so a text may become empty.
     """
+    own = [c for c in df.columns if c != "text"]
+    rest = F.struct(F.col("text").isNull().alias("_null"), *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(own)])
+    ids = [c.alias(n) for c, n in zip(row_key(), ("doc_id", "h"))]
+    docs = df.select(*ids, F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
+
     def run(batches):
         words = re.compile(WORD)
         for b in batches:
-            texts = []
-            for t, starts in zip(b.column(2), b.column(3)):
+            texts, changed = [], []
+            for t, starts in zip(b.column(0), b.column(1)):
                 text = t.as_py()
                 if starts.is_valid:
                     spans = [m.span() for m in words.finditer(text)]
                     gone = _removed(starts, len(spans), length).tolist()
                     # a word leaves with the white space after it
                     cuts = [s for s, _ in spans[1:]] + [len(text)]
-                    head = text[:spans[0][0]] if spans else text
-                    text = head + "".join(text[s:c] for (s, _), c, g in zip(spans, cuts, gone) if not g)
+                    text = text[:spans[0][0]] + "".join(text[s:c] for (s, _), c, g in zip(spans, cuts, gone) if not g)
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["_id", "_h", "_new"])
-
-    docs = rows_of(df)
-    new = repeats(docs, length).where("positions IS NOT NULL").mapInArrow(run, "_id long, _h long, _new string").dropDuplicates(["_id", "_h"])
-    keyed = df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = keyed.join(new, ["_id", "_h"], "left").withColumn("text", F.coalesce("_new", "text"))
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_new").isNotNull(), F.length("text")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+                changed.append(starts.is_valid)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(changed, pa.bool_()), b.column(2)], names=["text", "changed", "rest"])
+
+    kind = docs.schema["rest"].dataType.simpleString()
+    new = repeats(docs, length).select("text", "runs", "rest").mapInArrow(run, f"text string, changed boolean, rest {kind}")
+    out = {c: F.col(f"rest._{k}") for k, c in enumerate(own)} | {"text": F.when(~F.col("rest._null"), F.col("text"))}
+    if "n_chars" in own:
+        out["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(out["n_chars"]).cast(df.schema["n_chars"].dataType)
+    return new.select(*[out[c].alias(c) for c in df.columns])
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -35,10 +35,19 @@ def scramble(x: str, key: str) -> str:
     return f"((({t}) * 48271 + 11) % {P2})"
 
 
-def _round(x: str, n: str, key: str) -> str:
-    """One round of a swap-or-not permutation of [0, n)."""
-    partner = f"(({scramble('7', key)} % {n}) + {n} - {x}) % {n}"
-    return f"CASE WHEN {scramble(f'greatest({x}, {partner})', key + ' + 1')} % 2 = 0 THEN {partner} ELSE {x} END"
+def permute(df: DataFrame, keep: Sequence[str], seed: int) -> DataFrame:
+    """Replace x by its place in a permutation of [0, blocks) that (number, turn) selects.
+
+    Swap-or-not: each round pairs x with another place and swaps if a bit of the pair's higher place says so.  Every
+    round is a projection of its own, so that Spark compiles it.
+    """
+    cols = [c for c in keep if c != "x"]
+    for r in range(ROUNDS):
+        k = f"(((number * 104729 + turn * 1299709 + {7919 * (seed + r)}) % {P1}) * {A1} + 12345) % {P1}"
+        df = df.selectExpr(*cols, "x", f"(({k}) % blocks + blocks - x) % blocks AS p", f"{k} AS k")
+        bit = f"((((greatest(x, p) % {P1}) * {A1 + 7919 * r} + k) % {P1}) DIV 64) % 2"
+        df = df.selectExpr(*cols, f"CASE WHEN {bit} = 0 THEN p ELSE x END AS x")
+    return df
 
 
 def _prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: str, value: str, into: str) -> DataFrame:
@@ -110,11 +119,12 @@ def block_counts(sources: DataFrame, block: int, shard: int, seed: int) -> DataF
     counts = shards.join(kinds.select("length", "number", "whole"), "length").join(extra, ["shard", "number"], "left").select(
         "number", "shard", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("count"), F.expr(f"shard DIV {BUCKETS}").alias("bucket"))
     counts = _prefix(counts.where("count > 0"), ["number"], ["shard"], "bucket", "count", "first")
+    # a row stands for many slots, so its size says nothing: deal them over as many tasks as other shuffles
+    counts = counts.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "shard")
     slot = counts.select("number", F.explode(F.expr("sequence(first, first + count - 1)")).alias("slot")).join(
         edge.select("number", "blocks"), "number").where(f"slot < {CAP} * blocks")
     slot = slot.select("number", "blocks", F.expr("slot DIV blocks").alias("turn"), F.expr("slot % blocks").alias("x"))
-    step = _round("x", "blocks", f"number * 104729 + turn * 1299709 + {seed} + 10 * r")
-    slot = slot.withColumn("x", F.expr(f"aggregate(sequence(1L, {ROUNDS}L), x, (x, r) -> {step})"))
+    slot = permute(slot, slot.columns, seed)
     return slot.groupBy("number", F.col("x").alias("block")).agg(F.count(F.lit(1)).alias("times"))
 
 
