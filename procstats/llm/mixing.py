@@ -119,13 +119,14 @@ def block_counts(sources: DataFrame, block: int, shard: int, seed: int) -> DataF
     counts = shards.join(kinds.select("length", "number", "whole"), "length").join(extra, ["shard", "number"], "left").select(
         "number", "shard", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("count"), F.expr(f"shard DIV {BUCKETS}").alias("bucket"))
     counts = _prefix(counts.where("count > 0"), ["number"], ["shard"], "bucket", "count", "first")
+    # written out on both sides: filters and joins that Spark would derive through the rounds grow without bound
+    counts = stored(counts.join(edge.select("number", "blocks"), "number").select("number", "blocks", "shard", "first", "count"))
     # a row stands for many slots, so its size says nothing: deal them over as many tasks as other shuffles
     counts = counts.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "shard")
-    slot = counts.select("number", F.explode(F.expr("sequence(first, first + count - 1)")).alias("slot")).join(
-        edge.select("number", "blocks"), "number").where(f"slot < {CAP} * blocks")
-    slot = slot.select("number", "blocks", F.expr("slot DIV blocks").alias("turn"), F.expr("slot % blocks").alias("x"))
-    slot = permute(slot, slot.columns, seed)
-    return slot.groupBy("number", F.col("x").alias("block")).agg(F.count(F.lit(1)).alias("times"))
+    slot = counts.select("number", "blocks", F.explode(F.expr(
+        f"CASE WHEN first < {CAP} * blocks THEN sequence(first, least(first + count, {CAP} * blocks) - 1) ELSE CAST(array() AS ARRAY<BIGINT>) END")).alias("slot"))
+    slot = permute(slot.selectExpr("number", "blocks", "slot DIV blocks AS turn", "slot % blocks AS x"), ["number", "blocks", "turn"], seed)
+    return stored(slot.groupBy("number", F.col("x").alias("block")).agg(F.count(F.lit(1)).alias("times")))
 
 
 def mix(df: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK,
@@ -158,12 +159,11 @@ def mix(df: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, c
 def copies(df: DataFrame, **how) -> DataFrame:
     """Rows of `df` repeated as the mix takes them: taken / size, rounded up or down by a hash of the id.
 
-    A document without words goes; repeated rows are drawn each on its own.  All columns stay.
+    A document without words goes; of repeated rows each comes as often as the most taken one.  All columns stay.
     """
     got = mix(df, **how).where("taken > 0").withColumn("u", F.expr(f"({scramble('coalesce(doc_id, 0)', '77')} + 0.5D) / {P2}"))
     got = got.withColumn("times", F.expr("CAST(floor(taken / greatest(size, 1) + u) AS INT)")).where("times > 0")
-    got = got.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("h").alias("_h")).agg(F.sum("times").cast("int").alias("_times"))
+    got = got.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("h").alias("_h")).agg(F.max("times").alias("_times"))
     keyed = df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    keyed = keyed.dropDuplicates(["_id", "_h"])
     out = keyed.join(got, ["_id", "_h"]).withColumn("_turn", F.explode(F.expr("sequence(1, _times)")))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
