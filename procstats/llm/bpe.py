@@ -16,6 +16,7 @@ import sys
 from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import cloudpickle
@@ -192,7 +193,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", wit
                 ids = codec.encode(t.as_py())
                 made["n_tokens"].append(len(ids))
                 if with_ids:
-                    made["ids"].append(ids)
+                    made["ids"].append(np.array(ids, np.int32))
                 if digests:
                     made["ids_sha256"].append(hashlib.sha256(",".join(map(codec.text_of.__getitem__, ids)).encode()).hexdigest())
                     made["decoded_sha256"].append(hashlib.sha256(codec.decode(ids)).hexdigest())

@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WORD, given_id, rows_of, stored
+from .common import WORD, given_id, row_key, rows_of, stored
 from .components import components
 
 SEED = 42
@@ -106,8 +106,7 @@ def keep_one(df: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
     Of repeated rows with that id one stays; all columns come back as they were.
     """
     found = near_groups(df, size, distance).groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("r"))
-    keyed = df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    keyed = keyed.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    keyed = df.withColumns(dict(zip(("_id", "_h"), row_key())))
     out = keyed.join(found.select(F.col("r.doc_id").alias("_id"), F.col("r.h").alias("_h")), ["_id", "_h"], "left_semi")
     return out.dropDuplicates(["_id", "_h"]).drop("_id", "_h")
 
