@@ -23,20 +23,35 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 500_000
 #: The white space of the Unicode standard, as the pre-token pattern means it (fixed values).
 SPACE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 class RankQueue:
-    """Set of (rank, position); pops the lowest rank, and of one rank the lowest position."""
+    """Positions by merge rank; pops the lowest rank, and of one rank the lowest position.
 
-    def __init__(self, size: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.depth = 1
-        while 64 ** self.depth < size:
-            self.depth += 1
-        self.levels: list[dict[int, int]] = [{} for _ in range(self.depth)]
+    The bitmap has two levels: words of 64 ranks, and a summary with a bit for each word in use.
+    """
+
+    __slots__ = ("buckets", "words", "summary")
+
+    def __init__(self, ranks: list[int | None]):
+        """`ranks` by position, None where there is no merge."""
+        buckets: dict[int, list[int]] = {}
+        for i, r in enumerate(ranks):
+            if r is not None:
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+        words: dict[int, int] = {}
+        for r in buckets:
+            words[r >> 6] = words.get(r >> 6, 0) | 1 << (r & 63)
+        summary = 0
+        for w in words:
+            summary |= 1 << w
+        self.buckets, self.words, self.summary = buckets, words, summary
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
@@ -44,65 +59,59 @@ class RankQueue:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        at = rank
-        for level in self.levels:
-            word = at >> 6
-            old = level.get(word, 0)
-            level[word] = old | 1 << (at & 63)
-            if old:
-                return
-            at = word
-
-    def pop(self) -> tuple[int, int] | None:
-        at = 0
-        for level in reversed(self.levels):
-            word = level.get(at, 0)
-            if not word:
-                return None
-            at = at << 6 | (word & -word).bit_length() - 1
-        rank, bucket = at, self.buckets[at]
-        position = heappop(bucket)
+        word = rank >> 6
+        old = self.words.get(word, 0)
+        self.words[word] = old | 1 << (rank & 63)
+        if not old:
+            self.summary |= 1 << word
+
+    def pop(self) -> tuple[int, int]:
+        summary = self.summary
+        word = (summary & -summary).bit_length() - 1
+        bits = self.words[word]
+        low = bits & -bits
+        rank = word << 6 | low.bit_length() - 1
+        bucket = self.buckets[rank]
+        position = heappop(bucket) if len(bucket) > 1 else bucket.pop()
         if not bucket:
-            for level in self.levels:
-                word = at >> 6
-                left = level[word] & ~(1 << (at & 63))
-                level[word] = left
-                if left:
-                    break
-                at = word
+            self.words[word] = bits = bits ^ low
+            if not bits:
+                self.summary = summary ^ 1 << word
         return rank, position
 
 
-def merge(piece: bytes, ranks: dict[bytes, int], size: int) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one pre-token."""
-    whole = ranks.get(piece)
+    rank_of = ranks.get
+    whole = rank_of(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    end = list(range(1, n + 1))      # where the symbol that starts here ends; 0: merged away
+    end = list(range(1, n + 1))      # where the symbol that starts here ends
     before = list(range(-1, n - 1))  # start of the symbol before
-    queue = RankQueue(size)
-    for i in range(n - 1):
-        r = ranks.get(piece[i:i + 2])
-        if r is not None:
-            queue.push(r, i)
-    while (found := queue.pop()) is not None:
-        rank, i = found
+    pair: list[int | None] = [rank_of(piece[i:i + 2]) for i in range(n - 1)]  # rank of the merge that starts here
+    pair.append(None)
+    queue = RankQueue(pair)
+    push, pop = queue.push, queue.pop
+    while queue.summary:
+        rank, i = pop()
+        if pair[i] != rank:
+            continue  # the pair has changed since
         j = end[i]
-        if not j or j >= n or ranks.get(piece[i:end[j]]) != rank:
-            continue
         stop = end[i] = end[j]
-        end[j] = 0
+        pair[j] = None
         if stop < n:
             before[stop] = i
-            r = ranks.get(piece[i:end[stop]])
+            pair[i] = r = rank_of(piece[i:end[stop]])
             if r is not None:
-                queue.push(r, i)
+                push(r, i)
+        else:
+            pair[i] = None
         h = before[i]
         if h >= 0:
-            r = ranks.get(piece[h:stop])
+            pair[h] = r = rank_of(piece[h:stop])
             if r is not None:
-                queue.push(r, h)
+                push(r, h)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:end[i]]])
@@ -110,47 +119,48 @@ def merge(piece: bytes, ranks: dict[bytes, int], size: int) -> list[int]:
     return out
 
 
+class Cache:
+    """What was met lately: a full generation becomes the old one, and what is met again moves on."""
+
+    def __init__(self, make):
+        self.make, self.young, self.old = make, {}, {}
+
+    def get(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:
+            if len(self.young) >= CACHE_ENTRIES:
+                self.old, self.young = self.young, {}
+            self.young[key] = found
+        return found
+
+
 class Codec:
-    """Encodes and decodes texts; remembers up to CACHE_ENTRIES chunks and as many pre-tokens."""
+    """Encodes and decodes texts; remembers up to 2 x CACHE_ENTRIES chunks and as many pre-tokens."""
 
     def __init__(self, lines: bytes, pattern: str):
         pairs = [line.split() for line in lines.splitlines() if line]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
-        self.size = max(self.ranks.values(), default=0) + 1
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.pattern = regex.compile(pattern)
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.chunks, self.pieces = Cache(self.chunk), Cache(self.piece)
         # a chunk is a run without white space and the blank before it; no pre-token of the
         # public pattern crosses its end, so chunks can be split and remembered on their own
         self.coarse = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
+    def piece(self, text: str) -> tuple[int, ...]:
+        return tuple(merge(text.encode("utf-8", "surrogatepass"), self.ranks))
+
     def chunk(self, text: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for piece in self.pattern.findall(text):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = tuple(merge(piece.encode("utf-8", "surrogatepass"), self.ranks, self.size))
-                if len(piece) <= 64:
-                    if len(self.pieces) >= CACHE_ENTRIES:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
-            out += ids
-        return tuple(out)
+        known = self.pieces
+        parts = [known.young.get(p) or known.get(p) for p in self.pattern.findall(text)]
+        return parts[0] if len(parts) == 1 else tuple(chain.from_iterable(parts))
 
     def encode(self, text: str) -> list[int]:
-        known, parts = self.chunks, []
-        for c in self.coarse.findall(text):
-            ids = known.get(c)
-            if ids is None:
-                ids = self.chunk(c)
-                if len(c) <= 64:
-                    if len(known) >= CACHE_ENTRIES:
-                        known.clear()
-                    known[c] = ids
-            parts.append(ids)
-        return list(chain.from_iterable(parts))
+        known = self.chunks
+        return list(chain.from_iterable([known.young.get(c) or known.get(c) for c in self.coarse.findall(text)]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -26,7 +26,9 @@ PERIOD = 21
 #: A perfect difference set modulo 21: every residue is a difference of two members.
 COVER = (0, 1, 4, 14, 16)
 CHUNK = 200_000
-BUCKETS_PER_TASK = 4
+BUCKETS_PER_TASK = 2
+#: Repeated positions a task holds before it passes them on.
+HELD = 2_000_000
 
 
 class _Words(dict):
@@ -114,6 +116,15 @@ def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
     Keys of a bucket meet in one task, then the positions of a document do.
     """
     def count(batches):
+        names, owners, places, shift, size = [], [], [], 0, 0
+
+        def flush():
+            docs, who, pos = np.concatenate(names), np.concatenate(owners), np.concatenate(places)
+            docs, same = np.unique(docs, axis=0, return_inverse=True)
+            target = (mix(docs[:, 0].view(np.uint64) ^ mix(docs[:, 1].view(np.uint64))) % np.uint64(buckets)).astype(np.int32)
+            who = same.ravel()[who]
+            return _pack(target[who], docs, who, pos, None, None, None)
+
         for held in _by_bucket(batches):
             docs, who, pos, key, key2, n = _unpack(held)
             order = np.lexsort((key2, key)) if len(key2) else np.argsort(key, kind="stable")
@@ -124,9 +135,15 @@ def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
             group = np.cumsum(new) - 1
             twice = np.zeros(len(key), bool)
             twice[order] = np.bincount(group, n[order])[group] > 1
-            who, pos = who[twice], pos[twice]
-            target = (mix(docs[:, 0].view(np.uint64) ^ mix(docs[:, 1].view(np.uint64))) % np.uint64(buckets)).astype(np.int32)
-            yield _pack(target[who], docs, who, pos, None, None, None)
+            names.append(docs)
+            owners.append(who[twice] + shift)
+            places.append(pos[twice])
+            shift, size = shift + len(docs), size + len(owners[-1])
+            if size >= HELD:
+                yield flush()
+                names, owners, places, shift, size = [], [], [], 0, 0
+        if size:
+            yield flush()
 
     def gather(batches):
         for held in _by_bucket(batches):
