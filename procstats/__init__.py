@@ -1,0 +1,10 @@
+"""Process and quality statistics on large tables.
+
+Functions that run inside tasks travel by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

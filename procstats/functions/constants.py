@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dist import norm_cdf
+from .dist import apply, norm_cdf
 
 # d3, the standard deviation of the range of n standard normals (ASTM), n = 2..25.
 D3_TABLE = {
@@ -18,19 +17,40 @@ D3_TABLE = {
     15: 0.7562, 16: 0.7499, 17: 0.7441, 18: 0.7386, 19: 0.7335, 20: 0.7287,
     21: 0.7242, 22: 0.7199, 23: 0.7159, 24: 0.7121, 25: 0.7084,
 }
-MAX_TABLE_SIZE = 25
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(200)
+_KNOWN: dict[tuple[str, int], float] = {}
+
+
+def _known(name: str, n: int, make) -> float:
+    key = (name, n)
+    if key not in _KNOWN:
+        _KNOWN[key] = make(n)
+    return _KNOWN[key]
+
+
+def _d2(n: int) -> float:
+    cdf = norm_cdf(9 * _NODES)
+    return float(np.sum(9 * _WEIGHTS * (1 - cdf**n - (1 - cdf) ** n)))
+
+
+def _d3(n: int) -> float:
+    # E(range^2) is twice the integral over x < y of the chance that the sample reaches below x and above y
+    x = 9 * _NODES[:, None]
+    y = x + (9 - x) * (1 + _NODES[None, :]) / 2
+    low, high = norm_cdf(x), norm_cdf(y)
+    reach = 1 - high**n - (1 - low) ** n + np.maximum(high - low, 0) ** n
+    inner = (reach * _WEIGHTS[None, :]).sum(1) * (9 - x[:, 0]) / 2
+    return math.sqrt(2 * float(np.sum(9 * _WEIGHTS * inner)) - _d2(n) ** 2)
 
 
-@lru_cache(maxsize=None)
 def d2(n: int) -> float:
     """Expected range of n standard normals."""
-    x, w = np.polynomial.legendre.leggauss(200)
-    cdf = norm_cdf(9 * x)
-    return float(np.sum(9 * w * (1 - cdf**n - (1 - cdf) ** n)))
+    return _known("d2", int(n), _d2)
 
 
 def d3(n: int) -> float:
-    return D3_TABLE.get(n, D3_TABLE[MAX_TABLE_SIZE] * (MAX_TABLE_SIZE / n) ** 0.12)
+    """Standard deviation of the range of n standard normals: the published digits, by quadrature beyond them."""
+    return D3_TABLE.get(int(n)) or _known("d3", int(n), _d3)
 
 
 def c4(n: float) -> float:
@@ -47,10 +67,12 @@ def chart_constants(n: int) -> dict[str, float]:
     }
 
 
-def by_size(fn, n: Column, max_n: int = 100) -> Column:
-    """Look a constant up by subgroup size inside the JVM (array literal)."""
-    table = F.array(*[F.lit(fn(k)) if k >= 2 else F.lit(None).cast("double") for k in range(1, max_n + 1)])
-    return F.get(table, n.cast("int") - 1)
+def by_size(fn, n: Column, table: int = 100) -> Column:
+    """A constant by subgroup size: an array literal up to `table`, computed on the (aggregated) rows beyond."""
+    known = F.array(*[F.lit(fn(k)) if k >= 2 else F.lit(None).cast("double") for k in range(1, table + 1)])
+    size = n.cast("int")
+    return F.when(size <= table, F.get(known, size - 1)).otherwise(
+        apply(lambda sizes: np.array([fn(k) for k in sizes]), F.when(size > table, size)))
 
 
 def c4_of(n: Column) -> Column:
@@ -58,4 +80,5 @@ def c4_of(n: Column) -> Column:
     m = n.cast("double")
     series = 1 - 1 / (4 * m) - 7 / (32 * m**2) - 19 / (128 * m**3)
     whole = (m <= 100) & (m == F.floor(m))
-    return F.when(whole, by_size(c4, F.least(n.cast("double"), F.lit(100.0)))).otherwise(series)
+    table = F.array(*[F.lit(c4(k)) if k >= 2 else F.lit(None).cast("double") for k in range(1, 101)])
+    return F.when(whole, F.get(table, F.least(m, F.lit(100.0)).cast("int") - 1)).otherwise(series)

@@ -72,12 +72,9 @@ def _coded(df: DataFrame, factors: Sequence[str], ranges: DataFrame, by: Sequenc
 # -------------------------------------------------------------- factorials
 
 def factorial_terms(factors: Sequence[str], order: int, runs: int) -> list[str]:
-    """Products up to `order`; the last highest-order terms go when runs are short."""
+    """Products up to `order` (3 at most), as many as leave the intercept a run; main effects always stay."""
     terms = ["*".join(c) for k in range(1, min(order, 3) + 1) for c in itertools.combinations(factors, k)]
-    while len(terms) + 1 > runs and len(terms) > len(factors):
-        top = max(t.count("*") for t in terms)
-        terms.pop(max(i for i, t in enumerate(terms) if t.count("*") == top))
-    return terms
+    return terms[:max(len(factors), runs - 1)]
 
 
 def factorial_model(df: DataFrame, response: str, factors: Sequence[str], by: Sequence[str] = (), order: int = 2,
@@ -232,23 +229,21 @@ def composite(parts: Sequence[tuple[Column, float]]) -> Column:
 
 
 def optimize(goals: Sequence[tuple[ResponseSurface, dict]], bounds: Mapping[str, tuple[float, float]] | None = None,
-             steps: int | None = None, rounds: int = 5) -> DataFrame:
-    """Best coded settings over a candidate grid, refined around the best point each round.
+             steps: int = 11, rounds: int = 5) -> DataFrame:
+    """Best coded settings over a grid of `steps` points a factor, refined around the best point each round.
 
     `goals` = [(model, {goal, lower, target, upper, weight, importance})].
     """
     factors = goals[0][0].factors
-    k = len(factors)
-    steps = steps or {1: 41, 2: 25, 3: 12}.get(k, 7)
     bounds = {f: (bounds or {}).get(f, (-1.0, 1.0)) for f in factors}
     spark = goals[0][0].table.sparkSession
     box, best = dict(bounds), None
     for _ in range(rounds):
-        grid = spark.range(steps**k).withColumn("_i", F.col("id"))
-        for j, f in enumerate(factors):
+        grid = spark.range(1).drop("id")
+        for f in factors:
             lo, hi = box[f]
-            grid = grid.withColumn(f, F.lit(lo) + (hi - lo) * (F.floor(F.col("_i") / steps**j) % steps) / (steps - 1))
-        best = _scored(grid.drop("_i"), goals, factors)
+            grid = grid.withColumn(f, F.explode(F.array(*[F.lit(float(x)) for x in np.linspace(lo, hi, steps)])))
+        best = _scored(grid, goals, factors)
         if best is None:
             break
         row = best.orderBy(F.col("composite").desc(), *factors).first()

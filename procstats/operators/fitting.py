@@ -94,11 +94,10 @@ def anderson_darling(df: DataFrame, value: str, by: Sequence[str] = (), ordered:
 
 
 def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Royston's approximation; above 5000 values every k-th sorted value is used."""
+    """Royston's approximation over all values; it is published up to 5000 of them, beyond which p_value is NULL."""
     ordered = value_order(df, value, by)
-    step = F.ceil(F.col("n") / SHAPIRO_LIMIT)
-    first, last = F.ceil(F.col("below") / step), F.floor((F.col("below") + F.col("freq") - 1) / step)
-    rows = ordered.where((F.col("n") >= 3) & (first <= last)).withColumn("_m", F.ceil(F.col("n") / step))
+    first, last = F.col("below"), F.col("below") + F.col("freq") - 1
+    rows = ordered.where(F.col("n") >= 3).withColumn("_m", F.col("n"))
     rows = rows.withColumn("_i", F.explode(F.sequence(first, last)))
     n, i, x = F.col("_m").cast("double"), F.col("_i"), F.col(value)
     rows = with_norm_ppf(rows, "_score", (i + 1 - 0.375) / (n + 0.25))
@@ -134,7 +133,8 @@ def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
         -0.4803 - 0.082676 * ln + 0.0030302 * ln**2)
     g = g.withColumn("_z", F.when(n <= 11, small_z).otherwise(large_z))
     p = F.when(n == 3, 6 / math.pi * (F.asin(F.sqrt("w")) - math.asin(math.sqrt(0.75)))).otherwise(norm_sf(F.col("_z")))
-    return g.select(*by, "n", "w", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p_value"))
+    p = F.when(F.col("n") <= SHAPIRO_LIMIT, F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+    return g.select(*by, "n", "w", p.alias("p_value"))
 
 
 def ryan_joiner(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

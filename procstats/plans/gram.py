@@ -21,7 +21,6 @@ from ..functions.numeric import finite, level
 
 MAX_LEVELS = 200
 ALIAS_TOLERANCE = 1e-10
-CENTRE_ROWS = 1000
 
 
 @dataclass
@@ -114,22 +113,13 @@ def design_rows(df: DataFrame, dm: Design, y: str | Column | None, by: Sequence[
 def moments(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row per group: n, means and the upper triangle of the covariance matrix.
 
-    Plain sums of products, shifted by a rough centre so that no digits cancel;
-    the centre only affects rounding, so any few rows may supply it.
+    Spark's own moment aggregates keep a running mean per group, so groups far from each other lose no
+    digits.  A column is constant in a group if its least value is its greatest.
     """
-    rough = rows.select(*columns).limit(CENTRE_ROWS).agg(*[F.avg(c).alias(c) for c in columns]).first()
-    x = {c: F.col(c) - F.lit(float(rough[c] or 0.0)) for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    sums = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(x[c]).alias(f"_m_{c}") for c in columns],
-        *[F.avg(x[a] * x[b]).alias(f"_p_{i}") for i, (a, b) in enumerate(pairs)])
-    covs = []
-    for i, (a, b) in enumerate(pairs):
-        c = F.col(f"_p_{i}") - F.col(f"_m_{a}") * F.col(f"_m_{b}")
-        # a constant column leaves only rounding noise
-        covs.append(F.when(c > 1e-13 * F.col(f"_p_{i}"), c).otherwise(0.0) if a == b else c)
-    return sums.select(*by, "n", F.array(*[F.col(f"_m_{c}") + F.lit(float(rough[c] or 0.0)) for c in columns]).alias("means"),
-                       F.array(*covs).alias("cov"))
+    fixed = {c: F.min(c) == F.max(c) for c in columns}
+    covs = [F.when(fixed[a] | fixed[b], 0.0).otherwise(F.var_pop(a) if a == b else F.covar_pop(a, b)) for a, b in pairs]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in columns]).alias("means"), F.array(*covs).alias("cov"))
 
 
 def square(flat, k: int) -> np.ndarray:

@@ -12,7 +12,6 @@ from ..functions.numeric import to_number
 from ..operators.columns import unique_name
 
 SEPARATORS = ["\t", ";", ",", "|"]
-SAMPLE_VALUES = 200
 SNIFF_LINES = 12
 
 
@@ -42,12 +41,12 @@ def _is_number(text: str | None) -> bool:
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None,
-                   infer: bool = True, multi_line: bool = True) -> DataFrame:
+                   infer: bool = True, multi_line: bool = False) -> DataFrame:
     """CSV/TSV/TXT with quotes, doubled quotes, newlines inside quotes and a BOM.
 
     The separator and the header are guessed from the first lines when not given.
-    With `multi_line` off, quoted newlines are not read, but one large file is
-    split over many tasks.
+    One large file is split over many tasks; files with newlines inside quotes need
+    `multi_line`, which gives a file to one task.
     """
     if delimiter is None or header is None:
         first = [r[0].lstrip("﻿") for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
@@ -69,9 +68,12 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
 def read_json(spark: SparkSession, path: str, shape: str = "records") -> DataFrame:
     """JSON as `records` (array or lines of objects), `columns`
     ({columns: [{name, values}]}) or `arrays` ({name: [values]})."""
-    raw = spark.read.json(path, multiLine=True)
     if shape == "records":
-        return raw
+        # lines of objects are split over tasks; one array over many lines cannot be
+        first = spark.read.text(path).where(F.trim("value") != "").first()
+        lines = first is not None and first[0].strip().startswith("{") and first[0].strip().endswith("}")
+        return spark.read.json(path, multiLine=not lines)
+    raw = spark.read.json(path, multiLine=True)
     if shape == "columns":
         cells = raw.select(F.posexplode("columns").alias("_k", "_c")).select(
             F.col("_c.name").alias("_name"), F.posexplode(F.col("_c.values").cast("array<string>")).alias("_i", "_v"))
@@ -96,25 +98,32 @@ def from_records(spark: SparkSession, records: Sequence[Mapping], names: Sequenc
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """`num`, `date` or `cat` per text column from its first 200 non-empty values."""
-    frames = []
-    for c in df.columns:
-        text = F.trim(F.col(f"`{c}`").cast("string"))
-        sample = df.select(text.alias("v")).where(F.col("v") != "").limit(SAMPLE_VALUES)
-        numeric = to_number("v").isNotNull()
-        dated = ~numeric & F.rlike("v", F.lit(r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"))
-        share = lambda cond: F.coalesce(F.avg(cond.cast("double")), F.lit(0.0))
-        kind = F.when(share(numeric) >= 0.85, "num").when(share(dated) >= 0.80, "date").otherwise("cat")
-        frames.append(sample.agg(kind.alias("type")).select(F.lit(c).alias("column"), "type"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """`num`, `date` or `cat` per text column from all its non-empty values, in one pass for all columns."""
+    aggs = []
+    for i, c in enumerate(df.columns):
+        text = F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
+        numeric = to_number(text).isNotNull()
+        dated = ~numeric & F.rlike(text, F.lit(r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"))
+        some = F.count(text)
+        kind = F.when(F.count_if(numeric) >= 0.85 * some, "num").when(F.count_if(dated) >= 0.80 * some, "date").otherwise("cat")
+        aggs.append(F.struct(F.lit(c).alias("column"), F.when(some > 0, kind).otherwise("cat").alias("type")).alias(f"_{i}"))
+    found = df.agg(*aggs)
+    return found.select(F.explode(F.array(*[f"_{i}" for i in range(len(aggs))])).alias("r")).select("r.column", "r.type")
 
 
 def apply_types(df: DataFrame, types: DataFrame) -> DataFrame:
-    """Cast the columns that were inferred numeric."""
-    for row in types.collect():
-        if row["type"] == "num":
-            df = df.withColumn(row["column"], to_number(f"`{row['column']}`"))
-    return df
+    """Cast the columns that were inferred numeric; where that loses a text, the texts stay beside it as <column>_text."""
+    names = [r["column"] for r in types.where(F.col("type") == "num").collect()]
+    if not names:
+        return df
+    cells = {c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in names}
+    lost = df.agg(*[F.count_if(x.isNotNull() & to_number(x).isNull()).alias(f"_{i}") for i, x in enumerate(cells.values())]).first()
+    out = []
+    for c in df.columns:
+        if c not in cells:
+            out.append(F.col(f"`{c}`"))
+            continue
+        out.append(to_number(f"`{c}`").alias(c))
+        if lost[names.index(c)]:
+            out.append(F.col(f"`{c}`").alias(unique_name(f"{c}_text", df.columns)))
+    return df.select(*out)

@@ -29,14 +29,16 @@ def _(s, d):
     return table(s, d, "events").select("event_id", C.to_number(italian).alias("parsed"))
 
 
-@query("type_inference", """
-SELECT * FROM (VALUES ('o_orderkey', 'num'), ('o_orderpriority', 'cat'), ('o_orderdate', 'date'),
-                      ('o_totalprice', 'num'), ('o_orderstatus', 'cat')) t("column", "type")
-WHERE (SELECT count(*) FROM orders) > 0""")
+TYPED = ["o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice", "o_orderstatus"]
+
+
+@query("type_inference", " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", CASE WHEN count(n) >= 0.85 * count(v) THEN 'num'
+       WHEN count(*) FILTER (n IS NULL AND regexp_matches(v, '^[0-9]{{1,4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,4}}')) >= 0.8 * count(v) THEN 'date' ELSE 'cat' END AS type
+FROM (SELECT v, try_cast(v AS DOUBLE) AS n FROM (SELECT nullif(trim({c}::VARCHAR), '') AS v FROM orders))""" for c in TYPED))
 def _(s, d):
     o = table(s, d, "orders")
-    cols = ["o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice", "o_orderstatus"]
-    return readers.infer_types(o.select(*[F.col(c).cast("string") for c in cols]))
+    return readers.infer_types(o.select(*[F.col(c).cast("string") for c in TYPED]))
 
 
 @query("derived_column", f"""

@@ -17,7 +17,7 @@ def test_delimited_with_decimal_comma(spark, tmp_path):
 def test_quotes_newlines_and_repeated_names(spark, tmp_path):
     f = tmp_path / "b.csv"
     f.write_text('name;name;note\n"a ""x""";b;"line 1\nline 2"\nc;d;e\n')
-    df = readers.read_delimited(spark, str(f))
+    df = readers.read_delimited(spark, str(f), multi_line=True)
     rows = df.collect()
     assert len(rows) == 2 and rows[0][0] == 'a "x"' and rows[0][2] == "line 1\nline 2"
     assert len(set(df.columns)) == 3
