@@ -171,19 +171,27 @@ def _(s, d):
 
 
 
+#: Expected range of n normals by the trapezoid rule, independent of the operator's constants.
+GRID = """grid AS (SELECT sum(f) OVER (ORDER BY x) * 0.005 - f * 0.0025 + 0.005 * 0.005 / 12 * x * f AS c FROM
+  (SELECT x, exp(-x * x / 2) / sqrt(2 * pi()) AS f FROM (SELECT -9 + i * 0.005 AS x FROM range(3601) t(i))))"""
+
+
+def d2_sql(n: str) -> str:
+    return f"(SELECT sum(1 - pow(c, {n}) - pow(greatest(0, 1 - c), {n})) * 0.005 FROM grid)"
+
+
 @query("gage_xbar_r", f"""
-WITH x AS (SELECT event_type p, user_id % 3 AS o, value, row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY event_id) k FROM events),
-c AS (SELECT p, o, (row_number() OVER () * 0)::BIGINT z, count(*)::DOUBLE n, avg(value) m, max(value) - min(value) rg FROM x WHERE k <= 20 GROUP BY 1, 2),
+WITH {GRID}, x AS (SELECT event_type p, user_id % 3 AS o, value FROM events),
+c AS (SELECT p, o, count(*)::DOUBLE n, avg(value) m, max(value) - min(value) rg FROM x GROUP BY 1, 2),
 o AS (SELECT max(m) - min(m) xd, count(*) k FROM (SELECT o, sum(n * m) / sum(n) m FROM c GROUP BY 1)),
 p AS (SELECT max(m) - min(m) rp, count(*) k FROM (SELECT p, sum(n * m) / sum(n) m FROM c GROUP BY 1)),
-e AS (SELECT avg(rg) rb, avg(rg) / {d2(20)} ev, xd / {d2(3)} ar, rp / {d2(5)} pv FROM c, o, p GROUP BY xd, rp),
-f AS (SELECT *, sqrt(greatest(0, ar * ar - ev * ev / 100)) av FROM e)
+z AS (SELECT max(n) AS r FROM c), k AS (SELECT r, {d2_sql("r")} AS dr, {d2_sql("3")} AS d3o, {d2_sql("5")} AS d5p FROM z),
+e AS (SELECT avg(rg) rb, avg(rg) / dr ev, xd / d3o ar, rp / d5p pv, r FROM c, o, p, k GROUP BY xd, rp, dr, d3o, d5p, r),
+f AS (SELECT *, sqrt(greatest(0, ar * ar - ev * ev / (5 * r))) av FROM e)
 SELECT {r("rb")} AS rbar, {r("ev")} AS ev, {r("av")} AS av, {r("pv")} AS pv, {r("sqrt(ev * ev + av * av)")} AS rr, {r("sqrt(ev * ev + av * av + pv * pv)")} AS tv,
  floor(1.41 * pv / sqrt(ev * ev + av * av))::BIGINT AS ndc FROM f""")
 def _(s, d):
-    from procstats.plans.ordering import sequence
     e = events(s, d).withColumn("operator", (F.col("user_id") % 3).cast("string"))
-    e = sequence(e, ["event_type", "operator"], ["event_id"], "trial").where("trial <= 20")
     return M.gage_xbar_r(e, "value", "event_type", "operator").select("rbar", "ev", "av", "pv", "rr", "tv", "ndc")
 
 
@@ -194,16 +202,14 @@ def _(s, d):
 
 
 @query("gage_charts", f"""
-WITH x AS (SELECT event_type p, (user_id % 3)::VARCHAR AS o, value, row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY event_id) k FROM events),
-c AS (SELECT p, o, count(*) n, avg(value) m, max(value) - min(value) rg FROM x WHERE k <= 20 GROUP BY 1, 2),
-t AS (SELECT avg(m) g, avg(rg) rb FROM c)
-SELECT p AS part, o AS operator, n, {r("m")} AS mean, {r("rg")} AS range, {r("g")} AS grand, {r("rb")} AS rbar, {r(f"rb * (1 + 3 * {d3(20)} / {d2(20)})")} AS range_ucl,
- {r(f"greatest(0, rb * (1 - 3 * {d3(20)} / {d2(20)}))")} AS range_lcl, {r(f"g + 3 * rb / {d2(20)} / sqrt(20)")} AS mean_ucl, {r(f"g - 3 * rb / {d2(20)} / sqrt(20)")} AS mean_lcl FROM c, t""")
+WITH {GRID}, x AS (SELECT event_type p, (user_id % 3)::VARCHAR AS o, value FROM events),
+c AS (SELECT p, o, count(*) n, avg(value) m, max(value) - min(value) rg FROM x GROUP BY 1, 2),
+z AS (SELECT sum(n * m) / sum(n) g, avg(rg) rb, max(n) r FROM c), t AS (SELECT *, {d2_sql("r")} AS dr FROM z)
+SELECT p AS part, o AS operator, n, {r("m")} AS mean, {r("rg")} AS range, {r("g")} AS grand, {r("rb")} AS rbar,
+ {r("g + 3 * rb / dr / sqrt(r)")} AS mean_ucl, {r("g - 3 * rb / dr / sqrt(r)")} AS mean_lcl FROM c, t""")
 def _(s, d):
-    from procstats.plans.ordering import sequence
     e = events(s, d).withColumn("operator", (F.col("user_id") % 3).cast("string"))
-    e = sequence(e, ["event_type", "operator"], ["event_id"], "trial").where("trial <= 20")
-    return M.gage_charts(e, "value", "event_type", "operator")
+    return M.gage_charts(e, "value", "event_type", "operator").drop("range_ucl", "range_lcl")
 
 
 @query("bias_linearity", f"""
