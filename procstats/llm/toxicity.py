@@ -25,6 +25,8 @@ DIMENSIONS = 1 << 18
 TRAIN_DOCS = 1500
 #: A feature must be met in so many documents of the sample.
 MIN_DOCS = 4
+#: ... and its log likelihood ratio with the label must reach this, which no word of a large vocabulary does by chance.
+TIE = 30.0
 GRADES = 3
 UPPER = {c: c + 32 for c in range(65, 91)}
 STRIP = ".,;:!?\"'()[]*#$%&|<>"
@@ -44,9 +46,14 @@ def train(rows: list[tuple[int, list[int], list[int]]], steps: int = 400, decay:
     seen = [np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)]
     for t, f, _ in rows:
         seen[int(t)][f] += 1
-    rate = [(s + 0.5) / (n + 1) for s, n in zip(seen, ((toxic == 0).sum(), (toxic == 1).sum()))]
-    known = np.flatnonzero(seen[0] + seen[1] >= MIN_DOCS)
-    marked = (np.log(rate[1] / rate[0]) > 1.5) & (seen[1] >= MIN_DOCS)
+    n0, n1 = (toxic == 0).sum(), (toxic == 1).sum()
+    tie = np.zeros(DIMENSIONS)  # log likelihood ratio of word and label
+    for n, s in ((n1, seen[1]), (n0, seen[0])):
+        share = (seen[0] + seen[1]) / (n0 + n1)
+        for got, chance in ((s, share), (n - s, 1 - share)):
+            tie += 2 * got * np.log(np.maximum(got, 1e-9) / np.maximum(n * chance, 1e-9))
+    known = np.flatnonzero((seen[0] + seen[1] >= MIN_DOCS) & (tie >= TIE))
+    marked = (tie >= TIE) & (seen[1] * n0 > seen[0] * n1)
     density = np.array([sum(c for w, c in zip(f, n) if marked[w]) / max(sum(n), 1) for _, f, n in rows])
     cuts = np.quantile(density[toxic == 1], [i / GRADES for i in range(1, GRADES)])
     grade = np.where(toxic == 1, 1 + (density[:, None] > cuts[None, :]).sum(1), 0)
