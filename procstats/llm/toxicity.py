@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 DIMENSIONS = 1 << 18
-#: Labelled documents of each class the model is fitted on (lowest hash of the id).
-TRAIN_DOCS = 1500
+#: Toxic documents the model is fitted on, and clean ones per toxic one (lowest hash of the id).
+TRAIN_DOCS = 3000
+CLEAN = 4
 #: A feature must be met in so many documents of the sample.
 MIN_DOCS = 4
 #: ... and its log likelihood ratio with the label must reach this, which no word of a large vocabulary does by chance.
-TIE = 30.0
+TIE = 20.0
 GRADES = 3
 UPPER = {c: c + 32 for c in range(65, 91)}
 STRIP = ".,;:!?\"'()[]*#$%&|<>"
@@ -38,7 +39,7 @@ def features(text: str, words) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.array(found, np.int64), return_counts=True)
 
 
-def train(rows: list[tuple[int, list[int], list[int]]], steps: int = 400, decay: float = 2e-3) -> dict:
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 600, decay: float = 2e-4) -> dict:
     """Weights (sparse) and thresholds from (toxic, hashed words, counts).  Without both classes: severity 0 for all."""
     toxic = np.array([r[0] for r in rows])
     if not len(toxic) or toxic.min() == toxic.max():
@@ -54,13 +55,13 @@ def train(rows: list[tuple[int, list[int], list[int]]], steps: int = 400, decay:
             tie += 2 * got * np.log(np.maximum(got, 1e-9) / np.maximum(n * chance, 1e-9))
     known = np.flatnonzero((seen[0] + seen[1] >= MIN_DOCS) & (tie >= TIE))
     marked = (tie >= TIE) & (seen[1] * n0 > seen[0] * n1)
-    density = np.array([sum(c for w, c in zip(f, n) if marked[w]) / max(sum(n), 1) for _, f, n in rows])
+    density = np.array([n[marked[f]].sum() / max(n.sum(), 1) for _, f, n in rows])
     cuts = np.quantile(density[toxic == 1], [i / GRADES for i in range(1, GRADES)])
     grade = np.where(toxic == 1, 1 + (density[:, None] > cuts[None, :]).sum(1), 0)
     column = np.full(DIMENSIONS, -1)
     column[known] = np.arange(len(known))
     who = np.concatenate([np.full(len(f), k) for k, (_, f, _) in enumerate(rows)])
-    flat = column[np.concatenate([np.array(f, np.int64) for _, f, _ in rows])]
+    flat = column[np.concatenate([f for _, f, _ in rows])]
     who, flat = who[flat >= 0], flat[flat >= 0]
     balance = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
     w = np.zeros(len(known))
@@ -87,21 +88,21 @@ def train(rows: list[tuple[int, list[int], list[int]]], steps: int = 400, decay:
     return {"index": known, "weight": w, "theta": theta}
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> dict:
-    """Train on at most `per_class` labelled documents a class; executors send hashed counts, not texts."""
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_DOCS, clean: int = CLEAN * TRAIN_DOCS) -> dict:
+    """Train on at most `toxic` and `clean` labelled documents; executors send hashed counts, not texts."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic")
     by = [F.xxhash64("doc_id", F.lit(3)), "doc_id"]
-    chosen = known.where("toxic = 0").orderBy(*by).limit(per_class).unionByName(known.where("toxic = 1").orderBy(*by).limit(per_class))
+    chosen = known.where("toxic = 0").orderBy(*by).limit(clean).unionByName(known.where("toxic = 1").orderBy(*by).limit(toxic))
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
     def run(batches):
         words = re.compile(WORD)
         for pdf in batches:
             found = [features(t, words) for t in pdf["text"]]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "f": [f for f, _ in found], "n": [n for _, n in found]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "f": [f.astype(np.int32).tobytes() for f, _ in found], "n": [n.astype(np.int32).tobytes() for _, n in found]})
 
-    rows = sample.mapInPandas(run, "toxic int, f array<long>, n array<long>").collect()
-    return train(sorted((r["toxic"], list(r["f"]), list(r["n"])) for r in rows))
+    rows = sorted((r["toxic"], bytes(r["f"]), bytes(r["n"])) for r in sample.mapInPandas(run, "toxic int, f binary, n binary").collect())
+    return train([(t, np.frombuffer(f, np.int32), np.frombuffer(n, np.int32)) for t, f, n in rows])
 
 
 def grade(df: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
