@@ -61,6 +61,16 @@ NAMES = ["bucket", "docs", "who", "pos", "key", "key2", "n"]
 KINDS = [pa.int32(), *[pa.binary()] * 6]
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Integers below 2^32 as bytes, two each where all of them fit and four otherwise; the first byte says which."""
+    size = 2 if x.max(initial=0) < 65536 else 4
+    return bytes([size]) + x.astype(f"u{size}").tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"u{packed[0]}", offset=1).astype(np.int64)
+
+
 def _pack(bucket, docs, who, pos, key, key2, n) -> pa.RecordBatch:
     """One row a bucket: its positions as packed columns, `who` being an index into the row's own (doc_id, h) list.
 
@@ -71,7 +81,7 @@ def _pack(bucket, docs, who, pos, key, key2, n) -> pa.RecordBatch:
     rows = []
     for b, idx in zip(found.tolist(), np.split(order, starts[1:])):
         used, local = np.unique(who[idx], return_inverse=True)
-        rows.append((b, docs[used].tobytes(), local.astype(np.uint32).tobytes(), pos[idx].astype(np.uint32).tobytes(),
+        rows.append((b, docs[used].tobytes(), _narrow(local), _narrow(pos[idx]),
                      *[b"" if x is None else x[idx].tobytes() for x in (key, key2, n)]))
     cols = list(zip(*rows)) if rows else [()] * 7
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, KINDS)], names=NAMES)
@@ -93,9 +103,10 @@ def _unpack(held):
     """(docs, who, pos, key, key2, n) of the rows of one bucket laid together."""
     docs = [np.frombuffer(r[1], np.int64).reshape(-1, 2) for r in held]
     shift = np.cumsum([0] + [len(d) for d in docs])
-    who = np.concatenate([np.frombuffer(r[2], np.uint32).astype(np.int64) + s for r, s in zip(held, shift)])
-    cols = [np.concatenate([np.frombuffer(r[k], t) for r in held]) for k, t in ((3, np.uint32), (4, np.uint64), (5, np.uint32), (6, np.uint8))]
-    return np.concatenate(docs), who, *cols
+    who = np.concatenate([_wide(r[2]) + s for r, s in zip(held, shift)])
+    pos = np.concatenate([_wide(r[3]) for r in held])
+    cols = [np.concatenate([np.frombuffer(r[k], t) for r in held]) for k, t in ((4, np.uint64), (5, np.uint32), (6, np.uint8))]
+    return np.concatenate(docs), who, pos, *cols
 
 
 def _by_bucket(batches):
@@ -151,7 +162,7 @@ def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
             docs, same = np.unique(docs, axis=0, return_inverse=True)
             who = same.ravel()[who]
             order = np.lexsort((pos, who))
-            who, pos = who[order], pos[order].astype(np.int64)
+            who, pos = who[order], pos[order]
             fresh = np.ones(len(who), bool)
             fresh[1:] = (who[1:] != who[:-1]) | (pos[1:] > pos[:-1] + 1)
             start = np.flatnonzero(fresh)

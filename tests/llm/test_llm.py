@@ -133,6 +133,11 @@ def test_cover_dedup(docs, texts):
         assert r["text"] == texts[k] if not gone[k] else r["n_chars"] == len(r["text"])
 
 
+def test_packed_positions():
+    for x in ([0], [65535, 3], [65536, 0], [2**32 - 1]):
+        assert cover._wide(cover._narrow(np.array(x, np.int64))).tolist() == x
+
+
 def test_simhash(docs, texts):
     prints = []
     for t in texts:
