@@ -23,7 +23,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 350_000
+#: Rows that are encoded and handed on at a time.
+ROWS = 500
 #: The white space of the Unicode standard, as the pre-token pattern means it (fixed values).
 SPACE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -197,7 +199,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", wit
 
     def run(batches):
         codec = get()
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             made: dict[str, list] = {c: [] for c in new}
             for t in b.column(b.num_columns - 1):
                 ids = codec.encode(t.as_py())
