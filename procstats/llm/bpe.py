@@ -23,7 +23,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 350_000
+#: Chunks and pre-tokens of a generation that a worker remembers.
+CACHE_ENTRIES = 500_000
 #: Rows that are encoded and handed on at a time.
 ROWS = 500
 #: The white space of the Unicode standard, as the pre-token pattern means it (fixed values).
@@ -124,13 +125,13 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Cache:
     """What was met lately: a full generation becomes the old one, and what is met again moves on."""
 
-    def __init__(self, make):
-        self.make, self.young, self.old = make, {}, {}
+    def __init__(self):
+        self.young, self.old = {}, {}
 
-    def get(self, key: str):
+    def get(self, key: str, make):
         found = self.old.get(key)
         if found is None:
-            found = self.make(key)
+            found = make(key)
         if len(key) <= 64:
             if len(self.young) >= CACHE_ENTRIES:
                 self.old, self.young = self.young, {}
@@ -139,7 +140,7 @@ class Cache:
 
 
 class Codec:
-    """Encodes and decodes texts; remembers up to 2 x CACHE_ENTRIES chunks and as many pre-tokens."""
+    """Encodes and decodes texts; remembers up to 2 x CACHE_ENTRIES chunks and pre-tokens."""
 
     def __init__(self, lines: bytes, pattern: str):
         pairs = [line.split() for line in lines.splitlines() if line]
@@ -147,22 +148,25 @@ class Codec:
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.pattern = regex.compile(pattern)
-        self.chunks, self.pieces = Cache(self.chunk), Cache(self.piece)
         # a chunk is a run without white space and the blank before it; no pre-token of the
-        # public pattern crosses its end, so chunks can be split and remembered on their own
+        # public pattern crosses its end, so chunks can be split and remembered on their own;
+        # a pre-token taken alone is its own only pre-token, so both share one memory
+        self.known = Cache()
         self.coarse = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
     def piece(self, text: str) -> tuple[int, ...]:
         return tuple(merge(text.encode("utf-8", "surrogatepass"), self.ranks))
 
     def chunk(self, text: str) -> tuple[int, ...]:
-        known = self.pieces
-        parts = [known.young.get(p) or known.get(p) for p in self.pattern.findall(text)]
-        return parts[0] if len(parts) == 1 else tuple(chain.from_iterable(parts))
+        parts = self.pattern.findall(text)
+        if len(parts) == 1:
+            return self.piece(parts[0])
+        known, piece = self.known, self.piece
+        return tuple(chain.from_iterable([known.young.get(p) or known.get(p, piece) for p in parts]))
 
     def encode(self, text: str) -> list[int]:
-        known = self.chunks
-        return list(chain.from_iterable([known.young.get(c) or known.get(c) for c in self.coarse.findall(text)]))
+        known, chunk = self.known, self.chunk
+        return list(chain.from_iterable([known.young.get(c) or known.get(c, chunk) for c in self.coarse.findall(text)]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
