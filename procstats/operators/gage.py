@@ -259,3 +259,15 @@ def fleiss_kappa(df: DataFrame, item: str, rating: str, by: Sequence[str] = ())
     g = g.withColumn("z", ratio(F.col("kappa"), F.col("se"))).drop("_nb", "_pb", "_pe", "_p3")
     return with_p_from_z(g, "z", "greater").withColumn("strength", kappa_strength(F.col("kappa")))
 
+
+def attribute_kappas(df: DataFrame, appraiser: str, item: str, rating: str, standard: str | None = None) -> DataFrame:
+    """Kappa of each appraiser against the standard (Cohen; n ratings) and between all ratings of an item (Fleiss; n items)."""
+    rows = df.select(level(appraiser).alias("appraiser"), level(item).alias("_i"), F.col(rating).alias("_v"),
+                     (F.col(standard) if standard else F.lit(None).cast("string")).alias("_s"))
+    shown = ["comparison", "appraiser", "n", "kappa", "se", "z", "p_value", "strength"]
+    between = fleiss_kappa(rows, "_i", "_v").withColumnRenamed("items", "n")
+    out = between.withColumns({"comparison": F.lit("between"), "appraiser": F.lit(None).cast("string")}).select(*shown)
+    if standard:
+        each = cohen_kappa(rows, "_v", "_s", ["appraiser"]).withColumn("comparison", F.lit("standard"))
+        out = out.unionByName(each.select(*shown))
+    return out

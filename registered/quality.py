@@ -267,3 +267,21 @@ f AS (SELECT *, (pb - pe) / (1 - pe) kp, sqrt(2 / (k * nb * (nb - 1))) / (1 - pe
 SELECT k AS items, {r("kp")} AS kappa, {r("se")} AS se, {r("kp / se")} AS z FROM f""")
 def _(s, d):
     return M.fleiss_kappa(events(s, d), "user_id", "event_type").drop("p_value", "strength")
+
+
+@query("attribute_kappas", f"""
+WITH x AS (SELECT (user_id % 4)::VARCHAR a, (event_id // 40) % 90 i, value > 60 v, ((event_id // 40) % 90) % 2 = 0 st FROM events),
+n AS (SELECT a, count(*)::DOUBLE n, count(*) FILTER (v = st) / count(*)::DOUBLE po,
+  (count(*) FILTER (v)::DOUBLE * count(*) FILTER (st) + count(*) FILTER (NOT v)::DOUBLE * count(*) FILTER (NOT st)) / pow(count(*), 2) pe FROM x WHERE v IS NOT NULL GROUP BY a),
+k AS (SELECT a, n, (po - pe) / (1 - pe) kp, sqrt(po * (1 - po) / (n * pow(1 - pe, 2))) se FROM n),
+c AS (SELECT i, v, count(*)::DOUBLE c FROM x WHERE v IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT i, sum(c) n, sum(c * (c - 1)) q FROM c GROUP BY i HAVING sum(c) > 1),
+g AS (SELECT count(*) k, avg(n) nb, avg(q / (n * (n - 1))) pb FROM t),
+s AS (SELECT v, sum(c / n) / any_value(k) p FROM c JOIN t USING (i), g GROUP BY v), e AS (SELECT sum(p * p) pe, sum(p * p * p) p3 FROM s),
+f AS (SELECT k, (pb - pe) / (1 - pe) kp, sqrt(2 / (k * nb * (nb - 1))) / (1 - pe) * sqrt(pe - (2 * nb - 3) * pe * pe + 2 * (nb - 2) * p3) se FROM g, e)
+SELECT 'standard' AS comparison, a AS appraiser, n::BIGINT AS n, {r("kp")} AS kappa, {r("se")} AS se, {r("kp / se")} AS z FROM k
+UNION ALL SELECT 'between', NULL, k, {r("kp")}, {r("se")}, {r("kp / se")} FROM f""")
+def _(s, d):
+    e = events(s, d).select((F.col("user_id") % 4).alias("a"), (F.floor(F.col("event_id") / 40) % 90).alias("i"), (F.col("value") > 60).cast("string").alias("v"))
+    e = e.withColumn("st", F.when(F.col("i") % 2 == 0, "true").otherwise("false"))
+    return M.attribute_kappas(e, "a", "i", "v", "st").drop("p_value", "strength")
