@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 
 import corpus_pipeline
-from procstats.llm import bpe, cover, mixing, quality, quantised, simhash, suffix, tokens, toxicity, urls
+from procstats.llm import bpe, cover, mixing, near, quality, quantised, simhash, suffix, tokens, toxicity, urls
 from procstats.llm.common import WORD
 from procstats.llm.components import components
 
@@ -164,6 +164,60 @@ def test_simhash_links_of_full_buckets(spark, monkeypatch):
     assert got == {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
 
 
+def five_word_sets(texts):
+    words = [WORDS.findall((t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
+    return [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in words]
+
+
+def kept_by_force(texts):
+    """Positions of the first of each component of texts with Jaccard similarity of 0.8 or more, and the pairs' similarities."""
+    sets, root, pairs = five_word_sets(texts), list(range(len(texts))), {}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a & sets[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                pairs[j, i] = len(a & sets[j]) / len(a | sets[j])
+    for _ in texts:
+        for j, i in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return sorted(set(root)), pairs
+
+
+def changed(rng, text, n):
+    words = text.split()
+    for k in rng.sample(range(len(words)), n):
+        words[k] = f"new{rng.random()}"
+    return " ".join(words)
+
+
+def test_near_recall_of_planted_pairs(spark):
+    rng = random.Random(11)
+    texts = []
+    for k in range(300):
+        base = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(150, 400)))
+        texts += [base, changed(rng, base, max(1, int(len(base.split()) * rng.uniform(0.005, 0.026))))]
+    kept, pairs = kept_by_force(texts)
+    assert sum(0.8 <= x < 0.95 for x in pairs.values()) > 150 and min(pairs.values()) < 0.82 and len(kept) > 300
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == kept
+
+
+@pytest.mark.parametrize("bucket, rounds", [(16, 6), (2, 6), (1, 1)])
+def test_near_groups_of_full_buckets(spark, texts, bucket, rounds, monkeypatch):
+    monkeypatch.setattr(near, "BUCKET", bucket)
+    monkeypatch.setattr(near, "ROUNDS", rounds)
+    rng = random.Random(12)
+    base = " ".join(f"w{k}" for k in range(200))
+    chain = [base]
+    for _ in range(12):
+        chain.append(changed(rng, chain[-1], 3))
+    data = [*texts, *chain, *[changed(rng, base, rng.randint(1, 6)) for _ in range(40)], base, base.upper(), "", "\t"]
+    kept, _ = kept_by_force(data)
+    rows = [(i, t, "en", None, 0) for i, t in enumerate(data)]
+    out = near.keep_one(spark.createDataFrame(rows + rows[:3] + [(None, data[0], None, None, None)] * 2, DOCS).repartition(4))
+    assert sorted(r["doc_id"] for r in out.collect()) == kept
+    assert near.keep_one(out.limit(0)).count() == 0 and near.keep_one(spark.createDataFrame([(None,) * 5] * 3, DOCS)).count() == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
