@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, cover, mixing, quality, quantised, simhash, suffix, tokens, toxicity, urls
+from . import alignment, bpe, cover, lines, mixing, quality, quantised, simhash, suffix, tokens, toxicity, urls, whitening
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The ranks of byte_bpe_50k.json, and the pieces they are aligned with.
+RANKS_A, MODEL_B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def table(spark, folder, name):
@@ -59,6 +61,19 @@ def op10_toxicity(spark, folder):
     return toxicity.grade(docs, toxicity.fit(docs, table(spark, folder, "labels"))).drop("text")
 
 
+def op11_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op12_line_dedup(spark, folder):
+    return lines.report(table(spark, folder, "documents"))
+
+
+def op13_alignment(spark, folder):
+    path = public_tokenizers.path
+    return alignment.align(table(spark, folder, "documents"), path(RANKS_A), public_tokenizers.PATTERN, path(MODEL_B))
+
+
 def pipeline(spark, folder):
     import corpus_pipeline
 
@@ -66,7 +81,7 @@ def pipeline(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mixing, op3_line_quality, op4_quantised, op5_simhash, op6_token_counts, op7_url_filter,
-                                   op8_suffix_dedup, op9_cover_dedup, op10_toxicity, pipeline)}
+                                   op8_suffix_dedup, op9_cover_dedup, op10_toxicity, op11_whitening, op12_line_dedup, op13_alignment, pipeline)}
 W = mixing.WORD
 
 
@@ -124,6 +139,13 @@ n AS (SELECT r, count(*) AS n_links FROM p GROUP BY 1),
 c(a, b) AS (SELECT DISTINCT vec_id, vec_id FROM v UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a),
 m AS (SELECT a, min(b) AS component_id FROM c GROUP BY 1)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v LEFT JOIN n USING (r) JOIN m ON m.a = v.vec_id""",
+    "op12_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+k AS (SELECT r, id, line, i, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+c AS (SELECT key, max(id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT id) >= 3),
+s AS (SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept FROM k LEFT JOIN c USING (key) WHERE keeper IS NULL OR id = keeper GROUP BY 1)
+SELECT doc_id, len(l)::BIGINT AS n_lines, (len(l) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)""",
     "op9_cover_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{W}') AS w FROM documents),
 i AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
