@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import sys
+from array import array
 from collections import Counter
 from itertools import chain
 
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Windows remembered in each of two generations, and the length up to which they are.
-MEMORY, LONG = 200_000, 64
+#: Windows that a worker remembers before it starts anew, and the bytes of ids up to which it does.
+MEMORY, LONG = 250_000, 256
+#: Links of a group that are listed one by one.
+WIDE = 1024
 #: Texts that are encoded at a time, and links between different ids per chunk: a chunk has its own numbering of pairs.
 ROWS, CHUNK = 64, 1 << 20
 SIDE = 32
@@ -28,98 +31,116 @@ _DOC = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 _KINDS = dict.fromkeys(_DOC, "long") | {"groups_sha256": "string"}
 
 
-class Window:
-    """An aligned window: its groups as text, their number, the number of links, and (pair of ids, links) of each pair."""
-
-    __slots__ = ("text", "n_groups", "n_links", "pairs")
-
-    def __init__(self, a: tuple[int, ...], b: tuple[int, ...], len_a: list[int], len_b: list[int]):
-        i = j = 0
-        groups, pairs = [], Counter()
-        self.n_links = 0
-        while i < len(a):
-            first_a, first_b = i, j
-            end_a, end_b = len_a[a[i]], len_b[b[j]]
-            i, j = i + 1, j + 1
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a += len_a[a[i]]
-                    i += 1
-                else:
-                    end_b += len_b[b[j]]
-                    j += 1
-            own_a, own_b = a[first_a:i], b[first_b:j]
-            groups.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            self.n_links += len(own_a) * len(own_b)
+def groups_of(a: list[int], b: list[int], len_a: list[int], len_b: list[int]) -> tuple[bytes, bytes, Counter | None]:
+    """(text, links, wide) of an aligned window: its groups, and what they link (A id * 2 ** 32 + B id), packed.
+
+    `links` has one entry per link; those of groups with over WIDE of them are tallied in `wide` instead.
+    """
+    i = j = 0
+    groups, links, wide, n = [], [], None, len(a)
+    while i < n:
+        first_a, first_b, x, y = i, j, a[i], b[j]
+        end_a, end_b = len_a[x], len_b[y]
+        i, j = i + 1, j + 1
+        if end_a == end_b:
+            groups.append(f"{x}|{y}")
+            links.append(x << SIDE | y)
+            continue
+        while end_a != end_b:
+            if end_a < end_b:
+                end_a += len_a[a[i]]
+                i += 1
+            else:
+                end_b += len_b[b[j]]
+                j += 1
+        own_a, own_b = a[first_a:i], b[first_b:j]
+        groups.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
+        if len(own_a) * len(own_b) <= WIDE:
+            links += [x << SIDE | y for x in own_a for y in own_b]
+        else:
+            wide = wide or Counter()
             times_b = Counter(own_b).items()
             for x, m in Counter(own_a).items():
                 for y, k in times_b:
-                    pairs[x << SIDE | y] += m * k
-        self.text, self.n_groups, self.pairs = ";".join(groups), len(groups), tuple(pairs.items())
+                    wide[x << SIDE | y] += m * k
+    return ";".join(groups).encode(), array("q", links).tobytes(), wide
+
+
+class Vocabulary:
+    """The bytes of token ids, their lengths, and whether they begin with a space, as arrays."""
+
+    def __init__(self, own: dict[int, bytes]):
+        known = [own.get(i, b"") for i in range(max(own) + 1)]
+        self.flat = np.frombuffer(b"".join(known), np.uint8)
+        self.size = np.array([len(x) for x in known], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.marked = np.array([x[:1] == b" " for x in known])
+        self.sizes = self.size.tolist()
+
+    def gives(self, ids: np.ndarray, whole: bytes) -> bool:
+        """Whether the joined bytes of the ids are `whole`."""
+        size = self.size[ids]
+        end = np.cumsum(size)
+        if not len(ids) or end[-1] != len(whole):
+            return False
+        return bool((self.flat[np.arange(len(whole)) + np.repeat(self.start[ids] - end + size, size)] == np.frombuffer(whole, np.uint8)).all())
 
 
 class Aligner:
-    """Encodes texts with both tokenizers and aligns the tokens; remembers up to 2 x MEMORY windows."""
+    """Encodes texts with both tokenizers and aligns the tokens; remembers about MEMORY windows at most."""
 
     def __init__(self, ranks: bytes, pattern: str, model: bytes):
         known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=known, special_tokens={})
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.bytes_a = {i: x for x, i in known.items()}
-        pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
-        self.len_a, self.marked_a = self.table(self.bytes_a)
-        self.len_b, self.marked_b = self.table(self.bytes_b)
-        self.sizes = self.len_a.tolist(), self.len_b.tolist()
-        self.young: dict = {}
-        self.old: dict = {}
-
-    @staticmethod
-    def table(own: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Length in bytes of each id, and whether it begins with a space."""
-        size, marked = np.zeros(max(own) + 1, np.int64), np.zeros(max(own) + 1, bool)
-        for i, x in own.items():
-            size[i], marked[i] = len(x), x[:1] == b" "
-        return size, marked
-
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> Window:
-        key = a, b
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key) or Window(a, b, *self.sizes)
-            if len(a) + len(b) <= LONG:
-                if len(self.young) >= MEMORY:
-                    self.old, self.young = self.young, {}
-                self.young[key] = found
-        return found
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        self.coder_a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+        self.coder_b = sentencepiece.SentencePieceProcessor(model_proto=model)
+        pieces = [(i, self.coder_b.id_to_piece(i)) for i in range(self.coder_b.get_piece_size())]
+        self.a = Vocabulary({i: x for x, i in known.items()})
+        self.b = Vocabulary({i: bytes([int(p[3:5], 16)]) if self.coder_b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces})
+        self.known: dict[bytes, tuple] = {}
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Token ids of both, empty unless the bytes of both are a space and the text."""
+        none = np.zeros(0, np.int64)
         some = [t for t in texts if t]
-        found = iter(zip(some, map(self.a.encode_ordinary, [" " + t for t in some]), self.b.encode(some, num_threads=1) if some else []))
-        out: list[tuple[list[int], list[int]]] = []
+        found = iter(self.coder_b.encode(some, num_threads=1) if some else [])
+        out = []
         for t in texts:
-            a, b = [], []
+            a, b = none, none
             if t:
-                t, a, b = next(found)
-                whole = b" " + t.encode()
-                if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-                    a, b = [], []
+                t = " " + t
+                whole = t.encode()
+                a, b = np.array(self.coder_a.encode_ordinary(t), np.int64), np.array(next(found), np.int64)
+                if not self.a.gives(a, whole) or not self.b.gives(b, whole):
+                    a, b = none, none
             out.append((a, b))
         return out
 
-    def windows(self, a: list[int], b: list[int]) -> list[Window]:
-        """The windows between anchors: places where both have just ended a token and the next one of each begins with a space."""
-        if not a:
+    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes, Counter | None]]:
+        """The windows between anchors: places where both have just ended a token and the next one of each begins with a space.
+
+        Aligned windows are remembered by their ids, packed, those of B with the top bit set.
+        """
+        if not len(a):
             return []
-        x, y = np.array(a), np.array(b)
-        start_a, start_b = (np.cumsum(n) - n for n in (self.len_a[x], self.len_b[y]))
-        anchors = np.intersect1d(start_a[self.marked_a[x]], start_b[self.marked_b[y]], assume_unique=True)
+        start_a, start_b = (np.cumsum(n) - n for n in (self.a.size[a], self.b.size[b]))
+        anchors = np.intersect1d(start_a[self.a.marked[a]], start_b[self.b.marked[b]], assume_unique=True)
         if not len(anchors) or anchors[0]:
             anchors = np.append(0, anchors)
-        from_a, from_b = np.searchsorted(start_a, anchors).tolist() + [len(a)], np.searchsorted(start_b, anchors).tolist() + [len(b)]
-        a, b, window = tuple(a), tuple(b), self.window
-        return [window(a[i:k], b[j:m]) for i, k, j, m in zip(from_a, from_a[1:], from_b, from_b[1:])]
+        from_a, from_b = [(4 * np.append(np.searchsorted(s, anchors), len(s))).tolist() for s in (start_a, start_b)]
+        packed_a, packed_b = a.astype(np.uint32).tobytes(), (b | 1 << 31).astype(np.uint32).tobytes()
+        known = self.known
+        if len(known) > MEMORY:
+            known.clear()
+        keys = [packed_a[i:k] + packed_b[j:m] for i, k, j, m in zip(from_a, from_a[1:], from_b, from_b[1:])]
+        out = list(map(known.get, keys))
+        if None in out:
+            a, b = a.tolist(), b.tolist()
+            for n, found in enumerate(out):
+                if found is None:
+                    out[n] = found = groups_of(a[from_a[n] >> 2:from_a[n + 1] >> 2], b[from_b[n] >> 2:from_b[n + 1] >> 2], self.a.sizes, self.b.sizes)
+                    if len(keys[n]) <= LONG:
+                        known[keys[n]] = found
+        return out
 
 
 def shared_aligner(spark: SparkSession, ranks_path: str, pattern: str, model_path: str):
@@ -144,43 +165,42 @@ def aligned(df: DataFrame, ranks_path: str, pattern: str, model_path: str) -> Da
     their numbers (A id * 2 ** 32 + B id) and how many of its documents link each.
     """
     get = shared_aligner(df.sparkSession, ranks_path, pattern, model_path)
+    names = ["chunk", *_DOC, "links", "pairs", "docs"]
 
     def run(batches):
         aligner, pack = get(), zstandard.ZstdCompressor(level=1).compress
-        part, chunk, number, held, docs = TaskContext.get().partitionId() << 32, 0, {}, [], 0
-
-        def made(rows, chunks=()):
-            n, m = len(rows), len(chunks)
-            columns = list(zip(*rows)) or [[]] * 7
-            kinds = [pa.int64()] * 5 + [pa.string(), pa.binary()]
-            own = [pa.array([*c, *[None] * m], k) for c, k in zip(columns, kinds)]
-            more = [pa.array([None] * n + [c[i] for c in chunks], pa.list_(k)) for i, k in enumerate((pa.int64(), pa.int32()))]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n + m, part + chunk)), *own, *more], names=["chunk", *_DOC, "links", "pairs", "docs"])
+        part, chunk, rows, held, docs = TaskContext.get().partitionId() << 32, 0, [], [], 0
+        kinds = [pa.int64()] * 5 + [pa.string(), pa.binary()]
 
         def closed():
-            often = np.bincount(np.concatenate(held), minlength=len(number)) if held else np.zeros(0, np.int64)
-            return made([], [(np.fromiter(number, np.int64, len(number)), often.astype(np.int32))])
+            """The documents of the chunk, their pairs numbered, and the chunk's own row."""
+            pairs, number, often = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True, return_counts=True)
+            ends = np.cumsum([len(p) for p, _ in held])
+            links = [pack(own.astype(np.int32).tobytes() + times.tobytes()) for own, (_, times) in zip(np.split(number, ends[:-1]), held)]
+            columns = [*zip(*rows), links]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part + chunk)), *[pa.array(c, k) for c, k in zip(columns, kinds)],
+                                              pa.nulls(len(rows), pa.list_(pa.int64())), pa.nulls(len(rows), pa.list_(pa.int32()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([part + chunk]), *[pa.nulls(1, k) for k in kinds], pa.array([pairs], pa.list_(pa.int64())),
+                                              pa.array([often.astype(np.int32)], pa.list_(pa.int32()))], names=names)
 
         for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            rows = []
             for doc_id, (ids_a, ids_b) in zip(b.column(0).to_pylist(), aligner.encode([t.as_py() for t in b.column(1)])):
                 found = aligner.windows(ids_a, ids_b)
-                links: dict[int, int] = {}
-                for w, k in Counter(found).items():
-                    for p, m in w.pairs:
-                        links[p] = links.get(p, 0) + m * k
-                own = np.array([number.setdefault(p, len(number)) for p in links], np.int32)
-                held.append(own)
+                own, times = np.unique(np.frombuffer(b"".join([w[1] for w in found]), np.int64), return_counts=True)
+                if any(w[2] for w in found):
+                    both = Counter(dict(zip(own.tolist(), times.tolist())))
+                    for w in found:
+                        both.update(w[2] or {})
+                    own, times = np.array(list(both), np.int64), np.array(list(both.values()), np.int64)
+                text = b";".join([w[0] for w in found])
+                rows.append((doc_id, len(ids_a), len(ids_b), text.count(b";") + 1 if found else 0, int(times.sum()), hashlib.sha256(text).hexdigest() if found else ""))
+                held.append((own, times))
                 docs += len(own)
-                sha = hashlib.sha256(";".join([w.text for w in found]).encode()).hexdigest() if found else ""
-                rows.append((doc_id, len(ids_a), len(ids_b), sum([w.n_groups for w in found]), sum([w.n_links for w in found]), sha,
-                             pack(own.tobytes() + np.fromiter(links.values(), np.int64, len(own)).tobytes())))
-            yield made(rows)
-            if docs >= CHUNK:
-                yield closed()
-                chunk, number, held, docs = chunk + 1, {}, [], 0
-        if held:
-            yield closed()
+            if docs >= CHUNK or len(rows) >= CHUNK >> 5:
+                yield from closed()
+                chunk, rows, held, docs = chunk + 1, [], [], 0
+        if rows:
+            yield from closed()
 
     schema = "chunk long, " + ", ".join(f"{c} {_KINDS[c]}" for c in _DOC) + ", links binary, pairs array<long>, docs array<int>"
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)

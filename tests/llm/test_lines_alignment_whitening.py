@@ -212,7 +212,7 @@ def test_ranks_are_the_json_vocabulary(coders):
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts = ["".join(f" a{c}1{c} {c}" for c in points[k:k + 512]) for k in range(0, len(points), 512)]
     for t, e in zip(texts, a.encode_batch_fast(texts, add_special_tokens=False)):
-        assert aligner.a.encode_ordinary(t) == e.ids
+        assert aligner.coder_a.encode_ordinary(t) == e.ids
 
 
 def test_alignment_of_odd_tables(spark):
