@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.numeric import finite, level, ratio
+from ..plans import gram
 from ..plans.joining import attach
 from ..plans.session import persist
 from . import hypothesis as H
+from .describe import _merge
 from .regression import Model, linear_model
 
 
@@ -192,54 +195,120 @@ def split_plot_anova(df: DataFrame, y: str, hard: str, easy: str, whole_plot: st
 
 # ------------------------------------------------------ variance components
 
-def variance_components(df: DataFrame, value: str, a: str, b: str, by: Sequence[str] = (), nested: bool = False) -> DataFrame:
-    """Balanced two-factor random model, one row per group.
+def _coefficients(r: dict, nested: bool, pooled: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(matrix, sums of squares, degrees of freedom): expected sums of squares are matrix x components.
+
+    Sources and components are a, b, (ab,) error; Henderson's first method, from the cell sizes n_ij only.
+    """
+    n, a, b, c, k1, k2, k3, k4, k12 = (float(r[k]) for k in ("n", "a", "b", "cells", "k1", "k2", "k3", "k4", "k12"))
+    if nested:
+        return (np.array([[n - k1, k3 - k12, a - 1], [0, n - k3, c - a], [0, 0, n - c]]),
+                np.array([r["ss_a"], r["ss_cells"] - r["ss_a"], r["ss_error"]]), np.array([a - 1, c - a, n - c]))
+    m = np.array([[n - k1, k3 - k2, k3 - k12, a - 1], [k4 - k1, n - k2, k4 - k12, b - 1],
+                  [k1 - k4, k2 - k3, n - k3 - k4 + k12, c - a - b + 1], [0, 0, 0, n - c]])
+    ss = np.array([r["ss_a"], r["ss_b"], r["ss_cells"] - r["ss_a"] - r["ss_b"], r["ss_error"]])
+    df = m[:, 3].copy()
+    if pooled:  # no interaction: its sum of squares joins the error
+        m = np.vstack([m[:2], m[2] + m[3]])[:, [0, 1, 3]]
+        ss, df = np.append(ss[:2], ss[2] + ss[3]), np.append(df[:2], df[2] + df[3])
+    return m, ss, df
+
+
+def henderson(r: dict, nested: bool = False, pooled: bool = False) -> dict:
+    """Components of variance of one group, with F ratios against mean squares of the same expectation.
 
-    Unbalanced tables (unequal cell sizes or a missing cell) give balanced =
-    false and NULLs.  Nested levels of b are numbered inside each a.
+    The denominator of a source is the combination of mean squares that expects what its own would without its
+    component; its degrees of freedom are Satterthwaite's.  For equal cells these are the textbook tests.
+    Without replicates the error is part of the last source.  What cannot be solved is NULL.
     """
+    names = ["a", "b", "error"] if nested or pooled else ["a", "b", "ab", "error"]
+    m, ss, df = _coefficients(r, nested, pooled)
+    own = len(names)
+    if df[-1] <= 0 and not pooled:
+        own -= 1
+        m, ss, df = m[:own, :own], ss[:own], df[:own]
+    out: dict = {f"{what}_{k}": None for what in ("ss", "df", "ms", "f", "df_den", "raw") for k in ("a", "b", "ab", "error")}
+    for k, s, d in zip(names, ss, df):
+        out |= {f"ss_{k}": float(s), f"df_{k}": float(d), f"ms_{k}": float(s / d) if d > 0 else None}
+    if own < len(names):
+        out |= {"ss_error": 0.0, "df_error": 0.0, "raw_error": 0.0}
+    scale = np.abs(m).max(initial=0.0)
+    if not scale or np.linalg.matrix_rank(m / scale, tol=1e-12) < own:
+        return out
+    inverse = np.linalg.inv(m)
+    raw = inverse @ ss
+    for i, k in enumerate(names[:own]):
+        out[f"raw_{k}"] = float(raw[i])
+        target = m[i].copy()
+        target[i] = 0
+        parts = (target @ inverse) * ss
+        if k == "error" or df[i] <= 0:
+            continue
+        parts = np.where(np.abs(parts) > 1e-12 * np.abs(parts).max(initial=0.0), parts, 0.0)
+        total = parts.sum()
+        spread = sum(p * p / d for p, d in zip(parts, df) if d > 0)
+        if total > 0 and spread > 0:
+            out |= {f"f_{k}": float(ss[i] / total), f"df_den_{k}": float(total * total / spread)}
+    return out
+
+
+_HENDERSON = ", ".join(f"{what}_{k} double" for what in ("ss", "df", "ms", "f", "df_den", "raw") for k in ("a", "b", "ab", "error"))
+
+
+def two_way_sums(df: DataFrame, value: str, a: str, b: str, by: Sequence[str] = (), nested: bool = False) -> DataFrame:
+    """Per group: sizes and centred sums of squares of the cells of two factors, from one pass over the rows."""
     x = finite(value)
     rows = df.select(*by, level(a).alias("_a"), level(b).alias("_b"), x.alias("_x")).where("_x is not null")
-    cells = rows.groupBy(*by, "_a", "_b").agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_m"),
+    cells = rows.groupBy(*by, "_a", "_b").agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_x").alias("_m"),
                                               (F.var_pop("_x") * F.count(F.lit(1))).alias("_ss"))
     cells = persist(cells)
-    of_a = cells.groupBy(*by, "_a").agg((F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_ma"), F.count(F.lit(1)).alias("_ba"))
-    of_b = cells.groupBy(*by, "_b").agg((F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_mb"))
-    tot = cells.groupBy(*by).agg(
-        F.sum("_n").alias("n"), (F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("grand"), F.sum("_ss").alias("ss_error"),
-        F.min("_n").alias("_n0"), F.max("_n").alias("_n1"), F.count(F.lit(1)).alias("_cells"),
-        F.count_distinct("_a").alias("a"), F.count_distinct("_b").alias("_b_all"))
-    t = attach(attach(attach(cells, of_a, [*by, "_a"]), of_b, [*by, "_b"]), tot, by)
-    n, m, ma, mb, g = (F.col(c) for c in ("_n", "_m", "_ma", "_mb", "grand"))
-    carried = ("n", "grand", "ss_error", "_n0", "_n1", "_cells", "a", "_b_all")
-    s = t.groupBy(*by).agg(
-        *[F.first(c).alias(c) for c in carried], F.min("_ba").alias("_b0"), F.max("_ba").alias("_b1"),
-        F.sum(n * (ma - g) ** 2).alias("ss_a"),
-        (F.sum(n * (m - ma) ** 2) if nested else F.sum(n * (mb - g) ** 2)).alias("ss_b"),
-        (F.lit(0.0) if nested else F.sum(n * (m - ma - mb + g) ** 2)).alias("ss_ab"))
-    bb = F.col("_b1") if nested else F.col("_b_all")
-    s = s.withColumns({"b": bb, "replicates": F.col("_n1"),
-                       "balanced": (F.col("_n0") == F.col("_n1")) & (F.col("_cells") == F.col("a") * bb) & (F.col("_b0") == F.col("_b1"))})
-    an, bn = F.col("a").cast("double"), F.col("b").cast("double")
-    s = s.withColumns({"df_a": an - 1, "df_b": an * (bn - 1) if nested else bn - 1, "df_ab": F.lit(0.0) if nested else (an - 1) * (bn - 1),
-                       "df_error": F.col("n") - an * bn})
-    s = s.withColumns({f"ms_{k}": ratio(F.col(f"ss_{k}"), F.col(f"df_{k}")) for k in ("a", "b", "ab", "error")})
-    r, zero = F.col("replicates").cast("double"), F.lit(0.0)
-    ms_a, ms_b, ms_ab, ms_e = (F.col(f"ms_{k}") for k in ("a", "b", "ab", "error"))
-    den = ms_e if nested else ms_ab
-    err = F.coalesce(ms_e, zero)
-    s = s.withColumns({
-        "f_a": ratio(ms_a, ms_e if nested else ms_ab), "f_b": ratio(ms_b, den), "f_ab": F.lit(None).cast("double") if nested else ratio(ms_ab, ms_e),
-        "var_error": err,
-        "var_ab": F.lit(0.0) if nested else F.greatest(zero, (ms_ab - err) / r),
-        "var_b": F.greatest(zero, (ms_b - err) / r) if nested else F.greatest(zero, (ms_b - ms_ab) / (an * r)),
-        "var_a": F.greatest(zero, (ms_a - ms_b) / (bn * r)) if nested else F.greatest(zero, (ms_a - ms_ab) / (bn * r))})
+    n, m = F.col("_n"), F.col("_m")
+    mean = F.sum(n * m) / F.sum(n)
+    tot = persist(cells.groupBy(*by).agg(F.sum(n).alias("n"), mean.alias("grand"), F.sum("_ss").alias("ss_error"), F.min("_n").alias("_n0"),
+                                         F.max("_n").alias("_n1"), F.count(F.lit(1)).alias("cells"), (F.sum(n * n) / F.sum(n)).alias("k12")))
+    g = F.col("grand")
+
+    def margin(key: str, names: tuple[str, str, str]) -> DataFrame:
+        own = cells.groupBy(*by, key).agg(F.sum(n).alias("_w"), mean.alias("_mean"), (F.sum(n * n) / F.sum(n)).alias("_q"), F.count(F.lit(1)).alias("_k"))
+        own = attach(own, tot.select(*by, "grand", "n"), by, ready=True)
+        w = F.col("_w")
+        return own.groupBy(*by).agg(F.count(F.lit(1)).alias(key[1:]), (F.sum(w * w) / F.first("n")).alias(names[0]), F.sum("_q").alias(names[1]),
+                                    F.sum(w * (F.col("_mean") - g) ** 2).alias(names[2]), F.min("_k").alias(key + "0"), F.max("_k").alias(key + "1"))
+
+    between = attach(cells, tot.select(*by, "grand"), by, ready=True).groupBy(*by).agg(F.sum(n * (m - g) ** 2).alias("ss_cells"))
+    s = _merge(_merge(_merge(tot, between, by), margin("_a", ("k1", "k3", "ss_a")), by), margin("_b", ("k2", "k4", "ss_b")), by)
+    even = (F.col("_n0") == F.col("_n1")) & (F.col("_a0") == F.col("_a1"))
+    balanced = even if nested else even & (F.col("cells") == F.col("a") * F.col("b"))
+    levels_b = F.col("_a1") if nested else F.col("b")
+    return s.withColumns({"balanced": balanced, "b": levels_b, "replicates": F.col("_n1").cast("bigint")}).drop("_n0", "_n1", "_a0", "_a1", "_b0", "_b1")
+
+
+def solved_sums(s: DataFrame, by: Sequence[str], nested: bool = False, pooled: bool = False) -> DataFrame:
+    """`two_way_sums` with the solution of `henderson` for every group, instead of the sizes and sums it came from."""
+    carried = ["balanced", "a", "b", "cells", "replicates", "n", "grand"]
+    kinds = dict(s.dtypes)
+    fields = ", ".join(f"{c} {kinds[c]}" for c in carried) + ", " + _HENDERSON
+    return gram.per_group(s, lambda r: {c: r[c] for c in carried} | henderson(r, nested, pooled), by, fields)
+
+
+def variance_components(df: DataFrame, value: str, a: str, b: str, by: Sequence[str] = (), nested: bool = False) -> DataFrame:
+    """Two-factor random model, crossed or nested (b inside a), one row per group.
+
+    Cells may have any sizes and may be missing: expected sums of squares follow Henderson's first method, and the
+    components are their solution, negative ones set to 0.  For equal cells these are the classical estimates.  `replicates`
+    is the largest cell, `cells` the number of cells with values, and nested `b` the largest number of levels
+    inside one a.  The interaction sum of squares of unequal cells can be negative.  F ratios have denominators
+    of the same expectation (`df_den_*` is Satterthwaite's); they are NULL where none is positive.
+    """
+    s = solved_sums(two_way_sums(df, value, a, b, by, nested), by, nested).withColumn("n", F.col("n").cast("bigint"))
+    zero = F.lit(0.0)
+    s = s.withColumns({f"var_{k}": zero if nested and k == "ab" else F.greatest(zero, F.col(f"raw_{k}")) for k in ("a", "b", "ab", "error")})
+    s = s.withColumn("var_error", F.coalesce("var_error", zero))
+    s = s.withColumns({"var_a": F.when(F.col("raw_a").isNotNull(), F.col("var_a")), "var_b": F.when(F.col("raw_b").isNotNull(), F.col("var_b")),
+                       **({} if nested else {"var_ab": F.when(F.col("raw_ab").isNotNull(), F.col("var_ab"))})})
     s = s.withColumn("var_total", F.col("var_a") + F.col("var_b") + F.col("var_ab") + F.col("var_error"))
-    numbers = [c for c in s.columns if c.split("_")[0] in ("ss", "df", "ms", "f", "var")]
-    s = s.withColumns({c: F.when(F.col("balanced"), F.col(c)) for c in numbers})
-    s = s.withColumns({
-        "p_a": dist.apply(dist.f_sf, F.col("f_a"), F.col("df_a"), F.col("df_error" if nested else "df_ab")),
-        "p_b": dist.apply(dist.f_sf, F.col("f_b"), F.col("df_b"), F.col("df_error" if nested else "df_ab")),
-        "p_ab": dist.apply(dist.f_sf, F.col("f_ab"), F.col("df_ab"), F.col("df_error"))})
-    order = ["balanced", "a", "b", "replicates", "n", "grand", *sorted(numbers), "p_a", "p_b", "p_ab"]
-    return s.select(*by, *order)
+    if nested:
+        s = s.withColumns({"ss_ab": zero, "df_ab": zero})
+    s = s.withColumns({f"p_{k}": dist.apply(dist.f_sf, F.col(f"f_{k}"), F.col(f"df_{k}"), F.col(f"df_den_{k}")) for k in ("a", "b", "ab")})
+    numbers = [c for c in s.columns if c.split("_")[0] in ("ss", "df", "ms", "f", "var") and c not in ("f_error", "df_den_error")]
+    return s.select(*by, "balanced", "a", "b", "cells", "replicates", "n", "grand", *sorted(numbers), "p_a", "p_b", "p_ab")

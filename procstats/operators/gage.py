@@ -12,7 +12,7 @@ from ..functions.constants import by_size, d2, d3
 from ..functions.numeric import finite, level, ratio
 from ..plans.joining import attach
 from ..plans.session import persist
-from .anova import variance_components
+from .anova import solved_sums, two_way_sums, variance_components
 from .describe import _merge
 from .hypothesis import p_from_t, with_p_from_z
 
@@ -40,25 +40,24 @@ def _component_rows(g: DataFrame, by: Sequence[str], parts: dict[str, str], stud
 
 def gage_crossed(df: DataFrame, value: str, part: str, operator: str, by: Sequence[str] = (), tolerance: float | None = None,
                  study: float = 6.0, alpha_pool: float = 0.25, process_sd: float | None = None) -> DataFrame:
-    """Crossed gage study by ANOVA, one row per group.
+    """Crossed gage study by ANOVA, one row per group; cells may have any sizes.
 
     The interaction is pooled into repeatability when its p-value exceeds
-    `alpha_pool`; without replicates it is the error term.
+    `alpha_pool`; without replicates it is the error term.  Components are those of `variance_components`, of the
+    model without interaction where it is pooled.
     """
-    v = variance_components(df, value, part, operator, by).where("balanced")
-    a, b, r = (F.col(c).cast("double") for c in ("a", "b", "replicates"))
-    single = F.col("replicates") < 2
-    pool = single | (F.col("p_ab") > alpha_pool)
-    ss_pool = F.col("ss_ab") + F.coalesce(F.col("ss_error"), F.lit(0.0))
-    df_pool = F.col("df_ab") + F.when(single, 0.0).otherwise(F.col("df_error"))
-    err = F.when(pool, ss_pool / df_pool).otherwise(F.col("ms_ab"))
+    sums = persist(two_way_sums(df, value, part, operator, by))
+    full, pool = solved_sums(sums, by), solved_sums(sums, by, pooled=True)
     zero = F.lit(0.0)
-    g = v.withColumns({"pooled": pool, "_err": err, "p_interaction": F.when(single, F.lit(None).cast("double")).otherwise(F.col("p_ab"))})
-    e = F.col("_err")
-    g = g.withColumns({
-        "var_repeat": F.when(F.col("pooled"), e).otherwise(F.col("ms_error")),
-        "var_inter": F.when(F.col("pooled"), zero).otherwise(F.greatest(zero, (F.col("ms_ab") - F.col("ms_error")) / r)),
-        "var_part": F.greatest(zero, (F.col("ms_a") - e) / (b * r)), "var_oper": F.greatest(zero, (F.col("ms_b") - e) / (a * r))})
+    single = F.col("df_error") <= 0
+    p = dist.apply(dist.f_sf, F.col("f_ab"), F.col("df_ab"), F.col("df_den_ab"))
+    v = full.withColumn("_p", p).withColumns({"pooled": single | (F.coalesce(F.col("_p"), F.lit(1.0)) > alpha_pool), "p_interaction": F.when(~single, F.col("_p"))})
+    v = _merge(v, pool.select(*by, *[F.col(f"raw_{k}").alias(f"_{k}") for k in ("a", "b", "error")]), by)
+    which = lambda k: F.when(F.col("pooled"), F.col(f"_{k}")).otherwise(F.col(f"raw_{k}"))
+    at_least = lambda c: F.when(c.isNotNull(), F.greatest(zero, c))
+    g = v.withColumns({
+        "n": F.col("n").cast("bigint"), "var_repeat": at_least(which("error")), "var_inter": F.when(F.col("pooled"), zero).otherwise(at_least(F.col("raw_ab"))),
+        "var_part": at_least(which("a")), "var_oper": at_least(which("b"))})
     g = g.withColumn("var_repro", F.col("var_oper") + F.col("var_inter"))
     g = g.withColumn("var_gage", F.col("var_repeat") + F.col("var_repro"))
     if process_sd:
@@ -67,7 +66,7 @@ def gage_crossed(df: DataFrame, value: str, part: str, operator: str, by: Sequen
     else:
         g = g.withColumn("var_total", F.col("var_gage") + F.col("var_part"))
     g = g.withColumns({
-        "pct_study_rr": 100 * F.sqrt(F.col("var_gage") / F.col("var_total")), "pct_contribution_rr": 100 * F.col("var_gage") / F.col("var_total"),
+        "pct_study_rr": 100 * F.sqrt(ratio(F.col("var_gage"), F.col("var_total"))), "pct_contribution_rr": 100 * ratio(F.col("var_gage"), F.col("var_total")),
         "pct_tolerance_rr": 100 * study * F.sqrt("var_gage") / tolerance if tolerance else F.lit(None).cast("double"),
         "ndc": F.floor(1.41 * ratio(F.sqrt("var_part"), F.sqrt("var_gage")))})
     keep = ["a", "b", "replicates", "n", "pooled", "p_interaction", "var_repeat", "var_repro", "var_oper", "var_inter", "var_gage", "var_part",
@@ -84,13 +83,13 @@ def gage_components(g: DataFrame, by: Sequence[str] = (), tolerance: float | Non
 
 def gage_nested(df: DataFrame, value: str, part: str, operator: str, by: Sequence[str] = (), tolerance: float | None = None,
                 study: float = 6.0) -> DataFrame:
-    """Nested study: parts inside operators."""
-    v = variance_components(df, value, operator, part, by, nested=True).where("balanced")
+    """Nested study: parts inside operators, cells of any sizes; parts_per_operator and replicates are the largest."""
+    v = variance_components(df, value, operator, part, by, nested=True)
     g = v.select(*by, F.col("a").alias("operators"), F.col("b").alias("parts_per_operator"), "replicates", F.col("var_error").alias("var_repeat"),
                  F.col("var_a").alias("var_oper"), F.col("var_b").alias("var_part"))
     g = g.withColumn("var_gage", F.col("var_repeat") + F.col("var_oper")).withColumn("var_total", F.col("var_gage") + F.col("var_part"))
     g = g.withColumns({
-        "pct_study_rr": 100 * F.sqrt(F.col("var_gage") / F.col("var_total")),
+        "pct_study_rr": 100 * F.sqrt(ratio(F.col("var_gage"), F.col("var_total"))),
         "pct_tolerance_rr": 100 * study * F.sqrt("var_gage") / tolerance if tolerance else F.lit(None).cast("double"),
         "ndc": F.floor(1.41 * ratio(F.sqrt("var_part"), F.sqrt("var_gage")))})
     return _verdict(g)

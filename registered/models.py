@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import functions as F
 
 from procstats.operators import anova as V
@@ -255,40 +257,54 @@ def _(s, d):
     return V.split_plot_anova(df, "l_extendedprice", "l_returnflag", "l_linestatus", "plot")
 
 
-CELL = """x AS (SELECT event_type p, user_id % 3 AS o, value, row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY event_id) k FROM events),
-b AS (SELECT p, o::VARCHAR o, value v FROM x WHERE k <= (SELECT min(c) FROM (SELECT count(*) c FROM x GROUP BY p, o))),
-c AS (SELECT p, o, count(*)::DOUBLE n, avg(v) m, var_pop(v) * count(*) ss FROM b GROUP BY 1, 2),
-g AS (SELECT *, avg(m) OVER (PARTITION BY p) mp, avg(m) OVER (PARTITION BY o) mo, avg(m) OVER () gm FROM c),
-vc AS (SELECT count(DISTINCT p)::DOUBLE a, count(DISTINCT o)::DOUBLE b, any_value(n) r, sum(n * pow(mp - gm, 2)) ssa, sum(n * pow(mo - gm, 2)) ssb,
-  sum(n * pow(m - mp - mo + gm, 2)) ssab, sum(n * pow(m - mp, 2)) ssn, sum(ss) sse, sum(n) nt, any_value(gm) gm FROM g),
-ms AS (SELECT *, ssa / (a - 1) msa, ssb / (b - 1) msb, ssab / ((a - 1) * (b - 1)) msab, ssn / (a * (b - 1)) msn, sse / (nt - a * b) mse FROM vc)"""
+def det3(*rows: Sequence[str]) -> str:
+    """Determinant of three rows of SQL expressions."""
+    (a, b, c), (d, e, f), (g, h, i) = [[f"({x})" for x in r] for r in rows]
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def solve3(rows: Sequence[Sequence[str]], right: Sequence[str], k: int) -> str:
+    """Unknown k of three equations, by Cramer's rule."""
+    return f"{det3(*[[x if j == k else m for j, m in enumerate(row)] for row, x in zip(rows, right)])} / {det3(*rows)}"
 
 
-def balanced_cells(s, d):
-    """Every event type x operator cell cut to the size of the smallest cell (a balanced study)."""
-    from procstats.plans.ordering import sequence
-    e = events(s, d).withColumn("operator", (F.col("user_id") % 3).cast("string"))
-    e = sequence(e, ["event_type", "operator"], ["event_id"], "trial")
-    least = e.groupBy("event_type", "operator").agg(F.count(F.lit(1)).alias("c")).agg(F.min("c")).first()[0]
-    return e.where(F.col("trial") <= least)
+FULL = [["nt - k1", "k3 - k2", "k3 - k12"], ["k4 - k1", "nt - k2", "k4 - k12"], ["k1 - k4", "k2 - k3", "nt - k3 - k4 + k12"]]
+LEFT = ["ssa - (a - 1) * e", "ssb - (b - 1) * e", "ssab - (c - a - b + 1) * e"]
+POOLED = [["nt - k1", "k3 - k2", "a - 1"], ["k4 - k1", "nt - k2", "b - 1"], ["k1 - k4", "k2 - k3", "nt - a - b + 1"]]
+#: Henderson's equations of all event type x operator cells, as they are; sa, sb, sab and e solve the full model, qa, qb and q the one without interaction.
+CELL = f"""cell AS (SELECT event_type p, (user_id % 3)::VARCHAR o, count(value)::DOUBLE n, avg(value) m, var_pop(value) * count(value) ss FROM events WHERE isfinite(value) GROUP BY 1, 2),
+z AS (SELECT sum(n) nt, sum(n * m) / sum(n) gm, count(*)::DOUBLE c, sum(n * n) / sum(n) k12, sum(ss) sse, max(n) r FROM cell),
+u AS (SELECT sum(n * pow(m - gm, 2)) ssc FROM cell, z),
+mp AS (SELECT p, sum(n) n, sum(n * m) / sum(n) m, sum(n * n) / sum(n) q, count(*) k FROM cell GROUP BY 1),
+mo AS (SELECT o, sum(n) n, sum(n * m) / sum(n) m, sum(n * n) / sum(n) q, count(*) k FROM cell GROUP BY 1),
+tp AS (SELECT count(*)::DOUBLE a, sum(n * n) / any_value(nt) k1, sum(q) k3, sum(n * pow(m - gm, 2)) ssa, max(k) bp FROM mp, z),
+t2 AS (SELECT count(*)::DOUBLE b, sum(n * n) / any_value(nt) k2, sum(q) k4, sum(n * pow(m - gm, 2)) ssb, max(k) pb FROM mo, z),
+eq AS (SELECT *, ssc - ssa - ssb AS ssab, sse / (nt - c) AS e FROM z, u, tp, t2),
+vc AS (SELECT *, {solve3(FULL, LEFT, 0)} AS sa, {solve3(FULL, LEFT, 1)} AS sb, {solve3(FULL, LEFT, 2)} AS sab,
+ {", ".join(f"{solve3(POOLED, ['ssa', 'ssb', 'ssab + sse'], k)} AS {name}" for k, name in enumerate(("qa", "qb", "q")))} FROM eq)"""
+
+
+def operators(s, d):
+    return events(s, d).withColumn("operator", (F.col("user_id") % 3).cast("string"))
 
 
 @query("variance_components", f"""
 WITH {CELL}
 SELECT a::BIGINT AS a, b::BIGINT AS b, r::BIGINT AS replicates, nt::BIGINT AS n, {r("gm")} AS grand, {r("ssa", 4)} AS ss_a, {r("ssb", 4)} AS ss_b, {r("ssab", 4)} AS ss_ab, {r("sse", 3)} AS ss_error,
-  {r("msa / msab")} AS f_a, {r("msb / msab")} AS f_b, {r("msab / mse")} AS f_ab, {r("greatest(0, (msa - msab) / (b * r))")} AS var_a, {r("greatest(0, (msb - msab) / (a * r))")} AS var_b,
-  {r("greatest(0, (msab - mse) / r)")} AS var_ab, {r("mse", 5)} AS var_error FROM ms""", ss_a=4, ss_b=4, ss_ab=4, ss_error=3, var_error=5)
+  {r("ssa / ((k3 - k2) * sb + (k3 - k12) * sab + (a - 1) * e)")} AS f_a, {r("ssb / ((k4 - k1) * sa + (k4 - k12) * sab + (b - 1) * e)")} AS f_b,
+  {r("ssab / ((k1 - k4) * sa + (k2 - k3) * sb + (c - a - b + 1) * e)")} AS f_ab, {r("greatest(0, sa)")} AS var_a, {r("greatest(0, sb)")} AS var_b,
+  {r("greatest(0, sab)")} AS var_ab, {r("e", 5)} AS var_error FROM vc""", ss_a=4, ss_b=4, ss_ab=4, ss_error=3, var_error=5)
 def _(s, d):
-    return V.variance_components(balanced_cells(s, d), "value", "event_type", "operator").select(
+    return V.variance_components(operators(s, d), "value", "event_type", "operator").select(
         "a", "b", "replicates", "n", "grand", "ss_a", "ss_b", "ss_ab", "ss_error", "f_a", "f_b", "f_ab", "var_a", "var_b", "var_ab", "var_error")
 
 
 @query("variance_components_nested", f"""
-WITH {CELL}
-SELECT true AS balanced, {r("ssa", 4)} AS ss_a, {r("ssn", 4)} AS ss_b, {r("msa / mse")} AS f_a, {r("msn / mse")} AS f_b, {r("greatest(0, (msa - msn) / (b * r))")} AS var_a,
-  {r("greatest(0, (msn - mse) / r)")} AS var_b FROM ms""", ss_a=4, ss_b=4)
+WITH {CELL}, w AS (SELECT *, (ssc - ssa - (c - a) * e) / (nt - k3) AS sn FROM eq)
+SELECT (SELECT min(n) = max(n) FROM cell) AS balanced, {r("ssa", 4)} AS ss_a, {r("ssc - ssa", 4)} AS ss_b, {r("ssa / ((k3 - k12) * sn + (a - 1) * e)")} AS f_a,
+  {r("(ssc - ssa) / (c - a) / e")} AS f_b, {r("greatest(0, (ssa - (a - 1) * e - (k3 - k12) * sn) / (nt - k1))")} AS var_a, {r("greatest(0, sn)")} AS var_b FROM w""", ss_a=4, ss_b=4)
 def _(s, d):
-    return V.variance_components(balanced_cells(s, d), "value", "event_type", "operator", nested=True).select(
+    return V.variance_components(operators(s, d), "value", "event_type", "operator", nested=True).select(
         "balanced", "ss_a", "ss_b", "f_a", "f_b", "var_a", "var_b")
 
 

@@ -9,7 +9,7 @@ from procstats.operators import capability as C
 from procstats.operators import gage as M
 
 from .common import phi, r, registry, table
-from .models import CELL, balanced_cells
+from .models import CELL, operators
 
 QUERIES, query = registry()
 
@@ -136,39 +136,67 @@ def _(s, d):
     return C.sixpack(events(s, d), "value", ["event_id"], ["event_type"], -50.0, 150.0)["last_points"].select("event_type", "point", "value")
 
 
-GAGE = f"""WITH {CELL}, f AS (SELECT *, (ssab + sse) / ((a - 1) * (b - 1) + nt - a * b) msp FROM ms)"""
+#: Components of the gage study with the interaction pooled and not pooled.
+POOL = f"""WITH {CELL}, f AS (SELECT *, q AS rep, greatest(0, qb) AS ope, 0.0 AS inter, greatest(0, qa) AS par FROM vc)"""
+OPEN = f"""WITH {CELL}, f AS (SELECT *, e AS rep, greatest(0, sb) AS ope, greatest(0, sab) AS inter, greatest(0, sa) AS par FROM vc)"""
 
 
-@query("gage_crossed_inputs", f"""{GAGE}
-SELECT a::BIGINT AS a, b::BIGINT AS b, r::BIGINT AS replicates, nt::BIGINT AS n, {r("msp", 4)} AS var_repeat, {r("greatest(0, (msb - msp) / (a * r))")} AS var_oper,
- {r("greatest(0, (msa - msp) / (b * r))")} AS var_part, {r("100 * (msp + greatest(0, (msb - msp) / (a * r))) / (msp + greatest(0, (msb - msp) / (a * r)) + greatest(0, (msa - msp) / (b * r)))", 4)} AS pct_contribution_rr
-FROM f""", var_repeat=4, pct_contribution_rr=4)
+@query("gage_crossed_inputs", f"""{POOL}
+SELECT a::BIGINT AS a, b::BIGINT AS b, r::BIGINT AS replicates, nt::BIGINT AS n, {r("rep", 4)} AS var_repeat, {r("ope")} AS var_oper,
+ {r("par")} AS var_part, {r("100 * (rep + ope) / (rep + ope + par)", 4)} AS pct_contribution_rr FROM f""", var_repeat=4, pct_contribution_rr=4)
 def _(s, d):
-    return M.gage_crossed(balanced_cells(s, d), "value", "event_type", "operator", alpha_pool=0.0).select(
+    return M.gage_crossed(operators(s, d), "value", "event_type", "operator", alpha_pool=0.0).select(
         "a", "b", "replicates", "n", "var_repeat", "var_oper", "var_part", "pct_contribution_rr")
 
 
+def _gage_sql(with_name: str) -> str:
+    g, t = "(rep + ope + inter)", "(rep + ope + inter + par)"
+    return f"""{with_name}
+SELECT a::BIGINT AS a, b::BIGINT AS b, r::BIGINT AS replicates, nt::BIGINT AS n, {r("rep", 4)} AS var_repeat, {r("ope + inter")} AS var_repro, {r("ope")} AS var_oper,
+ {r("inter")} AS var_inter, {r(g, 4)} AS var_gage, {r("par")} AS var_part, {r(t, 4)} AS var_total, {r(f"100 * sqrt({g} / {t})", 4)} AS pct_study_rr,
+ {r(f"100 * {g} / {t}", 4)} AS pct_contribution_rr, {r(f"100 * 6 * sqrt({g}) / 400", 4)} AS pct_tolerance_rr, floor(1.41 * sqrt(par / {g}))::BIGINT AS ndc,
+ CASE WHEN 100 * sqrt({g} / {t}) < 10 THEN 'acceptable' WHEN 100 * sqrt({g} / {t}) < 30 THEN 'marginal' ELSE 'not acceptable' END AS verdict,
+ CASE WHEN floor(1.41 * sqrt(par / {g})) >= 5 THEN 'adequate' ELSE 'insufficient' END AS resolution FROM f"""
+
+
+ROUNDED = dict.fromkeys(("var_repeat", "var_gage", "var_total", "pct_study_rr", "pct_contribution_rr", "pct_tolerance_rr"), 4)
+
+
 @query("gage_crossed")
 def _(s, d):
-    return M.gage_crossed(balanced_cells(s, d), "value", "event_type", "operator", tolerance=400.0)
+    return M.gage_crossed(operators(s, d), "value", "event_type", "operator", tolerance=400.0)
+
+
+@query("gage_crossed_pooled", _gage_sql(POOL), **ROUNDED)
+def _(s, d):
+    return M.gage_crossed(operators(s, d), "value", "event_type", "operator", tolerance=400.0, alpha_pool=0.0).drop("pooled", "p_interaction")
+
+
+@query("gage_crossed_with_interaction", _gage_sql(OPEN), **ROUNDED)
+def _(s, d):
+    return M.gage_crossed(operators(s, d), "value", "event_type", "operator", tolerance=400.0, alpha_pool=1.0).drop("pooled", "p_interaction")
 
 
 @query("gage_components")
 def _(s, d):
-    return M.gage_components(M.gage_crossed(balanced_cells(s, d), "value", "event_type", "operator", tolerance=400.0), tolerance=400.0)
+    return M.gage_components(M.gage_crossed(operators(s, d), "value", "event_type", "operator", tolerance=400.0), tolerance=400.0)
 
 
-@query("gage_nested", f"""
-WITH {CELL}, w AS (SELECT o, p, n, m, ss, avg(m) OVER (PARTITION BY o) mo, avg(m) OVER () gm FROM c),
-v AS (SELECT count(DISTINCT o)::DOUBLE a, count(DISTINCT p)::DOUBLE b, any_value(n) r, sum(n * pow(mo - gm, 2)) / (count(DISTINCT o) - 1) msa,
-  sum(n * pow(m - mo, 2)) / (count(DISTINCT o) * (count(DISTINCT p) - 1)) msb, sum(ss) / (sum(n) - count(*)) mse FROM w)
-SELECT a::BIGINT AS operators, b::BIGINT AS parts_per_operator, r::BIGINT AS replicates, {r("mse", 5)} AS var_repeat, {r("greatest(0, (msa - msb) / (b * r))")} AS var_oper,
- {r("greatest(0, (msb - mse) / r)")} AS var_part FROM v""", var_repeat=5)
+@query("gage_components_pooled", f"""{POOL}, l AS (SELECT unnest(range(7)) AS position, unnest(['gage', 'repeatability', 'reproducibility', 'operator', 'part*operator', 'part', 'total']) AS source,
+ unnest([rep + ope, rep, ope, ope, 0, par, rep + ope + par]) AS v, rep + ope + par AS t FROM f)
+SELECT position::INT AS position, source, {r("v", 4)} AS var_comp, {r("100 * v / t", 4)} AS pct_contribution, {r("sqrt(v)", 4)} AS sd, {r("6 * sqrt(v)", 4)} AS study_var,
+ {r("100 * sqrt(v / t)", 4)} AS pct_study_var, {r("100 * 6 * sqrt(v) / 400", 4)} AS pct_tolerance FROM l""", var_comp=4, pct_contribution=4, sd=4, study_var=4, pct_study_var=4, pct_tolerance=4)
 def _(s, d):
-    return M.gage_nested(balanced_cells(s, d), "value", "event_type", "operator").select(
-        "operators", "parts_per_operator", "replicates", "var_repeat", "var_oper", "var_part")
+    return M.gage_components(M.gage_crossed(operators(s, d), "value", "event_type", "operator", tolerance=400.0, alpha_pool=0.0), tolerance=400.0)
 
 
+@query("gage_nested", f"""
+WITH {CELL}, w AS (SELECT *, (ssc - ssb - (c - b) * e) / (nt - k4) AS sn FROM eq)
+SELECT b::BIGINT AS operators, pb::BIGINT AS parts_per_operator, r::BIGINT AS replicates, {r("e", 5)} AS var_repeat,
+ {r("greatest(0, (ssb - (b - 1) * e - (k4 - k12) * sn) / (nt - k2))")} AS var_oper, {r("greatest(0, sn)")} AS var_part FROM w""", var_repeat=5)
+def _(s, d):
+    return M.gage_nested(operators(s, d), "value", "event_type", "operator").select(
+        "operators", "parts_per_operator", "replicates", "var_repeat", "var_oper", "var_part")
 
 
 #: Expected range of n normals by the trapezoid rule, independent of the operator's constants.
@@ -180,6 +208,12 @@ def d2_sql(n: str) -> str:
     return f"(SELECT sum(1 - pow(c, {n}) - pow(greatest(0, 1 - c), {n})) * 0.005 FROM grid)"
 
 
+def d3_sql(n: str) -> str:
+    """Standard deviation of the range: the mean square is twice a double integral over x < y, here summed on the grid."""
+    reach = f"1 - pow(v.c, {n}) - pow(greatest(0, 1 - u.c), {n}) + pow(greatest(0, v.c - u.c), {n})"
+    return f"(SELECT sqrt(2 * sum(({reach}) * CASE WHEN u.c = v.c THEN 0.5 ELSE 1 END) * 0.000025 - pow({d2_sql(n)}, 2)) FROM grid u JOIN grid v ON u.c <= v.c)"
+
+
 @query("gage_xbar_r", f"""
 WITH {GRID}, x AS (SELECT event_type p, user_id % 3 AS o, value FROM events),
 c AS (SELECT p, o, count(*)::DOUBLE n, avg(value) m, max(value) - min(value) rg FROM x GROUP BY 1, 2),
@@ -204,12 +238,13 @@ def _(s, d):
 @query("gage_charts", f"""
 WITH {GRID}, x AS (SELECT event_type p, (user_id % 3)::VARCHAR AS o, value FROM events),
 c AS (SELECT p, o, count(*) n, avg(value) m, max(value) - min(value) rg FROM x GROUP BY 1, 2),
-z AS (SELECT sum(n * m) / sum(n) g, avg(rg) rb, max(n) r FROM c), t AS (SELECT *, {d2_sql("r")} AS dr FROM z)
+z AS (SELECT sum(n * m) / sum(n) g, avg(rg) rb, max(n) r FROM c), t AS (SELECT *, {d2_sql("r")} AS dr, {d3_sql("r")} AS er FROM z)
 SELECT p AS part, o AS operator, n, {r("m")} AS mean, {r("rg")} AS range, {r("g")} AS grand, {r("rb")} AS rbar,
- {r("g + 3 * rb / dr / sqrt(r)")} AS mean_ucl, {r("g - 3 * rb / dr / sqrt(r)")} AS mean_lcl FROM c, t""")
+ {r("g + 3 * rb / dr / sqrt(r)")} AS mean_ucl, {r("g - 3 * rb / dr / sqrt(r)")} AS mean_lcl,
+ {r("rb * (1 + 3 * er / dr)", 2)} AS range_ucl, {r("greatest(0, rb * (1 - 3 * er / dr))", 2)} AS range_lcl FROM c, t""", range_ucl=2, range_lcl=2)
 def _(s, d):
     e = events(s, d).withColumn("operator", (F.col("user_id") % 3).cast("string"))
-    return M.gage_charts(e, "value", "event_type", "operator").drop("range_ucl", "range_lcl")
+    return M.gage_charts(e, "value", "event_type", "operator")
 
 
 @query("bias_linearity", f"""
