@@ -6,8 +6,9 @@ import sys
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
@@ -19,6 +20,48 @@ from ..plans.session import persist
 from .hypothesis import p_from_t
 
 
+#: Numbers that a summary of clusters or classes may have before it travels to the tasks (128 MB), and that a block of distances may have.
+SUMMARY, BLOCK = 1 << 24, 1 << 22
+
+
+def _vector(columns: Sequence[str]) -> Column:
+    return F.array(*[F.col(f"`{c}`") for c in columns])
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+
+def _against(rows: DataFrame, columns: Sequence[str], summary: list, fn, added: str, kinds: Sequence) -> DataFrame:
+    """`rows` with the columns `added`: `fn(x, row numbers)` gets blocks of rows as a matrix and gives those columns.
+
+    `summary`, what fn holds, is one entry per cluster or class; its size is checked.
+    """
+    if len(summary) * len(columns) > SUMMARY:
+        raise ValueError(f"{len(summary)} clusters of {len(columns)} columns are over {SUMMARY} numbers")
+    keep = list(rows.columns)
+    step = max(1, BLOCK // max(1, len(summary)))
+    names = [a.strip().split(" ")[0] for a in added.split(",")]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                x = part.column(part.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, len(columns))
+                found = fn(x, part)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(v, k) for v, k in zip(found, kinds)]], names=[*keep, *names])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.withColumn("_vector", _vector(columns)).mapInArrow(run, f"{fields}, {added}")
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and centres."""
+    middle = centres.mean(axis=0)
+    x, c = x - middle, centres - middle
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1), 0)
+
+
 def _pairs(columns: Sequence[str]):
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
 
@@ -153,10 +196,10 @@ def pca_scores(df: DataFrame, columns: Sequence[str], components: DataFrame, key
     wide = components.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("component", "loadings"))).alias("_v"),
                                        F.first("center").alias("_c"), F.first("scale").alias("_s"))
     rows = attach(_complete(df, columns, [*key, *[b for b in by if b not in key]]), wide, by)
-    z = [(F.col(c) - F.get("_c", F.lit(i))) / F.get("_s", F.lit(i)) for i, c in enumerate(columns)]
+    z = F.zip_with(F.zip_with(_vector(columns), F.col("_c"), lambda x, c: x - c), F.col("_s"), lambda x, s: x / s)
     k = len(columns) if count is None else count
-    scores = [sum((zi * F.get(F.get("_v", F.lit(j))["loadings"], F.lit(i)) for i, zi in enumerate(z[1:], 1)),
-                  z[0] * F.get(F.get("_v", F.lit(j))["loadings"], F.lit(0))).alias(f"pc{j + 1}") for j in range(k)]
+    rows = rows.withColumn("_z", z)
+    scores = [_dot(F.col("_z"), F.get("_v", F.lit(j))["loadings"]).alias(f"pc{j + 1}") for j in range(k)]
     return rows.select(*key, *scores)
 
 
@@ -178,15 +221,20 @@ def k_means(df: DataFrame, columns: Sequence[str], k: int, key: Sequence[str], s
     z = [f"_z{i}" for i in range(len(columns))]
     data = VectorAssembler(inputCols=z, outputCol="_f").transform(rows)
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="_p").fit(data)
-    labelled = persist(model.transform(data).drop("_f").withColumn("cluster", F.col("_p") + 1).drop("_p"))
-    centre = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
-    d2 = sum(((F.col(c) - F.get(F.get(centre, F.col("cluster") - 1), F.lit(i))) ** 2 for i, c in enumerate(z[1:], 1)),
-             (F.col(z[0]) - F.get(F.get(centre, F.col("cluster") - 1), F.lit(0))) ** 2)
+    labelled = model.transform(data).drop("_f").withColumn("cluster", F.col("_p") + 1).drop("_p")
+    centres = np.array(model.clusterCenters())
+
+    def distance(x, part):
+        own = part.column(part.schema.get_field_index("cluster")).to_numpy() - 1
+        return [((x - centres[own]) ** 2).sum(axis=1)]
+
+    labelled = persist(_against(labelled, z, list(centres), distance, "_d2 double", [pa.float64()]))
+    d2 = F.col("_d2")
     sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(d2).alias("within_ss"), *[F.avg(c).alias(c) for c in columns])
     total = sum((F.var_pop(c) for c in z[1:]), F.var_pop(z[0])) * F.count(F.lit(1))
     fit = labelled.agg(F.count(F.lit(1)).alias("n"), total.alias("total_ss"), F.sum(d2).alias("within_ss"))
     fit = fit.withColumns({"between_ss": F.col("total_ss") - F.col("within_ss"), "r2": 1 - ratio(F.col("within_ss"), F.col("total_ss"))})
-    return {"rows": labelled.drop(*z), "clusters": sizes, "fit": fit, "standardized": labelled.select(*key, *z, "cluster")}
+    return {"rows": labelled.drop(*z, "_d2"), "clusters": sizes, "fit": fit, "standardized": labelled.select(*key, *z, "cluster")}
 
 
 def silhouette(standardized: DataFrame, columns: Sequence[str], cluster: str = "cluster") -> DataFrame:
@@ -198,18 +246,24 @@ def silhouette(standardized: DataFrame, columns: Sequence[str], cluster: str = "
     z = list(columns)
     cl = standardized.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.avg(c) for c in z]).alias("_c"),
                                            sum((F.var_pop(c) for c in z[1:]), F.var_pop(z[0])).alias("_v"))
-    found = cl.select(F.col(cluster).alias("_id"), "_n", "_c", "_v").collect()
-    if len(found) > 1000:
-        raise ValueError("too many clusters for a silhouette")
-    means = []
-    for r in found:
-        d = sum(((F.col(c) - float(r["_c"][i])) ** 2 for i, c in enumerate(z)), F.lit(0.0)) + float(r["_v"])
-        same = F.col(cluster) == r["_id"]
-        means.append((same, d * (r["_n"] / max(1, r["_n"] - 1)), d, r["_n"]))
-    a = F.coalesce(*[F.when(same, own if n > 1 else F.lit(None).cast("double")) for same, own, _, n in means], F.lit(None).cast("double"))
-    b = F.least(*[F.when(~same, d) for same, _, d, _ in means], F.lit(float("inf")))
-    s = F.when(a.isNull(), 0.0).otherwise(ratio(b - a, F.greatest(a, b)))
-    rows = standardized.withColumn("_s", s)
+    found = cl.select(F.col(cluster).cast("string").alias("_id"), "_n", "_c", "_v").collect()
+    number = {r["_id"]: i for i, r in enumerate(found)}
+    centres, spread = np.array([r["_c"] for r in found], float), np.array([r["_v"] for r in found], float)
+    n = np.array([r["_n"] for r in found], float)
+
+    def score(x, part):
+        own = np.array([number[v] for v in part.column(part.schema.get_field_index("_own")).to_pylist()], np.int64)
+        d = _squares(x, centres) + spread
+        at = np.arange(len(x))
+        a = d[at, own] * n[own] / np.maximum(1, n[own] - 1)
+        d[at, own] = np.inf
+        b = d.min(axis=1)
+        most = np.maximum(a, b)
+        s = np.where(most > 0, (b - a) / np.where(most > 0, most, 1), np.nan)
+        return [np.where(n[own] > 1, np.where(np.isinf(b), np.nan, s), 0.0)]
+
+    rows = _against(standardized.select(cluster, *z, F.col(cluster).cast("string").alias("_own")), z, found, score, "_s double", [pa.float64()])
+    rows = rows.withColumn("_s", finite("_s"))
     per = rows.groupBy(F.col(cluster).cast("string").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.avg("_s").alias("silhouette"))
     return per.unionByName(rows.agg(F.lit("all").alias("cluster"), F.count(F.lit(1)).alias("n"), F.avg("_s").alias("silhouette")))
 
@@ -310,12 +364,15 @@ def lda_fit(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
 
 
 def lda_classify(df: DataFrame, model: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Class with the largest linear score; the few class vectors become literals."""
-    classes = sorted(model.collect(), key=lambda r: r["class"])
-    rows = _complete(df, columns, keep)
-    scores = [F.struct((sum((F.col(c) * float(r["weights"][i]) for i, c in enumerate(columns)), F.lit(float(r["constant"])))).alias("score"),
-                       F.lit(r["class"]).alias("class")) for r in classes]
-    return rows.withColumn("_best", F.greatest(*scores) if len(scores) > 1 else scores[0]).withColumn("predicted", F.col("_best.class")).drop("_best")
+    """Class with the largest linear score; ties go to the last class name."""
+    classes = sorted(model.collect(), key=lambda r: r["class"], reverse=True)
+    weights, constant = np.array([r["weights"] for r in classes], float), np.array([r["constant"] for r in classes], float)
+    names = [r["class"] for r in classes]
+
+    def best(x, part):
+        return [[names[i] for i in (x @ weights.T + constant).argmax(axis=1)]]
+
+    return _against(_complete(df, columns, keep), columns, classes, best, "predicted string", [pa.string()])
 
 
 def lda(df: DataFrame, group: str, columns: Sequence[str]) -> dict[str, DataFrame]:

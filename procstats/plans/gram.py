@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,18 +111,151 @@ def design_rows(df: DataFrame, dm: Design, y: str | Column | None, by: Sequence[
     return df.select(*by, *keep, *cols, *(["_y"] if y is not None else []))
 
 
+#: Up to this many columns Spark's own aggregates are the lighter way; the number of pairs grows with the square.
+NARROW = 6
+#: Numbers that a task keeps for the groups it has met before it passes them on.
+HELD = 4_000_000
+MERGERS = 32
+
+
 def moments(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row per group: n, means and the upper triangle of the covariance matrix.
 
-    Spark's own moment aggregates keep a running mean per group, so groups far from each other lose no
-    digits.  A column is constant in a group if its least value is its greatest.
+    Each Arrow block of rows becomes one centred cross product per group, and blocks are merged by the
+    pairwise rule, so groups far from each other lose no digits; the rows themselves are neither
+    copied nor shuffled.  Rows must have no NULLs in `columns`.  A column is constant in a group if its least value is its greatest.
     """
+    columns, by = list(columns), list(by)
+    if len(columns) > NARROW:
+        return _block_moments(rows, columns, by)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     fixed = {c: F.min(c) == F.max(c) for c in columns}
     covs = [F.when(fixed[a] | fixed[b], 0.0).otherwise(F.var_pop(a) if a == b else F.covar_pop(a, b)) for a, b in pairs]
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in columns]).alias("means"), F.array(*covs).alias("cov"))
 
 
+class Parts:
+    """Partial moments of rows of groups: n, least, greatest, mean (k columns each) and centred products (upper triangle)."""
+
+    def __init__(self, n, low, high, mean, products):
+        self.n, self.low, self.high, self.mean, self.products = n, low, high, mean, products
+
+    @staticmethod
+    def of(x: np.ndarray, starts: np.ndarray) -> Parts:
+        """From rows sorted by group; `starts` is where each group begins."""
+        k, edges = x.shape[1], np.append(starts, len(x))
+        n = np.diff(edges).astype(float)
+        mean = np.add.reduceat(x, starts, axis=0) / n[:, None]
+        c = x - np.repeat(mean, np.diff(edges), axis=0)
+        shift = np.add.reduceat(c, starts, axis=0) / n[:, None]  # what rounding of the mean has left
+        i, j = np.triu_indices(k)
+        if len(starts) * 8 <= len(x):  # long groups: one matrix product each
+            products = np.array([(c[p:q].T @ c[p:q])[i, j] for p, q in zip(edges[:-1], edges[1:])])
+        else:
+            products = np.stack([np.add.reduceat(c[:, p] * c[:, q], starts) for p, q in zip(i, j)], axis=1)
+        products = products - n[:, None] * shift[:, i] * shift[:, j]
+        return Parts(n, np.minimum.reduceat(x, starts, axis=0), np.maximum.reduceat(x, starts, axis=0), mean + shift, products)
+
+    def merged(self, starts: np.ndarray) -> Parts:
+        """Neighbouring parts of one group put together."""
+        sizes = np.diff(np.append(starts, len(self.n)))
+        n = np.add.reduceat(self.n, starts)
+        first = np.repeat(self.mean[starts], sizes, axis=0)
+        mean = self.mean[starts] + np.add.reduceat((self.mean - first) * self.n[:, None], starts, axis=0) / n[:, None]
+        apart = self.mean - np.repeat(mean, sizes, axis=0)
+        i, j = np.triu_indices(self.mean.shape[1])
+        products = np.add.reduceat(self.products + self.n[:, None] * apart[:, i] * apart[:, j], starts, axis=0)
+        return Parts(n, np.minimum.reduceat(self.low, starts, axis=0), np.maximum.reduceat(self.high, starts, axis=0), mean, products)
+
+    def take(self, which) -> Parts:
+        return Parts(*[v[which] for v in self.arrays()])
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.n, self.low, self.high, self.mean, self.products]
+
+    @staticmethod
+    def joined(parts: Sequence[Parts]) -> Parts:
+        return Parts(*[np.concatenate(v) for v in zip(*[p.arrays() for p in parts])])
+
+    def columns(self) -> list[pa.Array]:
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.ravel())) for v in self.arrays()[1:]]
+        return [pa.array(self.n), *lists]
+
+    @staticmethod
+    def read(columns: Sequence[pa.Array]) -> Parts:
+        n = columns[0].to_numpy(zero_copy_only=False)
+        return Parts(n, *[c.flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1) for c in columns[1:]])
+
+
+_PART = ["_n", "_low", "_high", "_mean", "_products"]
+_PART_FIELDS = "_n double, " + ", ".join(f"{c} array<double>" for c in _PART[1:])
+
+
+def _codes(batch: pa.RecordBatch, by: Sequence[str]) -> np.ndarray:
+    """A number per row that rows of one group share."""
+    if not by:
+        return np.zeros(batch.num_rows, np.int64)
+    return batch.select(list(by)).to_pandas().groupby(list(by), dropna=False, sort=False).ngroup().to_numpy()
+
+
+def _in_runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts) that sort rows by code."""
+    order = np.argsort(codes, kind="stable")
+    return order, np.flatnonzero(np.append(True, np.diff(codes[order]) != 0))
+
+
+def _put_together(held: list[pa.RecordBatch], by: Sequence[str]) -> pa.RecordBatch:
+    """Batches of partial moments as one with a row per group."""
+    whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    order, starts = _in_runs(_codes(whole, by))
+    parts = Parts.read([whole.column(c) for c in _PART]).take(order).merged(starts)
+    keys = whole.select(list(by)).take(pa.array(order[starts])).columns if by else []
+    return pa.RecordBatch.from_arrays([*keys, *parts.columns()], names=[*by, *_PART])
+
+
+def _block_moments(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    k = len(columns)
+    room = max(1, HELD // (3 * k + k * (k + 1) // 2))
+    fields = "".join(f"`{c}` {dict(rows.dtypes)[c]}, " for c in by) + _PART_FIELDS
+
+    def reduce(batches):
+        """Partial moments, merged while the groups are few enough to be kept."""
+        held = None
+        for b in batches:
+            held = _put_together([held, b] if held is not None else [b], by)
+            if held.num_rows > room:
+                yield held
+                held = None
+        if held is not None:
+            yield held
+
+    def blocks(batches):
+        for b in batches:
+            if b.num_rows:
+                order, starts = _in_runs(_codes(b, by))
+                x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])[order]
+                keys = b.select(by).take(pa.array(order[starts])).columns if by else []
+                yield pa.RecordBatch.from_arrays([*keys, *Parts.of(x, starts).columns()], names=[*by, *_PART])
+
+    i, j = np.triu_indices(k)
+
+    def whole_groups(table: pa.Table) -> pa.Table:
+        b = _put_together(table.to_batches(), by)
+        parts = Parts.read([b.column(c) for c in _PART])
+        fixed = parts.low == parts.high
+        cov = np.where(fixed[:, i] | fixed[:, j], 0.0, parts.products / parts.n[:, None])
+        lists = Parts(parts.n, parts.low, parts.high, parts.mean, cov).columns()
+        return pa.Table.from_arrays([*[b.column(c) for c in by], pa.array(parts.n.astype(np.int64)), lists[3], lists[4]], names=[*by, "n", "means", "cov"])
+
+    src = rows.select(*[F.col(f"`{c}`") for c in by], *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    parts = src.mapInArrow(lambda batches: reduce(blocks(batches)), fields)
+    # a group's parts meet in two steps, so that not all tasks report to one
+    some = parts.withColumn("_at", F.spark_partition_id() % MERGERS).repartition(*[F.col(f"`{c}`") for c in by], "_at").drop("_at").mapInArrow(reduce, fields)
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in by]) if by else F.lit(0)
+    done = "".join(f"`{c}` {dict(rows.dtypes)[c]}, " for c in by) + "n bigint, means array<double>, cov array<double>"
+    return some.groupBy(key.alias("_key")).applyInArrow(whole_groups, done)
+
+
 def square(flat, k: int) -> np.ndarray:
     out = np.zeros((k, k))
     out[np.triu_indices(k)] = np.asarray(flat, float)

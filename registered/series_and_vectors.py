@@ -65,25 +65,38 @@ def _(s, d):
     return M.pca(items(s, d), ["l_quantity", "l_extendedprice"], ["l_returnflag"]).select("l_returnflag", "component", "eigenvalue", "pct")
 
 
+WIDE = 64
+DIMENSIONS = [f"e{i}" for i in range(WIDE)]
+
+
 def vectors(s, d, k=6):
     return table(s, d, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(k)])
 
 
 @query("pca")
 def _(s, d):
-    return M.pca(vectors(s, d), [f"e{i}" for i in range(6)], correlation=False)
+    return M.pca(vectors(s, d, WIDE), DIMENSIONS, correlation=False)
+
+
+#: Covariances of all pairs of dimensions: their sum of squares is that of the eigenvalues, the trace their sum.
+@query("pca_spectrum", f"""
+WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM x a JOIN x b USING (vec_id) GROUP BY ALL)
+SELECT 64 AS components, {r("sum(c) FILTER (i = j)", 8)} AS total, {r("sum(c * c)", 8)} AS squares FROM c""", total=8, squares=8)
+def _(s, d):
+    e = F.col("eigenvalue")
+    return M.pca(vectors(s, d, WIDE), DIMENSIONS, correlation=False).agg(F.max("component").cast("int").alias("components"), F.sum(e).alias("total"), F.sum(e * e).alias("squares"))
 
 
 @query("pca_scores")
 def _(s, d):
-    v = vectors(s, d)
-    cols = [f"e{i}" for i in range(6)]
+    v, cols = vectors(s, d), DIMENSIONS[:6]
     return M.pca_scores(v, cols, M.pca(v, cols), ["vec_id"], count=3)
 
 
 @query("k_means_fit")
 def _(s, d):
-    return M.k_means(vectors(s, d), [f"e{i}" for i in range(6)], 4, ["vec_id"])["fit"]
+    return M.k_means(vectors(s, d), DIMENSIONS[:6], 4, ["vec_id"])["fit"]
 
 
 @query("k_means_total_ss", f"""
@@ -94,19 +107,18 @@ def _(s, d):
 
 @query("silhouette")
 def _(s, d):
-    cols = [f"e{i}" for i in range(6)]
-    z = M.k_means(vectors(s, d), cols, 4, ["vec_id"])["standardized"]
+    z = M.k_means(vectors(s, d), DIMENSIONS[:6], 4, ["vec_id"])["standardized"]
     return M.silhouette(z, [f"_z{i}" for i in range(6)])
 
 
 @query("silhouette_of_labels", f"""
-WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE a, embedding[2]::DOUBLE b FROM embeddings),
-p AS (SELECT x.vec_id, x.label, y.label l2, sum(pow(x.a - y.a, 2) + pow(x.b - y.b, 2)) sd, count(*) k FROM v x, v y GROUP BY ALL),
+WITH v AS (SELECT vec_id, label, embedding[1:6]::DOUBLE[] e FROM embeddings),
+p AS (SELECT x.vec_id, x.label, y.label l2, sum(pow(list_distance(x.e, y.e), 2)) sd, count(*) k FROM v x, v y GROUP BY ALL),
 q AS (SELECT vec_id, label, max(CASE WHEN label = l2 THEN sd / (k - 1) END) a, min(CASE WHEN label <> l2 THEN sd / k END) b FROM p GROUP BY 1, 2),
 s AS (SELECT label, (b - a) / greatest(a, b) s FROM q)
 SELECT label::VARCHAR AS cluster, count(*) AS n, {r("avg(s)")} AS silhouette FROM s GROUP BY label UNION ALL SELECT 'all', count(*), {r("avg(s)")} FROM s""")
 def _(s, d):
-    return M.silhouette(vectors(s, d, 2), ["e0", "e1"], "label")
+    return M.silhouette(vectors(s, d), DIMENSIONS[:6], "label")
 
 
 @query("mahalanobis", f"""
@@ -158,7 +170,7 @@ def _(s, d):
 
 @query("discriminant_accuracy")
 def _(s, d):
-    return M.lda(vectors(s, d, 6), "label", [f"e{i}" for i in range(6)])["accuracy"]
+    return M.lda(vectors(s, d), "label", DIMENSIONS[:6])["accuracy"]
 
 
 # ------------------------------------------------------------- time series

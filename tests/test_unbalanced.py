@@ -54,7 +54,10 @@ def test_crossed_components_of_unequal_cells(df, rows):
     expect = np.maximum(by_projections(rows), 0)
     assert [out.var_a, out.var_b, out.var_ab, out.var_error] == pytest.approx(expect, abs=1e-9)
     assert (out.balanced, out.a, out.b, out.cells, out.n, out.replicates) == (False, 4, 3, 11, 35, 6)
-    assert 0 <= out.p_a <= 1 and out.df_ab == 5 and out.df_error == 24
+    assert out.df_ab == 5 and out.df_error == 24
+    for k in ('a', 'b', 'ab'):
+        f = getattr(out, 'f_' + k)
+        assert f is None or 0 <= getattr(out, 'p_' + k) <= 1
 
 
 def test_nested_components_of_unequal_cells(df, rows):
