@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Callable, Sequence
+from statistics import NormalDist
 
 import numpy as np
 from pyspark import cloudpickle
@@ -478,6 +479,28 @@ def johnson_transform(df: DataFrame, value: str, fitted: DataFrame, by: Sequence
     return rows.withColumn(name, (raw - F.col("mu")) / F.col("sigma")).drop("family", "a", "b", "mu", "sigma")
 
 
+def johnson_inverse(df: DataFrame, z: str, fitted: DataFrame, by: Sequence[str] = (), name: str = "x") -> DataFrame:
+    """Standard normal scores back in the units of the data.
+
+    SL gives values above its threshold `a`, SB values between `a` and `a + b`, SU any value.  Scores that are NULL
+    or not finite give NULL, also where the result would be beyond the largest double.
+    """
+    rows = attach(df, fitted.select(*by, "family", "a", "b", "mu", "sigma"), by)
+    raw = F.col("mu") + F.col("sigma") * finite(z)
+    a, b = F.col("a"), F.col("b")
+    # the logistic map from the side that cannot overflow
+    share = F.when(raw >= 0, 1 / (1 + F.exp(-raw))).otherwise(F.exp(raw) / (1 + F.exp(raw)))
+    x = F.when(F.col("family") == "SL", a + F.exp(raw)).when(F.col("family") == "SU", a + b * F.sinh(raw)).when(F.col("family") == "SB", a + b * share)
+    return rows.withColumn(name, finite(x)).drop("family", "a", "b", "mu", "sigma")
+
+
+def johnson_percentiles(fitted: DataFrame, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, probability, value): percentiles of the fitted Johnson distribution in the units of the data."""
+    points = F.array(*[F.struct(F.lit(float(p)).alias("probability"), F.lit(NormalDist().inv_cdf(p)).alias("_z")) for p in probabilities])
+    rows = fitted.select(*by, F.explode(points).alias("_p")).select(*by, "_p.probability", "_p._z")
+    return johnson_inverse(rows, "_z", fitted, by, "value").drop("_z")
+
+
 def _johnson_score(ordered: DataFrame, cells: DataFrame, value: str, by: Sequence[str],
                    extra: Sequence[str] = ()) -> DataFrame:
     """AD statistic of every candidate: bounded candidate lists ride on the (value, freq) rows."""

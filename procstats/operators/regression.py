@@ -362,11 +362,34 @@ class LogisticModel:
                            "aic": F.col("deviance") + 2 * F.col("p"), "bic": F.col("deviance") + F.col("p") * F.ln("n")})
         return t.withColumn("p_value", dist.apply(dist.chi2_sf, F.col("g"), F.col("df")))
 
-    def scores(self) -> DataFrame:
-        """Predicted probability next to the 0/1 outcome, in the JVM."""
+    def _probability(self) -> Column:
         beta = [float(self.fit.intercept), *map(float, self.fit.coefficients)]
         eta = sum((F.col(c) * b for c, b in zip(self.design.columns, beta[1:])), F.lit(beta[0]))
-        return self.rows.select(F.col("_y").alias("outcome"), (1 / (1 + F.exp(-eta))).alias("probability"))
+        return 1 / (1 + F.exp(-eta))
+
+    def scores(self) -> DataFrame:
+        """Predicted probability next to the 0/1 outcome (the observed share, with `trials`), in the JVM."""
+        more = [F.col(self.trials).alias("trials")] if self.trials else []
+        return self.rows.select(F.col("_y").alias("outcome"), self._probability().alias("probability"), *more)
+
+    def predict(self, new: DataFrame, keep: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+        """(keep, probability, predicted) for new rows; predicted is 1 from `threshold` on.
+
+        Rows with a missing covariate have no row in the result.  A level that the fit has not met is coded 0 in
+        all columns of its factor, the middle of the known levels.
+        """
+        rows = gram.design_rows(new, self.design, None, (), keep).withColumn("probability", self._probability())
+        return rows.select(*keep, "probability", (F.col("probability") >= threshold).cast("int").alias("predicted"))
+
+    def expected(self) -> DataFrame:
+        """(position, term, observed, expected): sums of each design column over events seen and predicted, equal at the maximum of the likelihood."""
+        weight = F.col(self.trials).cast("double") if self.trials else F.lit(1.0)
+        columns = [F.lit(1.0), *[F.col(c) for c in self.design.columns]]
+        rows = self.rows.withColumn("_p", self._probability())
+        sums = rows.agg(*[F.sum(x * weight * F.col(v)).alias(f"{v}{i}") for i, x in enumerate(columns) for v in ("_y", "_p")])
+        lines = [F.struct(F.lit(i).alias("position"), F.lit(name).alias("term"), F.col(f"_y{i}").alias("observed"), F.col(f"_p{i}").alias("expected"))
+                 for i, name in enumerate(["(intercept)", *self.design.names])]
+        return sums.select(F.explode(F.array(*lines)).alias("_l")).select("_l.*")
 
     def concordance(self) -> DataFrame:
         return concordance(self.scores(), "probability", F.col("outcome") == 1)

@@ -265,3 +265,17 @@ def _(s, d):
     return N.johnson(events(s, d), "value", ["event_type"])
 
 
+@query("johnson_round_trip", f"""SELECT event_id, event_type, {r("value")} AS back FROM events""")
+def _(s, d):
+    e = events(s, d).select("event_id", "event_type", "value")
+    fitted = N.persist(N.johnson(e, "value", ["event_type"]))
+    z = N.johnson_transform(e, "value", fitted, ["event_type"])
+    return N.johnson_inverse(z, "z", fitted, ["event_type"], "back").select("event_id", "event_type", "back")
+
+
+@query("johnson_percentiles")
+def _(s, d):
+    fitted = N.persist(N.johnson(events(s, d), "value", ["event_type"]))
+    return N.johnson_percentiles(fitted, [0.00135, 0.5, 0.99865], ["event_type"])
+
+

@@ -356,6 +356,37 @@ def _(s, d):
     return logistic(s, d).coefficients()
 
 
+MET = """SELECT 0 AS position, '(intercept)' AS term, sum({y})::DOUBLE AS s FROM {t} UNION ALL SELECT 1, 'l_quantity', sum({y} * l_quantity) FROM {t}
+UNION ALL SELECT 2, 'l_discount', sum({y} * l_discount) FROM {t} UNION ALL SELECT 3, 'l_linestatus[F]', sum({y} * CASE WHEN l_linestatus = 'F' THEN 1 ELSE -1 END) FROM {t}"""
+
+
+#: The fit is the one of the largest likelihood exactly if the predicted sums are the observed ones.
+@query("logistic_expected", f"""SELECT position, term, {r("s", 3)} AS observed, {r("s", 3)} AS expected FROM ({MET.format(y="(l_returnflag = 'R')::INT", t="lineitem")})""", observed=3, expected=3)
+def _(s, d):
+    return logistic(s, d).expected()
+
+
+def logistic_by_cell(s, d):
+    cells = items(s, d).groupBy("l_quantity", "l_discount", "l_linestatus").agg(F.count_if(F.col("l_returnflag") == "R").alias("events"), F.count(F.lit(1)).alias("cases"))
+    return G.LogisticModel(cells, F.col("events"), ["l_quantity", "l_discount", "l_linestatus"], ["l_linestatus"], trials="cases")
+
+
+@query("logistic_trials_expected", f"""SELECT position, term, {r("s", 3)} AS observed, {r("s", 3)} AS expected FROM ({MET.format(y="(l_returnflag = 'R')::INT", t="lineitem")})""", observed=3, expected=3)
+def _(s, d):
+    return logistic_by_cell(s, d).expected()
+
+
+@query("logistic_trials_coefficients")
+def _(s, d):
+    return logistic_by_cell(s, d).coefficients()
+
+
+@query("logistic_predict")
+def _(s, d):
+    new = items(s, d).withColumn("l_quantity", F.col("l_quantity") + 1)
+    return logistic(s, d).predict(new, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+
+
 @query("logistic_summary")
 def _(s, d):
     return logistic(s, d).summary()
