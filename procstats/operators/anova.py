@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,6 +158,132 @@ def blocked_anova(df: DataFrame, y: str, treatment: str, block: str, by: Sequenc
     return linear_model(df, y, [block, treatment], [block, treatment], by)
 
 
+def absorbed_sums(df: DataFrame, y: str, treatment: str, block: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per group: sums of squares and the treatments' equations that are left when the blocks are eliminated.
+
+    A block keeps only its cells (counts and means of its treatments), so blocks may have any number of levels.
+    `equations` has (i, j, v): for j >= 0 the upper triangle of diag(n_t) - sum of n_bt n_bu / n_b, for j = -1 the
+    right-hand sides sum of n_bt (m_bt - m_b); i and j number the levels of `treatment`, at most `gram.MAX_LEVELS`.
+    """
+    by = list(by)
+    number = {name: k for k, name in enumerate(gram.find_levels(df.where(finite(y).isNotNull()), treatment))}
+    x = finite(y)
+    rows = df.select(*by, level(treatment).alias("_t"), level(block).alias("_b"), x.alias("_y")).where("_y is not null")
+    cells = persist(rows.groupBy(*by, "_b", "_t").agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_y").alias("_m"),
+                                                      (F.var_pop("_y") * F.count(F.lit(1))).alias("_ss")))
+    n, m = F.col("_n"), F.col("_m")
+    mean = F.sum(n * m) / F.sum(n)
+    tot = persist(cells.groupBy(*by).agg(F.sum(n).alias("n"), mean.alias("grand"), F.sum("_ss").alias("ss_cell")))
+    near = attach(cells, tot.select(*by, "grand"), by, ready=True)
+    apart = F.sum(n * (m - F.col("grand")) ** 2)
+    treated = near.groupBy(*by, "_t").agg(F.sum(n).alias("_w"), mean.alias("_mean"), F.first("grand").alias("_g")).groupBy(*by).agg(
+        F.sum(F.col("_w") * (F.col("_mean") - F.col("_g")) ** 2).alias("ss_treatment"), F.count(F.lit(1)).alias("treatments"),
+        F.collect_list(F.struct(F.col("_t").alias("name"), F.col("_w").alias("n"), F.col("_mean").alias("mean"))).alias("levels"))
+    blocks = cells.groupBy(*by, "_b").agg(F.sum(n).alias("_w"), mean.alias("_mean"), F.collect_list("_t").alias("_ts"),
+                                          F.collect_list(n).alias("_ns"), F.collect_list(m).alias("_ms"))
+    within = F.aggregate(F.arrays_zip("_ns", "_ms"), F.lit(0.0), lambda s, c: s + c["_ns"] * (c["_ms"] - F.col("_mean")) ** 2)
+    blocked = blocks.groupBy(*by).agg(F.count(F.lit(1)).alias("blocks"), F.sum(within).alias("ss_within"))
+    k = len(number)
+
+    def reduce(batches):
+        held: dict = {}
+        for pdf in batches:
+            keys = pdf[by].itertuples(index=False, name=None) if by else ((),) * len(pdf)
+            for key, w, centre, ts, ns, ms in zip(keys, pdf["_w"], pdf["_mean"], pdf["_ts"], pdf["_ns"], pdf["_ms"]):
+                key = tuple(None if isinstance(v, float) and np.isnan(v) else v for v in key)
+                if key not in held:
+                    if (len(held) + 1) * k * (k + 1) > gram.HELD:
+                        yield from passed(held)
+                        held = {}
+                    held[key] = np.zeros((k, k + 1))
+                at = np.array([number[t] for t in ts])
+                sums = held[key]
+                sums[at, at] += ns
+                sums[np.ix_(at, at)] -= np.outer(ns, ns) / w
+                sums[at, k] += ns * (ms - centre)
+        yield from passed(held)
+
+    def passed(held):
+        for key, sums in held.items():
+            i, j = np.nonzero(sums)
+            use = j >= i
+            i, j = i[use], j[use]
+            yield pd.DataFrame({**dict(zip(by, ([v] * len(i) for v in key))), "_i": i, "_j": np.where(j == k, -1, j), "_v": sums[i, j]})
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["_i int", "_j int", "_v double"])
+    parts = blocks.mapInPandas(reduce, schema).groupBy(*by, "_i", "_j").agg(F.sum("_v").alias("_v"))
+    parts = parts.groupBy(*by).agg(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_j").alias("j"), F.col("_v").alias("v"))).alias("equations"))
+    s = _merge(_merge(tot, near.groupBy(*by).agg(apart.alias("ss_cells")), by), treated, by)
+    names = F.array(*[F.lit(name) for name in number])
+    return _merge(_merge(s, blocked, by), parts, by).withColumn("names", names)
+
+
+def solve_absorbed(r: dict) -> dict:
+    """Adjusted sums of squares of one row of `absorbed_sums`, and the effects of the treatments.
+
+    Effects have the weighted mean 0.  Treatments and blocks that are not all connected leave some
+    contrasts without an estimate: the degrees of freedom fall and the effects are None.
+    """
+    k = len(r["names"])
+    c, q = np.zeros((k, k)), np.zeros(k)
+    for e in r["equations"]:
+        i, j, v = e["i"], e["j"], e["v"]
+        if j < 0:
+            q[i] = v
+        else:
+            c[i, j] = c[j, i] = v
+    counts = {e["name"]: e["n"] for e in r["levels"]}
+    size = np.array([counts.get(name, 0.0) for name in r["names"]])
+    scale = np.sqrt(np.where(size > 0, size, 1.0))
+    values, vectors = np.linalg.eigh(c / np.outer(scale, scale))
+    use = values > gram.ALIAS_TOLERANCE
+    rank = int(use.sum())
+    turned = vectors[:, use].T @ (q / scale)
+    adjusted = float((turned ** 2 / values[use]).sum())
+    effects = (vectors[:, use] @ (turned / values[use])) / scale
+    effects -= (effects * size).sum() / size.sum()
+    connected = rank == int((size > 0).sum()) - 1
+    ss_block = max(r["ss_cells"] - r["ss_within"], 0.0)
+    return {"rank": rank, "ss_block": ss_block, "ss_treatment_adj": adjusted, "ss_block_adj": max(ss_block + adjusted - r["ss_treatment"], 0.0),
+            "sse": max(r["ss_cell"] + r["ss_within"] - adjusted, 0.0), "dfe": float(r["n"] - r["blocks"] - rank),
+            "df_block": float(r["blocks"] - 1), "df_block_adj": float(r["blocks"] - 1 + rank - (r["treatments"] - 1)),
+            "effects": [{"level": name, "n": int(counts[name]), "mean": next(e["mean"] for e in r["levels"] if e["name"] == name),
+                         "adjusted": float(r["grand"] + effects[i]) if connected else None} for i, name in enumerate(r["names"]) if name in counts]}
+
+
+_ABSORBED = ("rank int, ss_block double, ss_treatment_adj double, ss_block_adj double, sse double, dfe double, df_block double, df_block_adj double, "
+             "effects array<struct<level: string, n: bigint, mean: double, adjusted: double>>")
+
+
+def absorbed_anova(df: DataFrame, y: str, treatment: str, block: str, by: Sequence[str] = ()) -> DataFrame:
+    """Blocks and treatments (main effects) for any number of blocks, in the form of `Model.anova`.
+
+    The blocks come first in the sequential sums.  Rows without a finite `y` are left out, NULL levels are
+    one level, repeated rows count as often as they come, an empty table gives no rows.  `df` of the block's adjusted
+    line counts what the treatments leave of it, so it is smaller where they are not connected.
+    """
+    s = gram.per_group(absorbed_sums(df, y, treatment, block, by).withColumn("ss_t", F.col("ss_treatment")),
+                       lambda r: solve_absorbed(r) | {"ss_t": r["ss_t"]}, by, _ABSORBED + ", ss_t double")
+    mse = ratio(F.col("sse"), F.col("dfe"))
+    line = lambda at, term, d, seq, adj: F.struct(F.lit(at).alias("position"), F.lit(term).alias("term"), d.alias("df"),
+                                                  F.col(seq).alias("ss_seq"), F.col(adj).alias("ss_adj"))
+    lines = F.array(line(0, block, F.col("df_block"), "ss_block", "ss_block_adj"),
+                    line(1, treatment, F.col("rank").cast("double"), "ss_treatment_adj", "ss_treatment_adj"))
+    t = s.select(*by, "dfe", mse.alias("_mse"), "df_block_adj", F.explode(lines).alias("_l"))
+    t = t.select(*by, "_l.position", "_l.term", "_l.df", "_l.ss_seq", "_l.ss_adj", "dfe", "_mse",
+                 F.when(F.col("_l.position") == 0, F.col("df_block_adj")).otherwise(F.col("_l.df")).alias("df_adj"))
+    t = t.withColumns({"f_seq": ratio(F.col("ss_seq"), F.col("df") * F.col("_mse")), "f_adj": ratio(F.col("ss_adj"), F.col("df_adj") * F.col("_mse"))})
+    return t.withColumns({"p_seq": dist.apply(dist.f_sf, F.col("f_seq"), F.col("df"), F.col("dfe")),
+                          "p_adj": dist.apply(dist.f_sf, F.col("f_adj"), F.col("df_adj"), F.col("dfe"))}).drop("_mse")
+
+
+def absorbed_means(df: DataFrame, y: str, treatment: str, block: str, by: Sequence[str] = ()) -> DataFrame:
+    """Means of the treatments, as they are and adjusted for any number of blocks (NULL where not connected)."""
+    s = gram.per_group(absorbed_sums(df, y, treatment, block, by), solve_absorbed, by, _ABSORBED)
+    return s.select(*by, F.explode("effects").alias("_e")).select(*by, "_e.level", "_e.n", "_e.mean", "_e.adjusted")
+
+
 def latin_square_anova(df: DataFrame, y: str, treatment: str, row: str, column: str, by: Sequence[str] = ()) -> Model:
     return linear_model(df, y, [row, column, treatment], [row, column, treatment], by)
 

@@ -245,6 +245,36 @@ def _(s, d):
     return V.blocked_anova(items(s, d), "l_extendedprice", "l_returnflag", "l_linestatus").anova().select("term", "f_seq")
 
 
+#: Parts as blocks, return flags as treatments: the blocks are eliminated from the equations of A and N (R is the rest).
+ABSORBED = """k AS (SELECT l_partkey b, l_returnflag t, l_extendedprice y FROM lineitem),
+p AS (SELECT b, count(*)::DOUBLE w, avg(y) mb, count(*) FILTER (t = 'A')::DOUBLE na, count(*) FILTER (t = 'N')::DOUBLE nn FROM k GROUP BY b),
+d AS (SELECT k.*, p.mb, y - p.mb AS u FROM k JOIN p USING (b)),
+z AS (SELECT avg(y) g, count(*)::DOUBLE n, sum(u * u) s, sum(u) FILTER (t = 'A') qa, sum(u) FILTER (t = 'N') qn,
+  count(*) FILTER (t = 'A')::DOUBLE ta, count(*) FILTER (t = 'N')::DOUBLE tn, count(*) FILTER (t = 'R')::DOUBLE tr FROM d),
+h AS (SELECT count(*)::DOUBLE nb, any_value(ta) - sum(na * na / w) caa, -sum(na * nn / w) can, any_value(tn) - sum(nn * nn / w) cnn,
+  sum(w * pow(mb - g, 2)) ss_b, any_value(qa) qa, any_value(qn) qn, any_value(n) n, any_value(s) s, any_value(g) g,
+  any_value(ta) ta, any_value(tn) tn, any_value(tr) tr FROM p, z),
+f AS (SELECT *, (qa * cnn - qn * can) / (caa * cnn - can * can) ea, (qn * caa - qa * can) / (caa * cnn - can * can) en FROM h),
+e AS (SELECT *, ea * qa + en * qn AS ss_t, s - ea * qa - en * qn AS sse, n - nb - 2 AS dfe, (ea * ta + en * tn) / n AS shift FROM f),
+m AS (SELECT t, count(*) n, avg(y) m, any_value(g) g, count(*) * pow(avg(y) - any_value(g), 2) s FROM k, (SELECT g FROM z) GROUP BY t)"""
+
+
+@query("absorbed_anova", f"""
+WITH {ABSORBED}, o AS (SELECT sum(s) raw FROM m)
+SELECT unnest(['l_partkey', 'l_returnflag']) AS term, unnest([nb - 1, 2.0]) AS df, dfe,
+ unnest([{r("ss_b / (nb - 1) / (sse / dfe)", 6)}, {r("ss_t / 2 / (sse / dfe)", 6)}]) AS f_seq,
+ unnest([{r("(ss_b + ss_t - raw) / (nb - 1) / (sse / dfe)", 6)}, {r("ss_t / 2 / (sse / dfe)", 6)}]) AS f_adj FROM e, o""", digits=6)
+def _(s, d):
+    return V.absorbed_anova(items(s, d), "l_extendedprice", "l_returnflag", "l_partkey").select("term", "df", "dfe", "f_seq", "f_adj")
+
+
+@query("absorbed_means", f"""
+WITH {ABSORBED}
+SELECT m.t AS level, m.n::BIGINT AS n, {r("m.m", 4)} AS mean, {r("m.g - shift + CASE m.t WHEN 'A' THEN ea WHEN 'N' THEN en ELSE 0.0 END", 4)} AS adjusted FROM m, e""", digits=4)
+def _(s, d):
+    return V.absorbed_means(items(s, d), "l_extendedprice", "l_returnflag", "l_partkey")
+
+
 @query("latin_square_anova")
 def _(s, d):
     df = items(s, d).withColumns({"r": F.col("l_linenumber").cast("string"), "c": (F.col("l_suppkey") % 4).cast("string")})
