@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.normal import norm_cdf, norm_sf, with_norm_ppf
 from ..functions.numeric import finite, ratio
+from ..plans.gram import HELD
 from ..plans.joining import attach
 from ..plans.ordering import quantiles, value_order
 from ..plans.session import persist
@@ -378,53 +380,121 @@ def yeo_johnson(x: Column, lam: float | Column) -> Column:
     return F.when(x >= 0, up).when(x < 0, dn)
 
 
-def _best_lambda(rows: DataFrame, by: Sequence[str], curve: Callable[[Column, Column], Column],
-                 jacobian: Column, low: float, high: float, steps: Sequence[float]) -> DataFrame:
-    """Maximise a profile likelihood over a grid that is refined around the best point.
+def _power_curve(t: np.ndarray, side: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """(exp(k t) - 1) / k, or t for k = 0, where k is lambda; on the lower side its negative with k = 2 - lambda."""
+    k = np.where(side < 0, 2 - lam, lam)
+    flat = np.abs(k) < 1e-9
+    y = np.where(flat, t, np.expm1(k * t) / np.where(flat, 1.0, k))
+    return np.where(side < 0, -y, y)
 
-    rows: by..., x, freq, x0 (reference point that keeps the variance sums
-    stable) and _jac (mean log-Jacobian per unit of lambda).
+
+def _likelihoods(rows: DataFrame, by: Sequence[str], offsets: Sequence[float], low: float, high: float) -> DataFrame:
+    """(by, lambda, _score) for every lambda `_c` + offset of a group, from one pass over the rows.
+
+    rows: by..., _c, _jac (mean log-Jacobian per unit of lambda), _t and _side of `_power_curve`, and _t0 and _side0 of a
+    reference point that keeps the sums stable.  A task sums all exponents of an Arrow block side by side; neither are
+    rows copied nor do they leave their task.
     """
-    best, x, f = None, F.col("x"), F.col("freq").cast("double")
-    for i, step in enumerate(steps):
-        if best is None:
-            work = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(int(round((high - low) / step))))))
-            work = work.withColumn("lambda", F.round(low + F.col("_j") * step, 6))
-        else:
-            half = int(round(steps[i - 1] / step))
-            work = attach(rows, best, by)
-            work = work.withColumn("_j", F.explode(F.sequence(F.lit(-half), F.lit(half))))
-            work = work.withColumn("lambda", F.round(F.col("lambda") + F.col("_j") * step, 6))
-            work = work.where((F.col("lambda") >= low) & (F.col("lambda") <= high))
-        y = curve(x, F.col("lambda")) - curve(F.col("x0"), F.col("lambda"))
-        g = work.withColumn("_y", y).groupBy(*by, "lambda").agg(
-            F.sum(f).alias("_n"), F.sum(f * F.col("_y")).alias("_s1"), F.sum(f * F.col("_y") ** 2).alias("_s2"),
-            F.first(jacobian).alias("_jac"))
-        var = F.col("_s2") / F.col("_n") - (F.col("_s1") / F.col("_n")) ** 2
-        score = F.when(var > 0, -0.5 * F.ln(var) + (F.col("lambda") - 1) * F.col("_jac"))
-        g = g.withColumn("_score", score).where("_score is not null")
-        best = persist(g.groupBy(*by).agg(F.max_by("lambda", F.struct("_score", -F.col("lambda"))).alias("lambda")))
-    return best
+    by, offsets = list(by), np.asarray(offsets, float)
+    width, piece = len(offsets), max(1, 1_000_000 // len(offsets))
+
+    def sums(batches):
+        held: dict = {}
+        for pdf in (whole.iloc[at:at + piece] for whole in batches for at in range(0, len(whole), piece)):
+            codes, first = (np.zeros(len(pdf), int), [0]) if not by else _group_codes(pdf[by])
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+            part = pdf.iloc[order]
+            col = {c: part[c].to_numpy(float)[:, None] for c in ("_c", "_t", "_side", "_t0", "_side0")}
+            lam = np.round(col["_c"] + offsets, 6)
+            with np.errstate(all="ignore"):
+                y = _power_curve(col["_t"], col["_side"], lam) - _power_curve(col["_t0"], col["_side0"], lam)
+                got = np.hstack([np.add.reduceat(y, starts, axis=0), np.add.reduceat(y * y, starts, axis=0)])
+            n = np.diff(np.r_[starts, len(part)])
+            for k, at in enumerate(first):
+                row = pdf.iloc[at]
+                key = (*[None if pd.isna(row[c]) else row[c] for c in by], float(row["_c"]), float(row["_jac"]))
+                if key in held:
+                    held[key][0] += n[k]
+                    held[key][1] += got[k]
+                    continue
+                if (len(held) + 1) * 2 * width > HELD:
+                    yield passed(held)
+                    held = {}
+                held[key] = [n[k], got[k]]
+        if held:
+            yield passed(held)
+
+    def passed(held):
+        out = pd.DataFrame(list(held), columns=[*by, "_c", "_jac"])
+        out["_n"] = [int(n) for n, _ in held.values()]
+        out["_sums"] = [v.tolist() for _, v in held.values()]
+        return out
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["_c double", "_jac double", "_n bigint", "_sums array<double>"])
+    each = rows.select(*by, "_c", "_jac", "_t", "_side", "_t0", "_side0").mapInPandas(sums, schema)
+    each = each.select(*by, "_c", "_jac", "_n", "_sums", F.posexplode(F.array(*[F.lit(float(v)) for v in offsets])).alias("_j", "_o"))
+    each = each.select(*by, F.round(F.col("_c") + F.col("_o"), 6).alias("lambda"), "_jac", "_n", F.get("_sums", F.col("_j")).alias("_s1"),
+                       F.get("_sums", F.col("_j") + width).alias("_s2")).where((F.col("lambda") >= low) & (F.col("lambda") <= high))
+    g = each.groupBy(*by, "lambda", "_jac").agg(*[F.sum(c).alias(c) for c in ("_n", "_s1", "_s2")])
+    var = F.col("_s2") / F.col("_n") - (F.col("_s1") / F.col("_n")) ** 2
+    score = F.when((var > 0) & ~F.isnan(var), -0.5 * F.ln(var) + (F.col("lambda") - 1) * F.col("_jac"))
+    return g.select(*by, "lambda", score.alias("_score")).where("_score is not null")
+
+
+def _group_codes(keys: pd.DataFrame) -> tuple[np.ndarray, list[int]]:
+    """Group numbers in the order in which the groups first come, and where that is."""
+    codes = keys.groupby(list(keys.columns), dropna=False, sort=False).ngroup().to_numpy()
+    return codes, np.unique(codes, return_index=True)[1].tolist()
+
+
+def _best_lambda(rows: DataFrame, by: Sequence[str], low: float, high: float, coarse: float, fine: float, last: float | None = None) -> DataFrame:
+    """Maximise a profile likelihood, one pass over the rows a step.
+
+    The coarse grid finds the hill and the fine grid its top.  With `last` the vertex of the parabola through the top
+    and its neighbours is where the neighbouring multiples of `last` are compared.
+    """
+    highest = F.max_by("lambda", F.struct("_score", -F.col("lambda")))
+    middle = (low + high) / 2
+    grid = [low - middle + k * coarse for k in range(int(round((high - low) / coarse)) + 1)]
+    best = persist(_likelihoods(rows.withColumn("_c", F.lit(middle)), by, grid, low, high).groupBy(*by).agg(highest.alias("_c")))
+    half = int(round(coarse / fine))
+    scores = persist(_likelihoods(attach(rows, best, by), by, [k * fine for k in range(-half, half + 1)], low, high))
+    best = persist(scores.groupBy(*by).agg(highest.alias("_c"), F.max("_score").alias("_top")))
+    if last is not None:
+        at = lambda k: F.max(F.when(F.round((F.col("lambda") - F.col("_c")) / fine) == k, F.col("_score")))
+        sides = attach(scores, best, by).groupBy(*by).agg(F.first("_c").alias("_c"), at(-1).alias("_l"), F.first("_top").alias("_m"), at(1).alias("_r"))
+        bend = F.col("_l") - 2 * F.col("_m") + F.col("_r")
+        move = F.coalesce(F.when(bend < 0, 0.5 * fine * (F.col("_l") - F.col("_r")) / bend), F.lit(0.0))
+        vertex = persist(sides.select(*by, (F.round((F.col("_c") + move) / last) * last).alias("_c")))
+        near = int(round(fine / last / 10))
+        best = _likelihoods(attach(rows, vertex, by), by, [k * last for k in range(-near, near + 1)], low, high).groupBy(*by).agg(highest.alias("_c"))
+        best = persist(best)
+    return best.select(*by, F.col("_c").alias("lambda"))
 
 
 def box_cox_lambda(df: DataFrame, value: str, by: Sequence[str] = (), low: float = -5, high: float = 5) -> DataFrame:
-    """Maximum-likelihood Box-Cox exponent (to 4 digits) of the positive values."""
+    """Maximum-likelihood Box-Cox exponent (to 4 digits) of the positive values; reads `df` four times."""
     x = finite(value)
     gm = df.where(x > 0).groupBy(*by).agg(F.avg(F.ln(x)).alias("_lm"), F.count(x).alias("_k")).where("_k >= 3")
-    freq = df.where(x > 0).groupBy(*by, x.alias("_v")).agg(F.count(F.lit(1)).alias("freq"))
-    rows = attach(freq, gm.drop("_k"), by)
+    rows = attach(df.where(x > 0).select(*by, F.ln(x).alias("_v")), gm.drop("_k"), by)
     # dividing by the geometric mean removes the Jacobian term
-    rows = persist(rows.select(*by, F.exp(F.ln("_v") - F.col("_lm")).alias("x"), "freq", F.lit(1.0).alias("x0")))
-    return _best_lambda(rows, by, box_cox, F.lit(0.0), low, high, [0.1, 0.01, 0.001, 0.0001])
+    rows = rows.select(*by, (F.col("_v") - F.col("_lm")).alias("_t"), F.lit(1.0).alias("_side"), F.lit(0.0).alias("_t0"),
+                       F.lit(1.0).alias("_side0"), F.lit(0.0).alias("_jac"))
+    return _best_lambda(rows, by, low, high, 0.1, 0.01, 0.0001)
 
 
 def yeo_johnson_lambda(df: DataFrame, value: str, by: Sequence[str] = (), low: float = -5, high: float = 5) -> DataFrame:
-    """Maximum-likelihood Yeo-Johnson exponent on a grid of 0.02."""
+    """Maximum-likelihood Yeo-Johnson exponent on a grid of 0.02; reads `df` three times."""
     x = finite(value)
-    stats = df.groupBy(*by).agg(F.avg(F.signum(x) * F.log1p(F.abs(x))).alias("_jac"), F.avg(x).alias("x0"))
-    freq = df.where(x.isNotNull()).groupBy(*by, x.alias("x")).agg(F.count(F.lit(1)).alias("freq"))
-    rows = persist(attach(freq, stats, by))
-    return _best_lambda(rows, by, yeo_johnson, F.col("_jac"), low, high, [0.2, 0.02])
+    fold = lambda v: F.log1p(F.abs(v))
+    side = lambda v: F.when(v < 0, -1.0).otherwise(1.0)
+    stats = df.groupBy(*by).agg(F.avg(F.signum(x) * F.log1p(F.abs(x))).alias("_jac"), F.avg(x).alias("_x0")).where("_x0 is not null")
+    rows = attach(df.where(x.isNotNull()).select(*by, x.alias("_x")), stats, by)
+    rows = rows.select(*by, "_jac", fold(F.col("_x")).alias("_t"), side(F.col("_x")).alias("_side"),
+                       fold(F.col("_x0")).alias("_t0"), side(F.col("_x0")).alias("_side0"))
+    return _best_lambda(rows, by, low, high, 0.2, 0.02)
 
 
 def johnson(df: DataFrame, value: str, by: Sequence[str] = (), grid: int = 9, rounds: int = 5) -> DataFrame:
