@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.numeric import finite, level, ratio
 from ..plans import gram
+from ..plans.gram import ALIAS_TOLERANCE
 from ..plans.joining import attach
 from ..plans.session import persist
 from . import hypothesis as H
@@ -183,7 +184,7 @@ def absorbed_sums(df: DataFrame, y: str, treatment: str, block: str, by: Sequenc
                                           F.collect_list(n).alias("_ns"), F.collect_list(m).alias("_ms"))
     within = F.aggregate(F.arrays_zip("_ns", "_ms"), F.lit(0.0), lambda s, c: s + c["_ns"] * (c["_ms"] - F.col("_mean")) ** 2)
     blocked = blocks.groupBy(*by).agg(F.count(F.lit(1)).alias("blocks"), F.sum(within).alias("ss_within"))
-    k = len(number)
+    k, most = len(number), gram.HELD
 
     def reduce(batches):
         held: dict = {}
@@ -192,7 +193,7 @@ def absorbed_sums(df: DataFrame, y: str, treatment: str, block: str, by: Sequenc
             for key, w, centre, ts, ns, ms in zip(keys, pdf["_w"], pdf["_mean"], pdf["_ts"], pdf["_ns"], pdf["_ms"]):
                 key = tuple(None if isinstance(v, float) and np.isnan(v) else v for v in key)
                 if key not in held:
-                    if (len(held) + 1) * k * (k + 1) > gram.HELD:
+                    if (len(held) + 1) * k * (k + 1) > most:
                         yield from passed(held)
                         held = {}
                     held[key] = np.zeros((k, k + 1))
@@ -237,7 +238,7 @@ def solve_absorbed(r: dict) -> dict:
     size = np.array([counts.get(name, 0.0) for name in r["names"]])
     scale = np.sqrt(np.where(size > 0, size, 1.0))
     values, vectors = np.linalg.eigh(c / np.outer(scale, scale))
-    use = values > gram.ALIAS_TOLERANCE
+    use = values > ALIAS_TOLERANCE
     rank = int(use.sum())
     turned = vectors[:, use].T @ (q / scale)
     adjusted = float((turned ** 2 / values[use]).sum())

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,11 +149,67 @@ def tolerance_interval(df: DataFrame, value: str, by: Sequence[str] = (), covera
                           "lower_one_sided": m - F.col("k1") * s, "upper_one_sided": m + F.col("k1") * s})
 
 
-WEIGHTED_STATISTICS: dict[str, Callable[[Column, Column], Column]] = {
-    "mean": lambda x, w: ratio(F.sum(x * w), F.sum(w)),
-    "sum": lambda x, w: F.sum(x * w),
-    "sd": lambda x, w: F.sqrt(ratio(F.sum(x * x * w) - F.sum(x * w) * ratio(F.sum(x * w), F.sum(w)), F.sum(w) - 1)),
+#: Statistics of weighted sums: of weights, of weighted deviations from a centre, and of their squares.
+WEIGHTED_STATISTICS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {
+    "mean": lambda c, w, d, q: c + ratio(d, w),
+    "sum": lambda c, w, d, q: c * w + d,
+    "sd": lambda c, w, d, q: F.sqrt(F.greatest(ratio(q - d * ratio(d, w), w - 1), F.lit(0.0))),
 }
+#: Weights that a task draws at a time, and sums that it keeps for the groups it has met.
+DRAWN = 1_000_000
+HELD = 4_000_000
+
+
+def _replicate_sums(df: DataFrame, value: str, by: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """(by, _rep, _c, _w, _d, _q): weighted sums of every replicate; replicate 0 is the data.
+
+    A value that comes `freq` times gets a Poisson(freq) weight in each replicate, which is what `freq` rows with
+    Poisson(1) weights add up to.  The draws of a value depend on the seed, its group and itself only, so neither
+    partitioning nor a lost executor changes them.
+    """
+    by = list(by)
+    x = finite(value)
+    centre = df.groupBy(*by).agg(F.avg(x).alias("_c")).where("_c is not null")
+    freq = df.where(x.isNotNull()).groupBy(*by, x.alias("_x")).agg(F.count(F.lit(1)).alias("_f"))
+    rows = attach(freq, centre, by).withColumn("_id", F.xxhash64(F.lit(seed), *by, F.lit("|"), "_x"))
+    size, piece, most = replicates + 1, max(1, DRAWN // (replicates + 1)), HELD
+
+    def sums(batches):
+        held: dict = {}
+        for pdf in (whole.iloc[at:at + piece] for whole in batches for at in range(0, len(whole), piece)):
+            weights = np.empty((len(pdf), size))
+            weights[:, 0] = pdf["_f"]
+            for k, (key, f) in enumerate(zip(pdf["_id"].tolist(), pdf["_f"].tolist())):
+                weights[k, 1:] = np.random.Generator(np.random.Philox(key=key % (1 << 64))).poisson(f, size - 1)
+            apart = (pdf["_x"] - pdf["_c"]).to_numpy(float)
+            codes = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(pdf), int)
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+            w, d = weights[order], apart[order][:, None]
+            got = np.stack([np.add.reduceat(w, starts, axis=0), np.add.reduceat(w * d, starts, axis=0), np.add.reduceat(w * d * d, starts, axis=0)], axis=1)
+            for k, at in enumerate(order[starts]):
+                row = pdf.iloc[at]
+                key = (*[None if pd.isna(row[c]) else row[c] for c in by], float(row["_c"]))
+                if key in held:
+                    held[key] += got[k]
+                    continue
+                if (len(held) + 1) * 3 * size > most:
+                    yield passed(held)
+                    held = {}
+                held[key] = got[k].copy()
+        if held:
+            yield passed(held)
+
+    def passed(held):
+        out = pd.DataFrame(list(held), columns=[*by, "_c"])
+        for k, name in enumerate(("_w", "_d", "_q")):
+            out[name] = [v[k].tolist() for v in held.values()]
+        return out
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["_c double", "_w array<double>", "_d array<double>", "_q array<double>"])
+    parts = rows.mapInPandas(sums, schema).select(*by, "_c", F.posexplode(F.arrays_zip("_w", "_d", "_q")).alias("_rep", "_s"))
+    return parts.groupBy(*by, "_c", "_rep").agg(*[F.sum(f"_s.{c}").alias(c) for c in ("_w", "_d", "_q")])
 
 
 def bootstrap_interval(df: DataFrame, value: str, key: Sequence[str], by: Sequence[str] = (),
@@ -159,11 +217,25 @@ def bootstrap_interval(df: DataFrame, value: str, key: Sequence[str], by: Sequen
                        conf: float = 0.95, seed: int = 12345) -> DataFrame:
     """Percentile bootstrap interval.
 
-    Every (row, replicate) gets an independent Poisson(1) weight derived from a
-    hash of the row key, so a replicate is a weighted aggregate and never has to
-    be built in one place.  `statistic` may be any aggregate of (value, weight).
+    mean, sum and sd come from weighted sums over the frequencies of the values, so the rows are not copied.
+    `statistic` may also be any aggregate of (value, weight): then every (row, replicate) gets an independent
+    Poisson(1) weight derived from a hash of the row `key`, and a replicate is a weighted aggregate over all rows.
     """
-    fn = WEIGHTED_STATISTICS[statistic] if isinstance(statistic, str) else statistic
+    if isinstance(statistic, str):
+        sums = _replicate_sums(df, value, by, replicates, seed)
+        stats = sums.select(*by, "_rep", WEIGHTED_STATISTICS[statistic](*[F.col(c) for c in ("_c", "_w", "_d", "_q")]).alias("_s"))
+    else:
+        stats = _replicates_of_rows(df, value, key, by, statistic, replicates, seed)
+    rep = F.when(F.col("_rep") > 0, finite("_s"))
+    a = (1 - conf) / 2
+    return stats.groupBy(*by).agg(
+        F.max(F.when(F.col("_rep") == 0, F.col("_s"))).alias("estimate"),
+        F.percentile(rep, F.lit(a)).alias("lower"), F.percentile(rep, F.lit(1 - a)).alias("upper"),
+        F.stddev_samp(rep).alias("se"), F.count(rep).alias("replicates"))
+
+
+def _replicates_of_rows(df: DataFrame, value: str, key: Sequence[str], by: Sequence[str],
+                        statistic: Callable[[Column, Column], Column], replicates: int, seed: int) -> DataFrame:
     rows = df.select(*by, finite(value).alias("_x"), F.xxhash64(F.lit(seed), *key).alias("_id")).where("_x is not null")
     rows = rows.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     u = (F.shiftrightunsigned(F.xxhash64("_id", "_rep"), 11).cast("double") + 0.5) / float(2**53)
@@ -176,13 +248,7 @@ def bootstrap_interval(df: DataFrame, value: str, key: Sequence[str], by: Sequen
     for s in steps[1:]:
         weight = weight + s
     rows = rows.withColumn("_w", F.when(F.col("_rep") == 0, F.lit(1)).otherwise(weight).cast("double"))
-    stats = rows.groupBy(*by, "_rep").agg(fn(F.col("_x"), F.col("_w")).alias("_s"))
-    rep = F.when(F.col("_rep") > 0, finite("_s"))
-    a = (1 - conf) / 2
-    return stats.groupBy(*by).agg(
-        F.max(F.when(F.col("_rep") == 0, F.col("_s"))).alias("estimate"),
-        F.percentile(rep, F.lit(a)).alias("lower"), F.percentile(rep, F.lit(1 - a)).alias("upper"),
-        F.stddev_samp(rep).alias("se"), F.count(rep).alias("replicates"))
+    return rows.groupBy(*by, "_rep").agg(statistic(F.col("_x"), F.col("_w")).alias("_s"))
 
 
 def _bin_rule(n: Column, rule: str) -> Column:
