@@ -289,31 +289,102 @@ def stepwise(df: DataFrame, y: str, candidates: Sequence[str], categorical: Sequ
     return gram.per_group(g, run, by, "step int, action string, variable string, p double, r2_adjusted double")
 
 
+def smallest_errors(corr: np.ndarray, groups: Sequence[Sequence[int]]) -> dict[int, tuple[int, ...]]:
+    """Per size the set of terms (groups of columns) with the least residual sum of squares, by branch and bound.
+
+    `corr` is a correlation matrix whose last variable is the response.  Terms are dropped one after the other from the full
+    set; no subset of a set fits better than the set itself, so a branch ends where every size that it can still reach
+    has a set that fits as well.  The term that is missed most is dropped first, which gives the widest branches
+    the highest bounds.  Of sets that fit equally well one is returned.
+    """
+    y = len(corr) - 1
+    every = [c for cols in groups for c in cols]
+    regular = not every or np.linalg.eigvalsh(corr[np.ix_(every, every)])[0] > 1e-8
+    best: dict[int, tuple[float, tuple[int, ...]]] = {}
+
+    def error(kept: Sequence[int]) -> float:
+        cols = [c for t in kept for c in groups[t]]
+        r = corr[cols, y]
+        return float(1 - r @ np.linalg.lstsq(corr[np.ix_(cols, cols)], r, rcond=1e-10)[0]) if cols else 1.0
+
+    def note(value: float, kept: Sequence[int]) -> None:
+        if kept and (len(kept) not in best or value < best[len(kept)][0]):
+            best[len(kept)] = (value, tuple(sorted(kept)))
+
+    def without(kept: Sequence[int], own: float, drops: Sequence[int]) -> list[float]:
+        """Errors of `kept` without each of `drops`."""
+        if not regular:
+            return [error([t for t in kept if t != d]) for d in drops]
+        cols = [c for t in kept for c in groups[t]]
+        inverse = np.linalg.inv(corr[np.ix_(cols, cols)])
+        coef, place = inverse @ corr[cols, y], {c: i for i, c in enumerate(cols)}
+        out = []
+        for d in drops:
+            at = [place[c] for c in groups[d]]
+            if len(at) == 1:
+                out.append(own + coef[at[0]] ** 2 / inverse[at[0], at[0]])
+            else:
+                out.append(own + float(coef[at] @ np.linalg.solve(inverse[np.ix_(at, at)], coef[at])))
+        return out
+
+    def branch(kept: list[int], own: float, drops: list[int]) -> None:
+        missed = sorted(zip(without(kept, own, drops), drops), reverse=True)
+        for k in range(len(missed) - 1, -1, -1):  # narrow branches first: they find good sets soon
+            value, drop = missed[k]
+            rest = [t for t in kept if t != drop]
+            note(value, rest)
+            later = [d for _, d in missed[k + 1:]]
+            fewest = max(len(rest) - len(later), 1)
+            if later and fewest < len(rest) and (fewest not in best or best[fewest][0] > value):
+                branch(rest, value, later)
+
+    terms = list(range(len(groups)))
+    chosen: list[int] = []  # forward selection gives the first bounds
+    for _ in terms:
+        value, t = min((error([*chosen, t]), t) for t in terms if t not in chosen)
+        chosen.append(t)
+        note(value, chosen)
+    if terms:
+        branch(terms, error(terms), terms)
+    return {size: kept for size, (_, kept) in sorted(best.items())}
+
+
 def best_subsets(df: DataFrame, y: str, candidates: Sequence[str], categorical: Sequence[str] = (), by: Sequence[str] = (),
                  best_only: bool = True) -> DataFrame:
-    """Subsets of up to 12 candidates scored by R2, adjusted R2, Cp, AICc, BIC; best per size by R2."""
-    if len(candidates) > 12:
-        raise ValueError("at most 12 candidates")
+    """The subset of each size with the highest R2, with adjusted R2, Cp, AICc, BIC; all subsets without `best_only`.
+
+    One pass collects the cross moments.  The best subsets are found exactly for any number of candidates; the time of a group
+    depends on how different the candidates are (30 take seconds where some matter more than others).  All subsets
+    of p candidates are 2^p rows, so they are listed for up to 12.
+    """
+    if not best_only and len(candidates) > 12:
+        raise ValueError("all subsets are listed for at most 12 candidates")
     dm = gram.design(df, candidates, categorical)
     g = gram.moments(gram.design_rows(df, dm, y, by), [*dm.columns, "_y"], by)
     terms, names = dm.terms, [t for t, _ in dm.terms]
+    square = gram.square
+
+    def picks(row):
+        if not best_only:
+            return [pick for size in range(1, len(names) + 1) for pick in itertools.combinations(names, size)]
+        c = square(row["cov"], len(row["means"]))
+        scale = np.sqrt(np.where(np.diag(c) > 0, np.diag(c), 1.0))
+        found = smallest_errors(c / np.outer(scale, scale), [cols for _, cols in terms])
+        return [tuple(names[t] for t in kept) for kept in found.values()]
 
     def run(row):
         full = _subset(row, *_chosen(terms, names))
         mse = full["sse"] / full["dfe"]
         out = []
-        for size in range(1, len(names) + 1):
-            scored = []
-            for pick in itertools.combinations(names, size):
-                s = _subset(row, *_chosen(terms, pick))
-                n, p = s["n"], s["p"]
-                like = n * np.log(s["sse"] / n)
-                scored.append({
-                    "size": size, "variables": list(pick), "r2": 1 - s["sse"] / s["sst"],
-                    "r2_adjusted": 1 - (s["sse"] / s["dfe"]) / (s["sst"] / (n - 1)), "s": float(np.sqrt(s["sse"] / s["dfe"])),
-                    "cp": s["sse"] / mse - (n - 2 * (size + 1)), "bic": like + p * np.log(n),
-                    "aicc": like + 2 * p + 2 * p * (p + 1) / max(1.0, n - p - 1)})
-            out += [max(scored, key=lambda v: v["r2"])] if best_only else scored
+        for pick in picks(row):
+            size, s = len(pick), _subset(row, *_chosen(terms, pick))
+            n, p = s["n"], s["p"]
+            like = n * np.log(s["sse"] / n)
+            out.append({
+                "size": size, "variables": list(pick), "r2": 1 - s["sse"] / s["sst"],
+                "r2_adjusted": 1 - (s["sse"] / s["dfe"]) / (s["sst"] / (n - 1)), "s": float(np.sqrt(s["sse"] / s["dfe"])),
+                "cp": s["sse"] / mse - (n - 2 * (size + 1)), "bic": like + p * np.log(n),
+                "aicc": like + 2 * p + 2 * p * (p + 1) / max(1.0, n - p - 1)})
         return out
 
     return gram.per_group(g, run, by, "size int, variables array<string>, r2 double, r2_adjusted double, s double, cp double, bic double, aicc double")

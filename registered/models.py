@@ -369,6 +369,13 @@ def _(s, d):
     return G.best_subsets(items(s, d), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
 
 
+@query("best_subsets_of_many")
+def _(s, d):
+    base = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    terms = [*base, *[f"{v}^2" for v in base], *[f"{v}*{w}" for i, v in enumerate(base) for w in base[i + 1:]]]
+    return G.best_subsets(items(s, d), "l_extendedprice", terms)
+
+
 @query("best_subsets_of_one", f"""
 WITH c AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS v, unnest([pow(corr(l_quantity, l_extendedprice), 2), pow(corr(l_discount, l_extendedprice), 2), pow(corr(l_tax, l_extendedprice), 2)]) r2 FROM lineitem)
 SELECT 1 AS size, [arg_max(v, r2)] AS variables, {r("max(r2)", 8)} AS r2 FROM c""", r2=8)
