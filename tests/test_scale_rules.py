@@ -69,7 +69,7 @@ print("fine")
 
 def test_executors_need_no_copy_of_the_package(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    names = ["vif", "stepwise", "best_subsets", "pca", "mahalanobis", "hotelling_t2_individuals", "hotelling_t2_subgroups", "discriminant"]
+    names = ["vif", "stepwise", "best_subsets", "absorbed_anova", "box_cox_lambda", "bootstrap_interval", "pca", "mahalanobis", "hotelling_t2_individuals", "hotelling_t2_subgroups", "discriminant"]
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run([sys.executable, "-c", SCRIPT.format(root=root, names=names, folder="/root/testdata/sf0.001")], cwd=tmp_path, env=env,
                          capture_output=True, text=True, timeout=400)
