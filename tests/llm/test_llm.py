@@ -71,6 +71,26 @@ def test_bpe_tables(spark, docs, texts):
     assert bpe.encode(docs.limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_bpe_digests_are_the_library(spark, docs, texts):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, LINES.splitlines())}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [*enumerate(texts), (None, "no id"), (None, "no id"), (0, None), (7, ""), (8, "ab " * 50000 + "x" * 30000)]
+    out = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), RANKS, P.PATTERN, with_ids=False, digests=True)
+    want = Counter()
+    for i, t in rows:
+        ids = library.encode_ordinary(t or "")
+        want[i, len(ids), sha(",".join(map(str, ids))), sha(t or "")] += 1
+    assert Counter(tuple(r) for r in out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == want
+
+
+def test_bpe_small_memories(texts, monkeypatch):
+    whole = [t for t in texts if t][:60]
+    want = list(bpe.Codec(LINES, P.PATTERN).encode_all(whole))
+    for name, value in (("CACHE_ENTRIES", 50), ("BATCH_CHARS", 300), ("MERGE_BYTES", 7), ("KEY_CHARS", 3)):
+        monkeypatch.setattr(bpe, name, value)
+        assert list(bpe.Codec(LINES, P.PATTERN).encode_all(whole)) == want, name
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(500):
