@@ -7,6 +7,7 @@ aggregated rows only.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,10 @@ from ..plans.session import persist
 from .describe import _merge
 
 
-PAIR_TABLE_ROWS = 200_000
+SUM_BITS = 5  # each round of `median_of_sums` makes its grid so many bits finer
+SUM_ROWS = 100_000  # pairs of values per group that are ordered at the end
+MAX_SUM_BITS = 1000  # of the 1023 binary places doubles reach
+EXACT_CELLS = 2.0 ** 47  # up to here, and one round finer, numbers of cells add without rounding
 
 
 def p_from_t(t: Column, df: Column, alt: str) -> Column:
@@ -335,130 +339,109 @@ def mann_whitney(df: DataFrame, value: str, group: str, levels: Sequence[str], b
     return g
 
 
-def median_of_sums(x: DataFrame, y: DataFrame, by: Sequence[str], walsh: bool = False, passes: int = 30) -> DataFrame:
-    """Median of x_i + y_j over all pairs without forming the pairs.
+def median_of_sums(x: DataFrame, y: DataFrame, by: Sequence[str], walsh: bool = False) -> DataFrame:
+    """Median of x_i + y_j over all pairs, exactly and without forming the pairs.
 
-    The number of pairs with sum <= d is a sum over x of an empirical count of
-    y, which one merged ordering gives for a list of candidate d at once; the
-    bracket around each middle order statistic shrinks by `candidates` per pass.
-    With `walsh` (y = x) the pairs are i <= j and the result is the median of
-    the averages.
+    Both samples are put on a grid whose cells, a power of two wide, get 2^SUM_BITS times
+    finer every round.  Sums of cells lie on diagonals; pairs below and above the four diagonals
+    around the middle order statistic are settled, and only cells on those four are joined for the
+    next round.  A cell is one row, so no join key meets more than 2^SUM_BITS rows a side.  Once at
+    most SUM_ROWS pairs of different values are left in each group, or they all have one sum, the values
+    themselves are joined.  With `walsh` (y = x) the pairs are i <= j and the result is the
+    median of the averages.
     """
-    fx = x.where("_x is not null").groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    fy = fx if walsh else y.where("_x is not null").groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    fx, fy = persist(fx), persist(fy)
-    if fy.count() <= PAIR_TABLE_ROWS:
-        return _median_of_sums_by_lookup(fx, fy, by, walsh, passes)
-    candidates = 32
-    edge = lambda f, p: f.groupBy(*by).agg(F.sum("_c").alias(f"_n{p}"), F.min("_x").alias(f"_l{p}"), F.max("_x").alias(f"_h{p}"))
-    state = _merge(edge(fx, "x"), edge(fy, "y"), by).where("_nx > 0 and _ny > 0")
-    pairs = F.col("_nx") * (F.col("_nx") + 1) / 2 if walsh else F.col("_nx").cast("double") * F.col("_ny")
-    lows = F.floor((pairs + 1) / 2)
-    state = state.withColumn("_t", F.explode(F.array(lows.cast("double"), (F.floor(pairs / 2) + 1).cast("double"))))
-    state = state.withColumn("_which", F.when(F.col("_t") == lows, 0).otherwise(1))
-    lo, hi = F.col("_lx") + F.col("_ly"), F.col("_hx") + F.col("_hy")
-    pad = (hi - lo) * 1e-12 + F.abs(hi) * 1e-15 + 1e-300
-    state = persist(state.select(*by, "_which", "_t", (lo - pad).alias("_lo"), hi.alias("_hi")).distinct())
-    for _ in range(passes):
-        step = (F.col("_hi") - F.col("_lo")) / candidates
-        cells = state.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(candidates))))
-        cells = persist(cells.withColumn("_d", F.when(F.col("_j") == candidates, F.col("_hi")).otherwise(F.col("_lo") + F.col("_j") * step)))
-        spec = cells.groupBy(*by).agg(F.collect_set("_d").alias("_ds"))
-        shifted = attach(fx, spec, by).withColumn("_d", F.explode("_ds"))
-        asks = shifted.select(*by, "_d", (F.col("_d") - F.col("_x")).alias("_p"), F.lit(1).alias("_o"),
-                              F.col("_c").alias("_w"), F.lit(0).cast("bigint").alias("_have"))
-        have = attach(fy, spec, by).withColumn("_d", F.explode("_ds")).select(
-            *by, "_d", F.col("_x").alias("_p"), F.lit(0).alias("_o"), F.lit(0).cast("bigint").alias("_w"), F.col("_c").alias("_have"))
-        merged = prefix(asks.unionByName(have), [*by, "_d"], ["_p", "_o"], {"_cum": "_have"})
-        counts = merged.groupBy(*by, "_d").agg(F.sum(F.col("_w").cast("double") * F.col("_cum")).alias("_n"))
-        if walsh:
-            diag = shifted.groupBy(*by, "_d").agg(F.sum(F.when(2 * F.col("_x") <= F.col("_d"), F.col("_c")).otherwise(0)).alias("_g"))
-            names = {k: "_k_" + k for k in [*by, "_d"]}
-            cond = [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()]
-            counts = counts.join(diag.withColumnsRenamed(names), cond).select(
-                *by, "_d", ((F.col("_n") + F.col("_g")) / 2).alias("_n"))
-        scored = attach(cells, counts, [*by, "_d"])
-        reached = F.col("_n") >= F.col("_t")
-        nxt = scored.groupBy(*by, "_which", "_t").agg(
-            F.min(F.when(reached, F.col("_d"))).alias("_nh"), F.max(F.when(~reached, F.col("_d"))).alias("_nl"),
-            F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
-        state = persist(nxt.select(*by, "_which", "_t", F.coalesce("_nl", "_lo").alias("_lo"), F.coalesce("_nh", "_hi").alias("_hi")))
-        gap = state.agg(F.max((F.col("_hi") - F.col("_lo")) / F.greatest(F.abs("_hi"), F.lit(1.0)))).first()[0]
-        if gap is None or gap < 1e-13:
+    keys = [*by, "_all"]
+
+    def frequencies(f):
+        rows = f.where("_x is not null").withColumns({"_x": F.col("_x") + 0.0, "_all": F.lit(0)})
+        return persist(rows.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")))
+
+    fx = frequencies(x)
+    fy = fx if walsh else frequencies(y)
+    sizes = [f.groupBy(*keys).agg(F.sum("_c").alias("_n" + p), F.max(F.abs("_x")).alias("_h" + p)) for f, p in ((fx, "x"), (fy, "y"))]
+    sides = attach(sizes[0], sizes[1], keys)
+    # unordered pairs count twice: once in either order, equal positions once more
+    twice = 2 if walsh else 1
+    n = F.expr("_nx * (_nx + 1) div 2") if walsh else F.col("_nx") * F.col("_ny")
+    size = F.greatest("_hx", "_hy")
+    state = persist(sides.withColumn("_n", n).select(
+        *keys, F.lit(0.0).alias("_k"), F.lit(0).cast("bigint").alias("_base"),
+        F.expr(f"array_distinct(array({twice} * ((_n + 1) div 2), {twice} * (_n div 2 + 1)))").alias("_ts"),
+        F.when(size > 0, F.ceil(F.log2(size)) + 1).otherwise(0).cast("int").alias("_e")))
+    scale = persist(state.select(*keys, "_e"))
+    fx = persist(attach(fx, scale, keys, ready=True))
+    fy = fx if walsh else persist(attach(fy, scale, keys, ready=True))
+    state = state.drop("_e")
+    bits, settled = 0, []
+    while True:
+        bits += SUM_BITS
+        cells = [f.groupBy(*keys, _cell(F.col("_x"), bits).alias("_i")).agg(
+            F.sum("_c").alias("_c"), F.count(F.lit(1)).alias("_d"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+            .withColumn("_cell", _floor(F.col("_i") / 2 ** SUM_BITS)) for f in (fx, fy)]
+        found = _sums_near(*cells, state, keys, walsh)
+        # at most some 6 * 2^SUM_BITS sums of cells per group
+        line = Window.partitionBy(*keys, "_k").orderBy("_i")
+        upto, below, near = (line.rangeBetween(*f) for f in ((Window.unboundedPreceding, 0), (Window.unboundedPreceding, -3), (-2, 1)))
+        spread = F.max("_hi").over(near) - F.min("_lo").over(near) > 1e-15 * F.max("_size").over(near)
+        found = found.select(
+            *keys, "_i", "_ts", "_w", (F.col("_base") + F.sum("_w").over(upto)).alias("_cum"),
+            (F.col("_base") + F.coalesce(F.sum("_w").over(below), F.lit(0))).alias("_below"),
+            (spread & (F.sum("_pairs").over(near) > SUM_ROWS) & (F.abs("_i") < EXACT_CELLS)).alias("_open"))
+        state = persist(_reached(found).groupBy(*keys, F.col("_i").alias("_k")).agg(
+            F.first("_below").alias("_base"), F.collect_set("_t").alias("_ts"), F.max("_open").alias("_open")))
+        settled.append(state.where(~F.col("_open") | F.lit(bits > MAX_SUM_BITS)).withColumn("_b", F.lit(bits)))
+        state = state.where(F.col("_open") & F.lit(bits <= MAX_SUM_BITS))
+        if not state.limit(1).count():
             break
-    scale = 2 if walsh else 1
-    return state.groupBy(*by).agg((F.avg("_hi") / scale).alias("median"))
-
-
-def _median_of_sums_by_lookup(fx: DataFrame, fy: DataFrame, by: Sequence[str], walsh: bool, passes: int) -> DataFrame:
-    """`median_of_sums` when the distinct values of y fit in PAIR_TABLE_ROWS.
-
-    The bounded y table travels to the tasks; each pass looks the candidates of
-    every x up in it and returns one partial count per candidate.
-    """
-    spark = fx.sparkSession
-    tables: dict = {}
-    for row in fy.orderBy(*by, "_x").collect():
-        v, c = tables.setdefault(tuple(row[k] for k in by), ([], []))
-        v.append(row["_x"])
-        c.append(row["_c"])
-    tables = {k: (np.array(v), np.concatenate([[0.0], np.cumsum(c, dtype=float)])) for k, (v, c) in tables.items()}
-    sizes = {tuple(r[k] for k in by): (r["n"], r["lo"], r["hi"]) for r in
-             fx.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).collect()}
-    state = {}
-    for key in tables.keys() & sizes.keys():
-        (v, cum), (nx, lo, hi) = tables[key], sizes[key]
-        pairs = nx * (nx + 1) / 2 if walsh else nx * cum[-1]
-        low, high = lo + v[0], hi + v[-1]
-        pad = (high - low) * 1e-12 + abs(high) * 1e-15 + 1e-300
-        for target in {np.floor((pairs + 1) / 2), np.floor(pairs / 2) + 1}:
-            state[key, target] = (low - pad, high)
-    sent = spark.sparkContext.broadcast(tables)
-    # wide passes on short tables (fewer jobs), narrow ones on long tables (less work per pass)
-    width = max(64, min(1024, 20_000_000 // max(1, fx.count())))
-    width = max(4, min(width, 500_000 // max(1, len(state))))
-    types = dict(fx.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in by] + ["_d double", "_n double"])
-    for _ in range(passes):
-        asked: dict = {}
-        for (key, _), (lo, hi) in state.items():
-            asked.setdefault(key, set()).update(np.append(lo + (hi - lo) * np.arange(1, width) / width, hi))
-        asked = {k: np.array(sorted(v)) for k, v in asked.items()}
-
-        def look(batches, asked=asked):
-            total: dict = {}
-            for pdf in batches:
-                keys = list(map(tuple, pdf[list(by)].itertuples(index=False))) if by else [()] * len(pdf)
-                for key in set(keys):
-                    if key not in asked:
-                        continue
-                    part = pdf[[k == key for k in keys]] if by else pdf
-                    x, c, ds = part["_x"].to_numpy(), part["_c"].to_numpy(float), asked[key]
-                    v, cum = sent.value[key]
-                    n = np.array([(c * cum[np.searchsorted(v, d - x, side="right")]).sum() for d in ds])
-                    if walsh:
-                        n = (n + np.array([c[2 * x <= d].sum() for d in ds])) / 2
-                    total[key] = total.get(key, 0.0) + n
-            rows = [[*key, d, n] for key, ns in total.items() for d, n in zip(asked[key], ns)]
-            yield pd.DataFrame(rows, columns=[*by, "_d", "_n"])
-
-        counts: dict = {}
-        for row in fx.mapInPandas(look, schema).groupBy(*by, "_d").agg(F.sum("_n").alias("_n")).collect():
-            counts.setdefault(tuple(row[k] for k in by), []).append((row["_d"], row["_n"]))
-        done = True
-        for (key, target), (lo, hi) in state.items():
-            found = [(d, n) for d, n in counts[key] if lo < d <= hi]
-            hi2 = min(d for d, n in found if n >= target)
-            lo2 = max([d for d, n in found if n < target], default=lo)
-            state[key, target] = (lo2, hi2)
-            done &= hi2 - lo2 <= 1e-13 * max(abs(hi2), 1.0)
-        if done:
-            break
-    out: dict = {}
-    for (key, _), (_, hi) in state.items():
-        out.setdefault(key, []).append(hi / (2 if walsh else 1))
-    schema = ", ".join([f"`{k}` {types[k]}" for k in by] + ["median double"])
-    return spark.createDataFrame([(*key, float(np.mean(v))) for key, v in out.items()], schema)
+    state = persist(reduce(DataFrame.unionByName, settled))
+    levels = persist(state.select(*keys, "_b").distinct())
+    values = [attach(f, levels, keys, ready=True).select(
+        *keys, "_b", F.col("_x").alias("_i"), "_c", F.lit(1).alias("_d"), F.col("_x").alias("_lo"), F.col("_x").alias("_hi"),
+        _cell(F.col("_x"), F.col("_b")).alias("_cell")) for f in (fx, fy)]
+    line = Window.partitionBy(*keys, "_b", "_k").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    found = _sums_near(*values, state, [*keys, "_b"], walsh).withColumn("_cum", F.col("_base") + F.sum("_w").over(line))
+    return _reached(found).groupBy(*by).agg((F.avg("_i") / twice).alias("median")).where("median is not null")
+
+
+def _floor(v: Column) -> Column:
+    """floor as a double; from 2^52 on every double is whole."""
+    return F.when(F.abs(v) < 2.0 ** 52, F.floor(v).cast("double")).otherwise(v)
+
+
+def _cell(v: Column, bits: int | Column) -> Column:
+    """Number of the cell of width 2^(_e - bits) that holds `v`; powers of two lose no digits."""
+    half = (-F.col("_e") / 2).cast("int")
+    return _floor(v * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), bits - F.col("_e") - half))
+
+
+def _sums_near(x: DataFrame, y: DataFrame, state: DataFrame, keys: Sequence[str], walsh: bool) -> DataFrame:
+    """Per group and `_k`: each sum `_i` with its weight, for pairs whose cells lie on the diagonals _k - 2 to _k + 1."""
+    x = attach(x, state.select(*keys, "_k", "_base", "_ts"), keys)
+    diagonals = F.array_distinct(F.array(*[F.col("_k") + o - F.col("_cell") for o in (-2, -1, 0, 1)]))
+    other = y.select(*[F.col(c).alias("_o" + c) for c in [*keys, "_cell", "_i", "_c", "_d", "_lo", "_hi"]])
+    cond = F.col("_other") == F.col("_o_cell")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col("_o" + k))
+    off = F.col("_cell") + F.col("_o_cell") - F.col("_k")  # a difference of huge cells may have been rounded
+    met = x.withColumn("_other", F.explode(diagonals)).join(other, cond).where(off.between(-2, 1))
+    size = F.greatest(*[F.abs(F.col(c)) for c in ("_lo", "_hi", "_o_lo", "_o_hi")])
+    pairs = met.select(*keys, "_k", "_base", "_ts", (F.col("_i") + F.col("_o_i")).alias("_i"), (F.col("_c") * F.col("_o_c")).alias("_w"),
+                       (F.col("_d") * F.col("_o_d")).alias("_pairs"), (F.col("_lo") + F.col("_o_lo")).alias("_lo"),
+                       (F.col("_hi") + F.col("_o_hi")).alias("_hi"), size.alias("_size"))
+    if walsh:
+        same = x.where((2 * F.col("_cell") - F.col("_k")).between(-2, 1))
+        pairs = pairs.unionByName(same.select(
+            *keys, "_k", "_base", "_ts", (2 * F.col("_i")).alias("_i"), F.col("_c").alias("_w"), F.col("_d").cast("bigint").alias("_pairs"),
+            (2 * F.col("_lo")).alias("_lo"), (2 * F.col("_hi")).alias("_hi"), F.greatest(F.abs("_lo"), F.abs("_hi")).alias("_size")))
+    return pairs.groupBy(*keys, "_k", "_i").agg(
+        F.first("_base").alias("_base"), F.first("_ts").alias("_ts"), F.sum("_w").alias("_w"), F.sum("_pairs").alias("_pairs"),
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_size").alias("_size"))
+
+
+def _reached(found: DataFrame) -> DataFrame:
+    """Rows at which the running weight reaches one of the wanted positions, one per position."""
+    passed = F.filter("_ts", lambda t: (t <= F.col("_cum")) & (t > F.col("_cum") - F.col("_w")))
+    return found.withColumn("_t", F.explode(passed))
 
 
 def wilcoxon_signed(df: DataFrame, value: str, mu0: float = 0.0, by: Sequence[str] = (), alt: str = "two",

@@ -114,9 +114,9 @@ def test_sequence_and_quantiles(spark):
         assert (q[g]["lo"], q[g]["hi"]) == (s[0], s[-1])
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("limit", [100_000, 3])
 def test_pairwise_medians(spark, groups, monkeypatch, limit):
-    monkeypatch.setattr(H, "PAIR_TABLE_ROWS", limit)
+    monkeypatch.setattr(H, "SUM_ROWS", limit)
     rng = np.random.default_rng(6)
     a, b = np.round(rng.gamma(2, 2, 41), 1), np.round(rng.gamma(2, 2.5, 36), 1)
     r = H.mann_whitney(groups({"a": a, "b": b}), "x", "g", ["a", "b"]).first()
@@ -127,6 +127,24 @@ def test_pairwise_medians(spark, groups, monkeypatch, limit):
     assert w["hodges_lehmann"] == pytest.approx(np.median(walsh) + 3, abs=1e-9)
 
 
+def test_medians_of_sums_per_group(spark, monkeypatch):
+    """Groups of any scale in one call: outliers, one value, sums that are all equal, an even gap, a NULL key, one side missing."""
+    monkeypatch.setattr(H, "SUM_ROWS", 3)
+    rng = np.random.default_rng(16)
+    x = {"outlier": [1e20, *rng.normal(0, 1, 20)], "tiny": rng.normal(0, 1e-15, 15), "one": [0.1], "zero": np.arange(9) / 10,
+         "gap": [0.0, 0.0, 5.0, 5.0], None: rng.integers(-4, 9, 30) / 8, "alone": [1.0], "wide": 10.0 ** rng.uniform(-12, 12, 25)}
+    y = {"outlier": [-1e20, *rng.normal(3, 1, 17)], "tiny": rng.normal(0, 1e-15, 16), "one": [0.2], "zero": -np.arange(9) / 10,
+         "gap": [0.0, 100.0], None: rng.integers(-4, 9, 21) / 8, "none": [2.0], "wide": -10.0 ** rng.uniform(-12, 12, 25)}
+    table = lambda t: spark.createDataFrame([(k, float(v)) for k, vs in t.items() for v in vs], "g string, _x double").repartition(3)
+    got = {r["g"]: r["median"] for r in H.median_of_sums(table(x), table(y), ["g"]).collect()}
+    want = {k: np.median(np.add.outer(x[k], y[k])) for k in x.keys() & y.keys()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12, abs=1e-27 if k == "tiny" else 1e-13) for k in want)
+    got = {r["g"]: r["median"] for r in H.median_of_sums(table(x), table(x), ["g"], walsh=True).collect()}
+    for k, v in x.items():
+        assert got[k] == pytest.approx(np.median([(v[i] + v[j]) / 2 for i in range(len(v)) for j in range(i, len(v))]), rel=1e-12, abs=1e-27 if k == "tiny" else 1e-13)
+    assert H.median_of_sums(table(x).where("false"), table(y), []).count() == 0
+
+
 def test_kendall_and_spearman(spark):
     rng = np.random.default_rng(7)
     x, y = rng.integers(0, 12, 90), rng.integers(0, 9, 90)
