@@ -1,8 +1,9 @@
-"""Toxicity: severity grades by cumulative-link ordinal regression on sparse word features.
+"""Toxicity: severity grades by cumulative-link ordinal regression on sparse features: words and word beginnings, by how often they are met.
 
 One weight vector is shared by all thresholds: P(grade > k) = logistic(x.w - theta_k) with ascending thetas.  The
-labels say toxic or not; the grade of a toxic training document is how dense its marked words are (thirds of
-the toxic sample), where marked words are those that the same sample ties to the toxic label.
+labels say toxic or not; the grade of a toxic training document is how many marked features it has (thirds of
+the toxic sample), where marked are those that the same sample ties to the toxic label.  The score adds up over
+features, so grades by number agree with it; grades by density do not, and held thresholds far above single words.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import WORD
 
-DIMENSIONS = 1 << 18
+DIMENSIONS = 1 << 20
+#: Beginnings of words that are features beside the whole word (letters), and how often a feature must be met to count (once more).
+BEGINNINGS = (4, 5, 6)
+TIERS = (1, 2, 3, 5)
+STEP = 0x9E3779B1
+#: Words a task remembers, and their greatest length.
+WORDS = 200_000
+LONGEST = 64
 #: Toxic documents the model is fitted on, and clean ones per toxic one (lowest hash of the id).
 TRAIN_DOCS = 3000
 CLEAN = 4
@@ -33,10 +42,51 @@ UPPER = {c: c + 32 for c in range(65, 91)}
 STRIP = ".,;:!?\"'()[]*#$%&|<>"
 
 
+def hashes(word: str) -> list[int]:
+    """Hashes of the word without the marks around it, and of how it begins."""
+    w = word.strip(STRIP)
+    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in [w, *(w[:n] + "\n" for n in BEGINNINGS if len(w) >= n)]]
+
+
 def features(text: str, words) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed words, counts): A-Z lower-cased, marks around a word taken off."""
-    found = [zlib.crc32(w.strip(STRIP).encode("utf-8", "surrogatepass")) % DIMENSIONS for w in words.findall(text.translate(UPPER))]
-    return np.unique(np.array(found, np.int64), return_counts=True)
+    """(features, counts) of a text, A-Z lower-cased: words and word beginnings, each once for every tier of TIERS its count reaches."""
+    met = Counter(words.findall(text.translate(UPPER)))
+    if not met:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = [hashes(w) for w in met]
+    times = np.repeat(np.fromiter(met.values(), np.int64, len(met)), [len(f) for f in found])
+    index, at = np.unique(np.array([h for f in found for h in f], np.int64), return_inverse=True)
+    count = np.bincount(at, times).astype(np.int64)
+    tiers = [((index[count >= t] + k * STEP) % DIMENSIONS, count[count >= t]) for k, t in enumerate(TIERS)]
+    index, count = (np.concatenate(c) for c in zip(*tiers))
+    index, first = np.unique(index, return_index=True)
+    return index, count[first]
+
+
+def weighing(weight: dict[int, float]) -> bytearray:
+    """1 for every hash (modulo DIMENSIONS) of which some tier has a weight."""
+    some = bytearray(DIMENSIONS)
+    for i in weight:
+        for k in range(len(TIERS)):
+            some[(i - k * STEP) % DIMENSIONS] = 1
+    return some
+
+
+def score(text: str, words, weight: dict[int, float], some: bytearray, known: dict) -> float:
+    """Sum of the weights of a text's `features`.  `known` remembers which hashes of a word weigh anything, for at most WORDS words."""
+    count: dict[int, int] = {}
+    for w, c in Counter(words.findall(text.translate(UPPER))).items():
+        f = known.get(w)
+        if f is None:
+            f = [h for h in hashes(w) if some[h % DIMENSIONS]]
+            if len(known) >= WORDS:
+                known.clear()
+            if len(w) <= LONGEST:
+                known[w] = f
+        for h in f:
+            count[h] = count.get(h, 0) + c
+    index = {(h + k * STEP) % DIMENSIONS for h, c in count.items() for k, t in enumerate(TIERS) if c >= t}
+    return sum(weight.get(i, 0.0) for i in sorted(index))
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 600, decay: float = 2e-4) -> dict:
@@ -55,9 +105,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 600, deca
             tie += 2 * got * np.log(np.maximum(got, 1e-9) / np.maximum(n * chance, 1e-9))
     known = np.flatnonzero((seen[0] + seen[1] >= MIN_DOCS) & (tie >= TIE))
     marked = (tie >= TIE) & (seen[1] * n0 > seen[0] * n1)
-    density = np.array([n[marked[f]].sum() / max(n.sum(), 1) for _, f, n in rows])
-    cuts = np.quantile(density[toxic == 1], [i / GRADES for i in range(1, GRADES)])
-    grade = np.where(toxic == 1, 1 + (density[:, None] > cuts[None, :]).sum(1), 0)
+    strength = np.array([marked[f].sum() for _, f, _ in rows])
+    cuts = np.quantile(strength[toxic == 1], [i / GRADES for i in range(1, GRADES)])
+    grade = np.where(toxic == 1, 1 + (strength[:, None] > cuts[None, :]).sum(1), 0)
     column = np.full(DIMENSIONS, -1)
     column[known] = np.arange(len(known))
     who = np.concatenate([np.full(len(f), k) for k, (_, f, _) in enumerate(rows)])
@@ -114,16 +164,15 @@ def grade(df: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """
     new = ["severity", "grade", "toxic"]
     keep = [c for c in df.columns if c not in new]
-    dense = np.zeros(DIMENSIONS, np.float32)
-    dense[model["index"]] = model["weight"]
-    shared = df.sparkSession.sparkContext.broadcast(dense)
+    shared = df.sparkSession.sparkContext.broadcast(dict(zip(model["index"].tolist(), model["weight"].tolist())))
     theta = np.asarray(model["theta"], float)
     src = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("_text"))
 
     def run(batches):
-        words, w = re.compile(WORD), shared.value
+        words, known, weight = re.compile(WORD), {}, shared.value
+        some = weighing(weight)
         for b in batches:
-            z = np.array([float(w[features(t.as_py(), words)[0]].sum()) for t in b.column(b.num_columns - 1)])
+            z = np.array([score(t.as_py(), words, weight, some, known) for t in b.column(b.num_columns - 1)])
             p = 1 / (1 + np.exp(-np.clip(z[:, None] - theta[None, :], -40, 40)))
             cols = [pa.array(p.sum(1).round(6)), pa.array((p > 0.5).sum(1), pa.int32()), pa.array(p[:, 0] > threshold)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*keep, *new])
