@@ -48,19 +48,16 @@ def hashes(word: str) -> list[int]:
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in [w, *(w[:n] + "\n" for n in BEGINNINGS if len(w) >= n)]]
 
 
-def features(text: str, words) -> tuple[np.ndarray, np.ndarray]:
-    """(features, counts) of a text, A-Z lower-cased: words and word beginnings, each once for every tier of TIERS its count reaches."""
+def features(text: str, words) -> np.ndarray:
+    """Features of a text, A-Z lower-cased: words and word beginnings, each once for every tier of TIERS its count reaches."""
     met = Counter(words.findall(text.translate(UPPER)))
     if not met:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     found = [hashes(w) for w in met]
     times = np.repeat(np.fromiter(met.values(), np.int64, len(met)), [len(f) for f in found])
     index, at = np.unique(np.array([h for f in found for h in f], np.int64), return_inverse=True)
-    count = np.bincount(at, times).astype(np.int64)
-    tiers = [((index[count >= t] + k * STEP) % DIMENSIONS, count[count >= t]) for k, t in enumerate(TIERS)]
-    index, count = (np.concatenate(c) for c in zip(*tiers))
-    index, first = np.unique(index, return_index=True)
-    return index, count[first]
+    count = np.bincount(at, times)
+    return np.unique(np.concatenate([(index[count >= t] + k * STEP) % DIMENSIONS for k, t in enumerate(TIERS)])).astype(np.int32)
 
 
 def weighing(weight: dict[int, float]) -> bytearray:
@@ -89,13 +86,13 @@ def score(text: str, words, weight: dict[int, float], some: bytearray, known: di
     return sum(weight.get(i, 0.0) for i in sorted(index))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 600, decay: float = 2e-4) -> dict:
-    """Weights (sparse) and thresholds from (toxic, hashed words, counts).  Without both classes: severity 0 for all."""
+def train(rows: list[tuple[int, np.ndarray]], steps: int = 600, decay: float = 2e-4) -> dict:
+    """Weights (sparse) and thresholds from (toxic, features).  Without both classes: severity 0 for all."""
     toxic = np.array([r[0] for r in rows])
     if not len(toxic) or toxic.min() == toxic.max():
         return {"index": np.zeros(0, np.int64), "weight": np.zeros(0), "theta": np.full(GRADES, 50.0)}
     seen = [np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)]
-    for t, f, _ in rows:
+    for t, f in rows:
         seen[int(t)][f] += 1
     n0, n1 = (toxic == 0).sum(), (toxic == 1).sum()
     tie = np.zeros(DIMENSIONS)  # log likelihood ratio of word and label
@@ -105,14 +102,13 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 600, deca
             tie += 2 * got * np.log(np.maximum(got, 1e-9) / np.maximum(n * chance, 1e-9))
     known = np.flatnonzero((seen[0] + seen[1] >= MIN_DOCS) & (tie >= TIE))
     marked = (tie >= TIE) & (seen[1] * n0 > seen[0] * n1)
-    strength = np.array([marked[f].sum() for _, f, _ in rows])
+    strength = np.array([marked[f].sum() for _, f in rows])
     cuts = np.quantile(strength[toxic == 1], [i / GRADES for i in range(1, GRADES)])
     grade = np.where(toxic == 1, 1 + (strength[:, None] > cuts[None, :]).sum(1), 0)
     column = np.full(DIMENSIONS, -1)
     column[known] = np.arange(len(known))
-    who = np.concatenate([np.full(len(f), k) for k, (_, f, _) in enumerate(rows)])
-    flat = column[np.concatenate([f for _, f, _ in rows])]
-    who, flat = who[flat >= 0], flat[flat >= 0]
+    used = [column[f[column[f] >= 0]] for _, f in rows]
+    who, flat = np.repeat(np.arange(len(rows)), [len(f) for f in used]), np.concatenate(used)
     balance = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
     w = np.zeros(len(known))
     theta = np.arange(GRADES, dtype=float)
@@ -139,7 +135,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 600, deca
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_DOCS, clean: int = CLEAN * TRAIN_DOCS) -> dict:
-    """Train on at most `toxic` and `clean` labelled documents; executors send hashed counts, not texts."""
+    """Train on at most `toxic` and `clean` labelled documents; executors send hashes, not texts."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic")
     by = [F.xxhash64("doc_id", F.lit(3)), "doc_id"]
     chosen = known.where("toxic = 0").orderBy(*by).limit(clean).unionByName(known.where("toxic = 1").orderBy(*by).limit(toxic))
@@ -148,11 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_DOCS, clean: int
     def run(batches):
         words = re.compile(WORD)
         for pdf in batches:
-            found = [features(t, words) for t in pdf["text"]]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "f": [f.astype(np.int32).tobytes() for f, _ in found], "n": [n.astype(np.int32).tobytes() for _, n in found]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "f": [features(t, words).tobytes() for t in pdf["text"]]})
 
-    rows = sorted((r["toxic"], bytes(r["f"]), bytes(r["n"])) for r in sample.mapInPandas(run, "toxic int, f binary, n binary").collect())
-    return train([(t, np.frombuffer(f, np.int32), np.frombuffer(n, np.int32)) for t, f, n in rows])
+    rows = sorted((r["toxic"], bytes(r["f"])) for r in sample.mapInPandas(run, "toxic int, f binary").collect())
+    return train([(t, np.frombuffer(f, np.int32)) for t, f in rows])
 
 
 def grade(df: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
