@@ -17,8 +17,8 @@ SIZES = (3, 4, 5)
 THRESHOLD = 0.5
 #: (host, path, verdict), the longest that fits wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: The small labelled table the model is fitted on unless another is given: host, path, 1 for unwanted.
-LABELLED = (
+#: Labelled urls: host, path, 1 for unwanted.
+HOSTS = (
     ("spam-farm.test", "/en/1", 1), ("www.spam-site.test", "/offer", 1), ("cheap-pills.test", "/buy", 1), ("cheap-meds.test", "/order/12", 1),
     ("pills-online.test", "/en/4", 1), ("casino-bonus.test", "/play", 1), ("best-casino.test", "/slots/", 1), ("free-slots.test", "/win", 1),
     ("win-money-fast.test", "/now", 1), ("adult-chat.test", "/live", 1), ("xxx-videos.test", "/watch/3", 1), ("porn-tube.test", "/en/8", 1),
@@ -34,6 +34,26 @@ LABELLED = (
     ("nature.test", "/es/31", 0), ("radio.test", "/fr/2", 0), ("law.test", "/en/14", 0), ("www.farmers.test", "/en/7", 0),
     ("blog.mathematics.test", "/en/853/", 0), ("astronomy.test", "/en/728", 0),
 )
+#: Words of unwanted and of ordinary hosts; each is paired with the next but two of its list.
+UNWANTED = ("casino poker slots bets betting jackpot roulette gamble lottery win prize bonus free cheap discount deals pills meds viagra pharma steroid "
+            "diet detox loans credit cash money payday forex crypto ads adserver track tracker click clicks popup banner spam bulk farm xxx porn adult sex "
+            "escort dating singles cams warez crack keygen torrent serial replica fake phishing malware hack cheats seo backlinks traffic").split()
+ORDINARY = ("school college university library museum archive hospital clinic doctor garden kitchen recipe travel hiking river mountain village city council "
+            "parliament court law justice science physics history language dictionary weather climate energy engineering software manual tutorial database "
+            "music theatre cinema orchestra painting poetry novel books magazine news journal radio sports football chess family children parents "
+            "church charity volunteer market bakery farmers forest animals birds").split()
+PREFIXES = ("", "www.", "m.", "blog.")
+PATHS = ("/en/{}", "/de/{}", "/fr/{}", "/es/{}", "/en/{}/", "/page/{}.html")
+
+
+def paired(words: Sequence[str], label: int, turn: int = 0) -> list[tuple[str, str, int]]:
+    """One url a word; hosts, prefixes and paths take turns, so that only the words tell the labels apart."""
+    return [(f"{PREFIXES[n % 4]}{w}{'-' if n % 2 else ''}{words[(n + 3) % len(words)]}.test", PATHS[(n + turn) % 6].format(37 * (n + 59 * turn) % 4000), label)
+            for n, w in enumerate(words)]
+
+
+#: The labelled table the model is fitted on unless another is given; ordinary words come thrice, as most urls are ordinary.
+LABELLED = (*HOSTS, *paired(UNWANTED, 1), *(row for turn in range(3) for row in paired(ORDINARY, 0, turn)))
 
 
 def parts(url: Column) -> tuple[Column, Column]:

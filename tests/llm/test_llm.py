@@ -389,3 +389,19 @@ def test_toxicity_features_and_scores():
     once, thrice = (set(toxicity.features(t, words).tolist()) for t in ("abcdefgh", "abcdefgh abcdefgh Abcdefgh."))
     assert once < thrice and len(once) == 4 and len(thrice) == 12
     assert once - set(toxicity.features("abcdefzz", words).tolist()) and once & set(toxicity.features("abcdzz", words).tolist())
+
+
+def test_urls_unwanted_hosts_and_words_left_out():
+    """Hosts outside the labelled table are told apart, on paths that say nothing; words left out of the fit are better than chance."""
+    bias, w = urls.train(urls.LABELLED)
+    blocked = lambda h, p, b, w: b + w[g := urls.grams(h, p)].sum() / len(g) ** 0.5 >= 0
+    bad = ["m.online-casino.example.com", "gambling-bonus.example.net", "www.xxx-cams.example.com", "fast-loans.example.com", "crypto-cash.example.com"]
+    good = ["www.town-library.example.com", "physics.university.example.net", "m.village-school.example.com", "blog.hiking-weather.example.com", "history-books.example.com"]
+    for path in ("/en/12", "/de/7", "/"):
+        assert all(blocked(h, path, bias, w) for h in bad) and not any(blocked(h, path, bias, w) for h in good)
+    rows = [*urls.paired(urls.UNWANTED, 1), *urls.paired(urls.ORDINARY, 0)]
+    right = 0
+    for fold in range(5):
+        b, v = urls.train([*urls.HOSTS, *(r for i, r in enumerate(rows) if i % 5 != fold)])
+        right += sum(blocked(h, p, b, v) == bool(y) for i, (h, p, y) in enumerate(rows) if i % 5 == fold)
+    assert right > 0.7 * len(rows)
