@@ -349,3 +349,26 @@ def test_chi_square_with_empty_cells(spark):
     assert r["pct_small_expected"] == pytest.approx(100 * (e < 5).mean()) and r["df"] == (len(rl) - 1) * (len(cl) - 1)
     cells = H.chi_square_cells(df, "r", "c").collect()
     assert len(cells) == o.size and sum(c["contribution"] for c in cells) == pytest.approx(r["chisq"])
+
+
+def test_multiplicative_seasons_per_group(spark):
+    """Each series on its own, from any partitioning; a zero season or level makes fits and forecast NULL, short series are left out."""
+    rng = np.random.default_rng(31)
+    series = {"a": (20 + np.arange(40)) * (1 + 0.3 * np.sin(np.arange(40) * np.pi / 3)) + rng.normal(size=40), None: rng.gamma(9, 1, 25),
+              "zero season": np.arange(24) % 6, "all zero": np.zeros(20), "short": np.ones(11)}
+    df = spark.createDataFrame([(g, i, float(v)) for g, vs in series.items() for i, v in enumerate(vs)], "g string, i long, y double").repartition(5)
+    got = T.smooth(df, "y", ["i"], ["g"], "holt-winters", 0.2, 0.1, 0.3, 6, 2, True)
+    fits = {(r["g"], r["t"]): r["fitted"] for r in got["fitted"].collect()}
+    ahead = {(r["g"], r["t"]): r["fit"] for r in got["forecast"].collect()}
+    assert not any(g == "short" for g, _ in fits)
+    for g in ("a", None):
+        y = series[g]
+        level = y[:6].mean()
+        trend, s = (y[6:12].mean() - level) / 6, list(y[:6] / level)
+        for t, v in enumerate(y):
+            if t >= 6:
+                assert fits[g, t + 1] == pytest.approx((level + trend) * s[t % 6], rel=1e-12)
+            new = 0.2 * v / s[t % 6] + 0.8 * (level + trend)
+            level, trend, s[t % 6] = new, 0.1 * (new - level) + 0.9 * trend, 0.3 * v / new + 0.7 * s[t % 6]
+        assert ahead[g, len(y) + 1] == pytest.approx((level + trend) * s[len(y) % 6], rel=1e-12)
+    assert all(v is None for (g, _), v in [*fits.items(), *ahead.items()] if g in ("zero season", "all zero"))
