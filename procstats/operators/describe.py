@@ -41,12 +41,26 @@ def kurtosis(x: Column) -> Column:
     return F.when(n > 3, ratio(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
 
 
+def shape(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Skewness and kurtosis per group."""
+    x = F.col("_value")
+    return _values(df, value, by).groupBy(*by).agg(skewness(x).alias("skew"), kurtosis(x).alias("kurt"))
+
+
+def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """(by, _value): the finite value, computed below the aggregates.
+
+    Inside central moments it would be repeated in every update, and generated code of over 8000 bytes a method is not compiled.
+    """
+    return df.select(*by, finite(value).alias("_value"))
+
+
 def describe(df: DataFrame, value: str, by: Sequence[str] = (), conf: float = 0.95,
              intervals: bool = True) -> DataFrame:
     """Full descriptive summary per group."""
-    x = finite(value)
+    x = F.col("_value")
     n = F.count(x)
-    base = df.groupBy(*by).agg(
+    base = _values(df, value, by).groupBy(*by).agg(
         n.alias("n"), (F.count(F.lit(1)) - n).alias("missing"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
         (F.stddev_samp(x) / F.sqrt(n)).alias("se"), F.var_samp(x).alias("variance"),
         (100 * ratio(F.stddev_samp(x), F.avg(x))).alias("cv"), F.min(x).alias("min"), F.max(x).alias("max"),

@@ -44,8 +44,7 @@ def _(s, d):
 @query("skewness_kurtosis", f"""
 SELECT l_returnflag, {r("skewness(l_extendedprice)")} AS skew, {r("kurtosis(l_extendedprice)")} AS kurt FROM lineitem GROUP BY 1""")
 def _(s, d):
-    return items(s, d).groupBy("l_returnflag").agg(
-        D.skewness(D.finite("l_extendedprice")).alias("skew"), D.kurtosis(D.finite("l_extendedprice")).alias("kurt"))
+    return D.shape(items(s, d), "l_extendedprice", ["l_returnflag"])
 
 
 @query("trimmed_mean", f"""
