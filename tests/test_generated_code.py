@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from procstats.operators import describe
+from procstats.operators import describe, experiments
+from procstats.plans import gram
 
 
 @pytest.fixture
@@ -31,3 +32,20 @@ def test_shape_is_compiled(spark, largest_method):
     assert largest_method(out) < 8000
     got = {r["g"]: (r["skew"], r["kurt"]) for r in out.collect()}
     assert got["a"] == pytest.approx((1.666658, 3.047694), abs=1e-5) and got["b"] == got[None] == (None, None)
+
+
+def test_shares_are_compiled(spark, largest_method):
+    rows = [(float(i), 2.0, float(i % 3), 1.0 * i) for i in range(1, 7)] + [(0.0, 0.0, 0.0, 1.0), (1.0, None, 1.0, 1.0), (1.0, float("inf"), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double")
+    df = df.select("a", *[(F.col(c) * 10).alias(c) for c in ("b", "c")], "y").where("y > 0")
+    shares = experiments._shares(df, ["a", "b", "c"])
+    assert shares.columns == ["a", "b", "c", "y"]
+    dm = gram.design(shares, ["a", "b", "c", "a*b", "a*c", "b*c"], intercept=False)
+    out = gram.design_rows(shares, dm, "y")
+    assert largest_method(out) < 8000
+    got = sorted((r["_x0"], r["_x1"], r["_x2"], r["_x3"]) for r in out.collect())
+    want = []
+    for a, b, c in [(float(i), 20.0, 10.0 * (i % 3)) for i in range(1, 7)]:
+        want.append((a / (a + b + c), b / (a + b + c), c / (a + b + c), a * b / (a + b + c) ** 2))
+    assert got[0] == (0.0, 0.0, 0.0, 0.0) and len(got) == 7
+    assert all(g == pytest.approx(w) for g, w in zip(got[1:], sorted(want)))
