@@ -27,7 +27,11 @@ def fingerprint(text: str, words, size: int) -> int:
     if not found:
         return 0
     grams = [" ".join(found)] if len(found) < size else map(" ".join, zip(*[found[i:] for i in range(size)]))
-    h = np.fromiter((xxhash.xxh64_intdigest(g.encode(), SEED) for g in grams), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g.encode(), SEED) for g in grams), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         part = h[at:at + 65536]

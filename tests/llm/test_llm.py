@@ -238,6 +238,39 @@ def test_near_groups_of_full_buckets(spark, texts, bucket, rounds, monkeypatch):
     assert near.keep_one(out.limit(0)).count() == 0 and near.keep_one(spark.createDataFrame([(None,) * 5] * 3, DOCS)).count() == 1
 
 
+def test_near_pairs_of_a_large_group_stay_few(spark, monkeypatch):
+    rng = random.Random(13)
+    base = " ".join(f"w{k}" for k in range(150))
+    data = [changed(rng, base, rng.randint(1, 8)) for _ in range(260)]
+    data += [changed(rng, data[k], rng.randint(1, 2)) for k in rng.sample(range(260), 40)]
+    kept, pairs = kept_by_force(data)
+    made = []
+    joined = near._late
+
+    def late(*args):
+        out = joined(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "_late", late)
+    out = near.keep_one(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(data)], DOCS))
+    assert sorted(r["doc_id"] for r in out.collect()) == kept and 20 < len(kept) < 240 and len(pairs) > 1500
+    assert len(made) == 1 and made[0] < 4 * len(data)
+
+
+def test_near_fingerprints_propose_pairs(spark, monkeypatch):
+    rng = random.Random(14)
+    base = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(3000)) for _ in range(4)]
+    data = [*base, *[changed(rng, b, 1) for b in base], *[t.upper() for t in base]]
+    assert kept_by_force(data)[0] == [0, 1, 2, 3]
+    prints = near.sketches(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(data)], DOCS)).collect()
+    found = {(min(a["node"], b["node"]), max(a["node"], b["node"])) for a in prints for b in prints
+             if a["node"] != b["node"] and bin((a["fp"] ^ b["fp"]) & (2 ** 64 - 1)).count("1") <= 2}
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(data)], DOCS)
+    none = near.sketches(df).selectExpr("doc_id", "h", "node", "n", "fp", "slice(keys, 1, 0) AS keys")
+    assert found and {(r["a"], r["b"]) for r in near.links(df, none).collect()} == found
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
