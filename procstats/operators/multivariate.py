@@ -99,14 +99,18 @@ def _with_p(t: DataFrame) -> DataFrame:
 
 
 def _spearman_complete(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
-    """Nothing missing: one ordering of (column, value) ranks all columns for all pairs."""
-    values = F.array(*[F.when(finite(c) == 0, F.lit(0.0)).otherwise(finite(c)) for c in columns])
-    source = persist(df.select(F.monotonically_increasing_id().alias("_id"), values.alias("_a")))
-    long = source.select("_id", F.posexplode("_a").alias("_i", "_v"))
-    order = value_order(long.select("_i", "_v"), "_v", ["_i"])
+    """Nothing missing: one ordering of (column, value) ranks all columns for all pairs.
+
+    Each column's ranks are joined to the rows as they are, one row each, so few values cost no shuffle and no rows are put together again.
+    """
+    source = persist(df.select(*[F.when(finite(c) == 0, F.lit(0.0)).otherwise(finite(c)).alias(f"_v{i}") for i, c in enumerate(columns)]))
+    long = source.select(F.posexplode(F.array(*source.columns)).alias("_i", "_v"))
     centred = F.col("below") + (F.col("freq") + 1) / 2 - (n + 1) / 2
-    ranked = attach(long, order.select("_i", "_v", centred.alias("_r")), ["_i", "_v"])
-    rows = ranked.groupBy("_id").agg(*[F.sum(F.when(F.col("_i") == i, F.col("_r"))).alias(f"_r{i}") for i in range(len(columns))])
+    order = persist(value_order(long, "_v", ["_i"]).select("_i", "_v", centred.alias("_r")))
+    rows = source
+    for i in range(len(columns)):
+        ranks = order.where(F.col("_i") == i).select(F.col("_v").alias(f"_v{i}"), F.col("_r").alias(f"_r{i}"))
+        rows = attach(rows, ranks, [f"_v{i}"], ready=True).drop(f"_v{i}")
     at = {c: F.col(f"_r{i}") for i, c in enumerate(columns)}
     pairs = _pairs(columns)
     sums = rows.agg(*[F.sum(at[a] * at[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)], *[F.sum(at[c] * at[c]).alias(f"s_{c}") for c in columns])

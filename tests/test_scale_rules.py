@@ -5,6 +5,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from procstats.functions import constants
@@ -55,6 +56,25 @@ def test_shapiro_uses_all_values(spark):
     assert r["n"] == 6000 and r["w"] > 0.99 and r["p_value"] is None
 
 
+def test_spearman_joins_ranks_to_rows_as_they_are(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = pd.DataFrame({"a": rng.integers(0, 5, 300) * 1.0, "b": rng.normal(size=300), "c": rng.integers(-3, 40, 300) * 0.5})
+    x.loc[x["a"] == 0, "a"] = rng.choice([0.0, -0.0], int((x["a"] == 0).sum()))
+    joined, sizes = multivariate.attach, []
+
+    def counted(big, *args, **kwargs):
+        sizes.append(big.count())
+        return joined(big, *args, **kwargs)
+
+    monkeypatch.setattr(multivariate, "attach", counted)
+    got = {(r["x"], r["y"]): (r["n"], r["r"]) for r in multivariate.correlation_matrix(spark.createDataFrame(x), ["a", "b", "c"], "spearman").collect()}
+    assert sizes == [300, 300, 300]
+    want = x.rank().corr()
+    for (a, b), (n, r) in got.items():
+        assert n == 300 and r == pytest.approx(want.loc[a, b], abs=1e-9)
+    assert len(got) == 3
+
+
 SCRIPT = """
 import sys
 sys.path.insert(0, {root!r})
