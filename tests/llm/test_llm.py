@@ -258,6 +258,20 @@ def test_near_pairs_of_a_large_group_stay_few(spark, monkeypatch):
     assert len(made) == 1 and made[0] < 4 * len(data)
 
 
+def test_near_members_of_many_leads_come_once(spark):
+    """A node under several leads of one large group is one member; other leads keep theirs, and members linked already go."""
+    led = [(lead, k) for lead in (1000, 1001, 1002) for k in range(40) if k % 3 != lead % 3] + [(1003, k) for k in (*range(5), *range(100, 120))]
+    led += [(1004, k) for k in range(200, 210)]
+    roots = [(k, 200) for k in range(200, 210)] + [(0, 0), (1, 0)]
+    out = near._merged(spark.createDataFrame(led, "lead long, node long"), spark.createDataFrame(roots, "node long, root long")).collect()
+    together = {}
+    for r in out:
+        together.setdefault(r["lead"], set()).add(r["node"])
+    assert len(out) == 40 + 25 and 1004 not in together
+    assert all(any({k for n, k in led if n == lead} <= own for own in together.values()) for lead in range(1000, 1004))
+    assert all(r["root"] == (0 if r["node"] < 2 else r["node"]) for r in out)
+
+
 def test_near_fingerprints_propose_pairs(spark, monkeypatch):
     rng = random.Random(14)
     base = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(3000)) for _ in range(4)]
