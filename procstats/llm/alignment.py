@@ -1,15 +1,17 @@
-"""Alignment of two tokenizers: shared ends before space-marked tokens cut texts into windows of token ids."""
+"""Alignment of two tokenizers: texts are cut at single spaces, where both tokenizers end a token, and each segment is encoded and aligned once."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 from array import array
 from collections import Counter
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 import tiktoken
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Windows that a worker remembers before it starts anew, and the bytes of ids up to which it does.
-MEMORY, LONG = 250_000, 256
+#: Segments or windows of a generation (two are kept) that a worker remembers, and the characters or bytes of ids up to which it does.
+MEMORY, LONG = 200_000, 256
+#: A single space between two characters that are no white space, and how many segments not met before are encoded at a time.
+CUT, TOGETHER = re.compile(r" (?=\S)(?<=\S )"), 256
 #: Links of a group that are listed one by one.
 WIDE = 1024
 #: Texts that are encoded at a time, and links between different ids per chunk: a chunk has its own numbering of pairs.
@@ -66,6 +70,42 @@ def groups_of(a: list[int], b: list[int], len_a: list[int], len_b: list[int]) ->
     return ";".join(groups).encode(), array("q", links).tobytes(), wide
 
 
+def groups_of_many(a: np.ndarray, b: np.ndarray, start_a: np.ndarray, start_b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray,
+                   size_a: list[int], size_b: list[int]) -> list[tuple]:
+    """What `groups_of` gives for each of the segments that begin at the tokens from_a and from_b, with its numbers of tokens.
+
+    start_a and start_b are the byte offsets of the tokens of the joined segments.
+    """
+    shared = np.intersect1d(start_a, start_b, assume_unique=True)
+    in_a, in_b = np.searchsorted(shared, start_a, "right") - 1, np.searchsorted(shared, start_b, "right") - 1
+    n_a, n_b = np.bincount(in_a), np.bincount(in_b)
+    first_b = np.cumsum(n_b) - n_b
+    to_a, to_b = np.append(from_a[1:], len(a)), np.append(from_b[1:], len(b))
+    # ids in the order of the groups, those of A before those of B, each followed by its separator
+    at = np.argsort(np.concatenate([2 * in_a, 2 * in_b + 1]), kind="stable")
+    after = np.zeros(len(a) + len(b), np.int64)
+    after[np.cumsum(n_a) - 1] = 1
+    after[len(a) + np.cumsum(n_b) - 1] = 2
+    after[len(a) + to_b - 1] = 3
+    ids = map(str, np.concatenate([a, b])[at].tolist())
+    groups = "".join(chain.from_iterable(zip(ids, map(",|;\n".__getitem__, after[at].tolist())))).encode().split(b"\n")
+    # every id of A with the ids of B of its group
+    wide = n_a * n_b > WIDE
+    times = np.where(wide[in_a], 0, n_b[in_a])
+    ends = np.cumsum(times)
+    partner = np.arange(ends[-1]) + np.repeat(first_b[in_a] - ends + times, times)
+    links = (np.repeat(a, times) << SIDE | b[partner]).tobytes()
+    upto = (8 * np.append(0, ends)).tolist()
+    wide = (np.add.reduceat(wide[in_a], from_a) > 0).tolist()
+    out = []
+    for n, (i, k, j, m) in enumerate(zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist())):
+        if wide[n]:
+            out.append((*groups_of(a[i:k].tolist(), b[j:m].tolist(), size_a, size_b), k - i, m - j))
+        else:
+            out.append((groups[n], links[upto[i]:upto[k]], None, k - i, m - j))
+    return out
+
+
 class Vocabulary:
     """The bytes of token ids, their lengths, and whether they begin with a space, as arrays."""
 
@@ -87,7 +127,12 @@ class Vocabulary:
 
 
 class Aligner:
-    """Encodes texts with both tokenizers and aligns the tokens; remembers about MEMORY windows at most."""
+    """Encodes texts with both tokenizers and aligns the tokens; remembers about 2 * MEMORY segments and windows at most.
+
+    Texts are cut into segments where a single space stands between two characters that are no white space.  No match of
+    public_tokenizers.PATTERN and no piece runs from another character over a space, so pre-tokens and merges stay inside a segment and its
+    tokens are the same in every text.  With another pattern, or such pieces, a text is one segment.
+    """
 
     def __init__(self, ranks: bytes, pattern: str, model: bytes):
         known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
@@ -96,7 +141,10 @@ class Aligner:
         pieces = [(i, self.coder_b.id_to_piece(i)) for i in range(self.coder_b.get_piece_size())]
         self.a = Vocabulary({i: x for x, i in known.items()})
         self.b = Vocabulary({i: bytes([int(p[3:5], 16)]) if self.coder_b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces})
-        self.known: dict[bytes, tuple] = {}
+        self.known: dict[str | bytes, tuple] = {}
+        self.older: dict[str | bytes, tuple] = {}
+        apart = pattern == public_tokenizers.PATTERN and not any("▁" in p.lstrip("▁") for _, p in pieces)
+        self.cut = CUT.split if apart else lambda t: [t]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Token ids of both, empty unless the bytes of both are a space and the text."""
@@ -115,7 +163,54 @@ class Aligner:
             out.append((a, b))
         return out
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes, Counter | None]]:
+    def aligned(self, texts: list[str]) -> list[list[tuple]]:
+        """Of each text the (groups, links, wide, tokens of A, tokens of B) of its segments or windows, in order; none without tokens."""
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
+        cut = [self.cut(t) if t else [] for t in texts]
+        found = [list(map(self.known.get, own)) for own in cut]
+        new = self._learned({s: None for own, parts in zip(cut, found) if None in parts for s, x in zip(own, parts) if x is None})
+        out = []
+        for t, own, parts in zip(texts, cut, found):
+            if new and None in parts:
+                parts = [new[s] if x is None else x for s, x in zip(own, parts)]
+                if not all(parts):  # a segment whose tokens don't give back its bytes: the text as a whole decides
+                    parts = self.windows(*self.encode([t])[0])
+            out.append(parts)
+        return out
+
+    def _learned(self, segments: dict) -> dict[str, tuple]:
+        """What the segments, not in `known`, are aligned to, empty if their tokens do not give back their bytes; short ones become known."""
+        out, joined, alone = {}, [], []
+        for s in segments:
+            if (old := self.older.get(s)) is not None:
+                self.known[s] = out[s] = old
+            else:
+                (alone if len(s) > LONG or "▁" in s or s[0].isspace() or s[-1].isspace() else joined).append(s)
+        for at in range(0, len(joined), TOGETHER):
+            some = joined[at:at + TOGETHER]
+            (a, b), = self.encode([" ".join(some)])
+            if not len(a):
+                alone += some
+                continue
+            size = np.array([len(s.encode()) + 1 for s in some])
+            starts = np.cumsum(size) - size
+            start_a, start_b = (np.cumsum(n) - n for n in (self.a.size[a], self.b.size[b]))
+            from_a, from_b = np.searchsorted(start_a, starts), np.searchsorted(start_b, starts)
+            if (start_a[from_a] != starts).any() or (start_b[from_b] != starts).any():
+                raise RuntimeError("a token runs over the space before a segment")
+            learned = dict(zip(some, groups_of_many(a, b, start_a, start_b, from_a, from_b, self.a.sizes, self.b.sizes)))
+            self.known.update(learned)
+            out.update(learned)
+        for s, ids in zip(alone, self.encode(alone)):
+            own = self.windows(*ids)
+            groups, links, wide, n_a, n_b = zip(*own) if own else [()] * 5
+            out[s] = own and (b";".join(groups), b"".join(links), sum((w for w in wide if w), Counter()) or None, sum(n_a), sum(n_b))
+            if own and len(s) <= LONG:
+                self.known[s] = out[s]
+        return out
+
+    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple]:
         """The windows between anchors: places where both have just ended a token and the next one of each begins with a space.
 
         Aligned windows are remembered by their ids, packed, those of B with the top bit set.
@@ -126,20 +221,17 @@ class Aligner:
         anchors = np.intersect1d(start_a[self.a.marked[a]], start_b[self.b.marked[b]], assume_unique=True)
         if not len(anchors) or anchors[0]:
             anchors = np.append(0, anchors)
-        from_a, from_b = [(4 * np.append(np.searchsorted(s, anchors), len(s))).tolist() for s in (start_a, start_b)]
+        from_a, from_b = [np.append(np.searchsorted(s, anchors), len(s)).tolist() for s in (start_a, start_b)]
         packed_a, packed_b = a.astype(np.uint32).tobytes(), (b | 1 << 31).astype(np.uint32).tobytes()
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        keys = [packed_a[i:k] + packed_b[j:m] for i, k, j, m in zip(from_a, from_a[1:], from_b, from_b[1:])]
-        out = list(map(known.get, keys))
-        if None in out:
-            a, b = a.tolist(), b.tolist()
-            for n, found in enumerate(out):
-                if found is None:
-                    out[n] = found = groups_of(a[from_a[n] >> 2:from_a[n + 1] >> 2], b[from_b[n] >> 2:from_b[n + 1] >> 2], self.a.sizes, self.b.sizes)
-                    if len(keys[n]) <= LONG:
-                        known[keys[n]] = found
+        a, b, out = a.tolist(), b.tolist(), []
+        for i, k, j, m in zip(from_a, from_a[1:], from_b, from_b[1:]):
+            key = packed_a[4 * i:4 * k] + packed_b[4 * j:4 * m]
+            found = self.known.get(key) or self.older.get(key)
+            if found is None:
+                found = (*groups_of(a[i:k], b[j:m], self.a.sizes, self.b.sizes), k - i, m - j)
+            if len(key) <= LONG:
+                self.known[key] = found
+            out.append(found)
         return out
 
 
@@ -184,16 +276,16 @@ def aligned(df: DataFrame, ranks_path: str, pattern: str, model_path: str) -> Da
                                               pa.array([often.astype(np.int32)], pa.list_(pa.int32()))], names=names)
 
         for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            for doc_id, (ids_a, ids_b) in zip(b.column(0).to_pylist(), aligner.encode([t.as_py() for t in b.column(1)])):
-                found = aligner.windows(ids_a, ids_b)
-                own, times = np.unique(np.frombuffer(b"".join([w[1] for w in found]), np.int64), return_counts=True)
-                if any(w[2] for w in found):
+            for doc_id, found in zip(b.column(0).to_pylist(), aligner.aligned([t.as_py() for t in b.column(1)])):
+                groups, links, wide, n_a, n_b = zip(*found) if found else [()] * 5
+                own, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
+                if any(wide):
                     both = Counter(dict(zip(own.tolist(), times.tolist())))
-                    for w in found:
-                        both.update(w[2] or {})
+                    for w in wide:
+                        both.update(w or {})
                     own, times = np.array(list(both), np.int64), np.array(list(both.values()), np.int64)
-                text = b";".join([w[0] for w in found])
-                rows.append((doc_id, len(ids_a), len(ids_b), text.count(b";") + 1 if found else 0, int(times.sum()), hashlib.sha256(text).hexdigest() if found else ""))
+                text = b";".join(groups)
+                rows.append((doc_id, sum(n_a), sum(n_b), text.count(b";") + 1 if found else 0, int(times.sum()), hashlib.sha256(text).hexdigest() if found else ""))
                 held.append((own, times))
                 docs += len(own)
             if docs >= CHUNK or len(rows) >= CHUNK >> 5:

@@ -215,6 +215,24 @@ def test_ranks_are_the_json_vocabulary(coders):
         assert aligner.coder_a.encode_ordinary(t) == e.ids
 
 
+def test_segments_are_encoded_once_and_align_as_whole_texts(strange):
+    files = open(PATHS[0], "rb").read(), PATHS[1], open(PATHS[2], "rb").read()
+    aligner, whole = alignment.Aligner(*files), alignment.Aligner(*files)
+    odd = ["two  blanks and one", " led", "ends ", "a\n b \n\nc\td", "x\u00a0 y \u3000z \x1c q", "a\u2581 b", "plain a b", "it's 'll 's !? ??!", "w" * 300 + " x", "\r\n "]
+    texts = [t or "" for t in (*strange, *odd)]
+    seen = []
+    encode = aligner.encode
+    aligner.encode = lambda some: seen.extend(some) or encode(some)
+    for t, found, (a, b) in zip(texts, aligner.aligned(texts), whole.encode(texts)):
+        groups, links, wide = alignment.groups_of(a.tolist(), b.tolist(), whole.a.sizes, whole.b.sizes)
+        assert b";".join(x[0] for x in found) == groups and [sum(x[k] for x in found) for k in (3, 4)] == [len(a), len(b)], t
+        count = lambda parts: sum((Counter(np.frombuffer(y, np.int64).tolist()) + (w or Counter()) for y, w in parts), Counter())
+        assert count([x[1:3] for x in found]) == count([(links, wide)])
+    seen.clear()
+    aligner.aligned(["new words and plain a b", "plain a b and words"] * 3)
+    assert len(seen) == 1 and sorted(seen[0].split()) == ["and", "new", "words"]
+
+
 def test_alignment_of_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, chunk string, pairs int")
     assert alignment.align(empty, *PATHS).count() == 0
