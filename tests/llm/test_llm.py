@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import threading
 from collections import Counter
 
 import numpy as np
@@ -358,6 +359,78 @@ def test_vectors(spark):
     assert quantised.near_vectors(df.limit(0)).count() == 0
 
 
+def linked(x, label, cosine=0.98):
+    """(links, smallest reachable row) of every vector."""
+    n = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1))[:, None]
+    near = (n @ n.T >= cosine) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, True)
+    root = np.arange(len(x))
+    while not np.array_equal(root, low := np.where(near, root, len(x)).min(1)):
+        root = low
+    return near.sum(1) - 1, root
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    # every cut is met: blocks of a label, blocks of a list, pieces of what is looked up and compared
+    for name, value in {"FEW": 60, "LIST_FEW": 20, "BLOCK": 16, "ASKS": 32, "ROWS": 10, "COLUMNS": 8}.items():
+        monkeypatch.setattr(quantised, name, value)
+    rng = np.random.default_rng(8)
+    hub, wide = rng.normal(size=(2, 24))
+    x = np.concatenate([rng.normal(size=(300, 24)), hub + rng.normal(scale=0.05, size=(90, 24)), wide + rng.normal(scale=0.14, size=(150, 24))])
+    x = np.concatenate([x, x[:150] + rng.normal(scale=0.2, size=(150, 24)), x[290:400], 1e6 * x[:20]]).astype(np.float32)
+    label = rng.integers(0, 2, len(x))
+    label[300:540] = 1
+    rows = [(i, [float(v) for v in r], int(l)) for i, (r, l) in enumerate(zip(x, label))]
+    got = {r["vec_id"]: r for r in quantised.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), sample=200).collect()}
+    links, root = linked(x, label)
+    assert links.max() > 100 and 0 < (links == 0).sum() < 400
+    assert all(tuple(got[i]) == (i, links[i], root[i], root[i] == i) for i in range(len(x)))
+
+
+def test_sketches_lose_nothing():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 12))
+    x[300:] = x[:300] + rng.normal(size=(300, 12)) * rng.uniform(0, 0.3, (300, 1))
+    x /= np.sqrt((x ** 2).sum(1))[:, None]
+    for model in (quantised.train(x[::4], 20), quantised.untrained(12)):
+        m = quantised.single(model)
+        near, code, error = quantised.sketch(x, m)
+        assert (np.sqrt(((x - quantised.unsketch(near, code, m)) ** 2).sum(1)) <= error).all()
+        index = quantised.Sketches(np.arange(600), near, code, error, m)
+        found = {(int(k), int(w)) for key, where in index.near_pairs(np.arange(600), near, code, error, 0.2) for k, w in zip(key, where)}
+        for i, j in zip(*np.nonzero(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.2)):
+            assert {(i, max(near[i], near[j])), (j, max(near[i], near[j]))} <= found
+
+
+def test_vectors_stay_within_disk(spark):
+    """What is written for vectors without neighbours is bounded by their own bytes, however many lists they look into."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(8000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label long")
+    disk, seen, done = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager(), {}, threading.Event()
+
+    def look():
+        found = disk.getAllFiles()
+        for k in range(found.size()):
+            seen[found.apply(k).getName()] = max(found.apply(k).length(), seen.get(found.apply(k).getName(), 0))
+
+    def watch():
+        # files go while the query runs
+        while not done.wait(0.1):
+            look()
+
+    look()
+    before = sum(seen.values())
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        assert quantised.near_vectors(df).where("kept").count() == len(x)
+    finally:
+        done.set()
+        thread.join()
+    assert 0 < sum(seen.values()) - before < 4 * x.nbytes
+
+
 def test_token_counts(spark, docs, texts):
     codec = bpe.Codec(LINES, P.PATTERN)
     n = [len(codec.encode(t or "")) for t in texts]
