@@ -32,9 +32,9 @@ SLACK = 1e-6
 #: Of single precision, for squared distances of sketches.
 ROUGH = 2e-5
 #: Leading components that sketches are compared on first; sketches looked up at a time; rows and columns compared at a time.
-LEAD, ASKS, ROWS, COLUMNS = 21, 8192, 1024, 256
+LEAD, ASKS, ROWS, COLUMNS = 21, 4096, 1024, 256
 #: A label is cut into about so many blocks of sketches, of so many rows at least and bytes at most; a list into blocks of vectors likewise.
-PARTS, FEW, MANY = 3, 1 << 14, 1 << 26
+PARTS, FEW, MANY = 3, 1 << 14, 1 << 25
 LIST_PARTS, LIST_FEW, LIST_MANY = 4, 256, 1 << 22
 #: Bits that mark the vectors with a possible neighbour.
 MARKS = 1 << 24
@@ -98,8 +98,10 @@ class Sketches:
     """Sketches ordered by list, to be looked up."""
 
     def __init__(self, key: np.ndarray, near: np.ndarray, code: np.ndarray, error: np.ndarray, m: dict):
-        order = np.argsort(near, kind="stable")
-        self.m, self.key, self.near, self.code, self.error = m, key[order], near[order], code[order], error[order]
+        self.m, self.key, self.near, self.code, self.error = m, key, near, code, error
+        if (near[1:] < near[:-1]).any():
+            order = np.argsort(near, kind="stable")
+            self.key, self.near, self.code, self.error = key[order], near[order], code[order], error[order]
         self.starts = np.searchsorted(self.near, np.arange(len(m["c"]) + 1))
         self.worst = np.zeros(len(m["c"]), np.float32)
         np.maximum.at(self.worst, self.near, self.error)
@@ -368,7 +370,7 @@ def near_vectors(df: DataFrame, cosine: float = 0.98, sample: int = SAMPLE) -> D
             index = built()
             yield from among()
 
-    asks = stored(meet.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b", "ask").mapInArrow(sift, "k1 long, list int").distinct())
+    asks = stored(meet.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b", "ask", "near").mapInArrow(sift, "k1 long, list int").distinct())
     # of vectors, only those marked travel
     word, bit = f"cast(floor(pmod(k1, {MARKS}) / 64) as int)", f"shiftleft(1L, cast(pmod(k1, {MARKS}) % 64 as int))"
     marks = F.broadcast(stored(asks.select(F.expr(word).alias("word"), F.expr(bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))))
